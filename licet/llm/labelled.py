@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def remainder(column: str, divisor: int):
-    """crc32 of the id as text, modulo ``divisor`` (null ids: null)."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+    """crc32 of the id as text, modulo ``divisor`` (null ids: -1)."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % divisor, F.lit(-1))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seen) -> list[tuple[str, int]]:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, chat_schema, compression_quality, interleaved, mixing, rules_quality, tag_paths, toxicity
+from . import bpe_chunks, chat_schema, compression_quality, interleaved, kneser_ney, mixing, near_dedup, rules_quality, tag_paths, toxicity
 
 QUERIES = {
     "op1_compression_quality": compression_quality.op1,
     "op2_weak_rules": rules_quality.op2,
     "op3_bpe_chunks": bpe_chunks.op3,
+    "op4_kneser_ney": kneser_ney.op4,
     "op5_low_discrepancy_mix": mixing.op5,
     "op6_interleaved_media": interleaved.op6,
+    "op7_weighted_minhash": near_dedup.op7,
     "op8_tag_path_ratios": tag_paths.op8,
     "op9_chat_schema": chat_schema.op9,
     "op10_string_kernel": toxicity.op10,
