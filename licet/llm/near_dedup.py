@@ -1,20 +1,22 @@
 """Near-duplicates by improved consistent weighted sampling.
 
-A text's elements are its shingles of five words, weighted by how often it has
-them times the mean inverse document frequency of their words (frequencies of
-all documents' words, in ``2 ** 18`` hashed classes, a table of fixed size).
-Consistent weighted samples agree with the probability of the weighted Jaccard
-similarity; ``BANDS`` bands of ``ROWS`` samples give the candidates, which are
-verified on whole texts.  Pairs at 0.8 miss all bands with probability 0.0002.
-
-Equal word sequences are one node from the start.  In a bucket of a band one
-leader is compared with the others, not all pairs.  A bucket ends when its
-nodes that have not led lie in one class; otherwise members of the smaller
-classes lead next, 8 times as many each round, against the nodes of other
-classes.  So at the end every two nodes of a bucket are in one class, or one of
-them has been compared with the other: no link between candidates is lost, and
-a group of n copies costs n comparisons.  Classes are the connected
-components of the verified links.
+A text's elements are its shingles of five words.  A shingle weighs
+``1 + ln(times)`` times the mean inverse document frequency of its words
+(frequencies of all documents' words, in ``2 ** 18`` hashed classes, a table of
+fixed size).  Consistent weighted samples agree with the probability of the
+weighted Jaccard similarity; ``BANDS`` bands of ``ROWS`` samples give the
+candidates, which are verified on whole texts.  Pairs at 0.8 miss all bands
+with probability 0.0002.
+
+Equal word sequences are one node from the start.  In a bucket of a band first
+one leader, the node with most company in all its buckets, is compared with the
+others.  Where the others then lie in several classes, every node outside the
+largest one is compared with all nodes of other classes: as rows in buckets of
+up to ``SMALL`` nodes, and in larger ones by blocks of ``BLOCK`` times
+``BLOCK`` nodes, each a task's matrix product that gives out only links that
+join classes.  So any two nodes of a bucket end in one class, or have been
+compared with each other: no link between candidates is lost, and a group of n
+copies costs n comparisons.  Classes are the connected components of the links.
 
 Cases: null and empty texts have no words; they are one node, and link to
 nothing else.  Texts of one to four words have one shingle of all of them.
@@ -28,13 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
 
 SHINGLE = 5
 SIMILAR = 0.8
+SMALL, BLOCK = 32, 256
 BANDS, ROWS = 16, 4
 CLASSES = 18
 _SLICES = 64
@@ -89,8 +92,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
 
-def weighted(w: text.Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, elements (44 bits) and weights, sorted by both; and each document's digest."""
+def weighted(w: text.Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, elements (44 bits), weights and times, sorted by the first two; and each document's digest."""
     counts = w.counts()
     docs = len(counts)
     h = w.hashes()
@@ -119,9 +122,9 @@ def weighted(w: text.Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     order = np.argsort(key, kind="stable")
     key, weight = key[order], weight[order]
     firsts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    times = np.diff(np.append(firsts, len(key))).astype(np.float32)
+    times = np.diff(np.append(firsts, len(key)))
     key = key[firsts]
-    return (key >> _E).astype(np.int64), key & _E_MASK, weight[firsts] * times, digest
+    return (key >> _E).astype(np.int64), key & _E_MASK, weight[firsts] * (1 + np.log(times.astype(np.float32))), times, digest
 
 
 def bands(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
@@ -176,7 +179,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.steps(batch):
-                doc, e, weight, digest = weighted(text.words(part.column(part.schema.get_field_index("text"))), idf.value)
+                doc, e, weight, _, digest = weighted(text.words(part.column(part.schema.get_field_index("text"))), idf.value)
                 keys = bands(doc, e, weight, part.num_rows)
                 some = np.zeros(part.num_rows, dtype=bool)
                 some[doc] = True
@@ -187,7 +190,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node) of all buckets with two nodes or more."""
+    """(bucket, node, count) of all buckets with two nodes or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +198,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["bucket", "node"])
 
     rows = nodes.where("bands IS NOT NULL").select("node", "bands").mapInArrow(run, "bucket long, node long")
-    return rows.join(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket")
+    return rows.join(rows.groupBy("bucket").count().where("count > 1"), "bucket")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -212,6 +215,94 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "_one", "_two").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _between(column: pa.Array, asks: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of the texts that ask with all of the others, as a matrix; and which rows ask."""
+    doc, e, weight, times, _ = weighted(text.words(column), idf)
+    n = len(column)
+    q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+    place = np.empty(n, dtype=np.int64)
+    place[q], place[m] = np.arange(len(q)), np.arange(len(m))
+    total, plain = np.bincount(doc, weight, minlength=n), np.bincount(doc, minlength=n).astype(float)
+    # a shingle's times as levels, whose weights add up: the common weight is a product of matrices
+    level = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    doc, e, one = np.repeat(doc, times), np.repeat(e, times), np.repeat(weight / (1 + np.log(times)), times)
+    step = one * (np.log(level + 1.0) - np.log(np.maximum(level, 1.0)) + (level == 0))
+    _, col = np.unique(text.mix(e + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
+    cols = int(col.max(initial=-1)) + 1
+    both = (np.bincount(col[asks[doc]], minlength=cols) > 0) & (np.bincount(col[~asks[doc]], minlength=cols) > 0)
+    new = np.cumsum(both) - 1
+    keep = both[col]
+    doc, col, step, level = doc[keep], new[col[keep]], step[keep], level[keep]
+    common, shared = np.zeros((len(q), len(m)), np.float32), np.zeros((len(q), len(m)), np.float32)
+    order = np.argsort(col, kind="stable")
+    bounds = np.searchsorted(col[order], np.arange(0, int(both.sum()) + 4096, 4096))
+    for i, j in zip(bounds, bounds[1:]):
+        at = order[i:j]
+        if not len(at):
+            continue
+        c, d = col[at] % 4096, doc[at]
+        for values, out in ((np.sqrt(step[at]), common), ((level[at] == 0).astype(np.float32), shared)):
+            x, y = np.zeros((len(q), 4096), np.float32), np.zeros((len(m), 4096), np.float32)
+            a = asks[d]
+            x[place[d[a]], c[a]] = values[a]
+            y[place[d[~a]], c[~a]] = values[~a]
+            out += x @ y.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.maximum(np.nan_to_num(common / (total[q][:, None] + total[m][None, :] - common)), np.nan_to_num(shared / (plain[q][:, None] + plain[m][None, :] - shared)))
+    return s, q
+
+
+def _joining(rest: DataFrame, texts: DataFrame, idf, similar: float) -> DataFrame:
+    """Links of large buckets' smaller classes: ``rest`` has bucket, node, label, outside and the bucket's numbers."""
+
+    def done(rows: list[tuple], column: list[str]) -> list[tuple]:
+        asks = np.array([r[2] for r in rows])
+        if asks.all() or not asks.any():
+            return []
+        s, q = _between(pa.array(column), asks, idf.value)
+        m = np.flatnonzero(~asks)
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(s >= similar - 1e-6)):
+            (a, la, _), (b, lb, _) = rows[q[i]], rows[m[j]]
+            if a != b and top(la) != top(lb):
+                root[top(la)] = top(lb)
+                out.append((min(a, b), max(a, b), float(s[i, j])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, said, out = None, [], [], []
+        for batch in batches:
+            for bucket, x, y, node, label, asks, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, x, y) != now:
+                    if rows:
+                        out += done(rows, said)
+                    now, rows, said = (bucket, x, y), [], []
+                rows.append((node, label, asks))
+                said.append(t)
+            yield _links(out)
+            out = []
+        if rows:
+            yield _links(done(rows, said))
+
+    def _links(out) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+
+    blocks = F.ceil(F.col("_all") / BLOCK).cast("int")
+    asking = F.ceil(F.col("_outside") / BLOCK).cast("int")
+    hashed = F.xxhash64("node")
+    one = rest.where("outside").select("bucket", F.pmod(hashed, asking).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("y"), "node", "label", F.lit(True).alias("asks"))
+    two = rest.select("bucket", F.explode(F.sequence(F.lit(0), asking - 1)).alias("x"), F.pmod(hashed, blocks).cast("int").alias("y"), "node", "label", F.lit(False).alias("asks"))
+    rows = one.unionByName(two).join(texts, "node").select("bucket", "x", "y", "node", "label", "asks", "text")
+    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "a long, b long, similarity double")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of the nodes in ``links`` (a, b): the least node that they reach.
 
@@ -245,31 +336,26 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     texts = here.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))).select("node", "text")
     texts = text.written(texts.dropDuplicates(["node"]) if _repeats(signed) else texts, "texts")
 
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("lead"))
-    done, labels, many = None, None, 1
-    while True:
-        pairs = buckets.join(leaders, "bucket").where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
-        if labels is not None:
-            label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
-            pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-        pairs = pairs.select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        new = text.written(_verified(pairs, texts, idf), "compared")
-        done = new if done is None else done.union(new)
-        labels = components(done.where(F.col("similarity") >= similar))
-        # nodes that have not led, of buckets where these lie in several classes
-        rest = buckets.join(leaders.withColumnRenamed("lead", "node"), ["bucket", "node"], "left_anti")
-        rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = rest.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("bucket")
-        rest = text.written(rest.join(mixed, "bucket"), "buckets")
-        if rest.isEmpty():
-            break
-        many *= 8
-        size = rest.groupBy("bucket", "label").count()
-        order = Window.partitionBy("bucket").orderBy("count", "label", "node")
-        leaders = text.written(rest.join(size, ["bucket", "label"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= many).select("bucket", F.col("node").alias("lead")), "leaders")
-        buckets = rest.select("bucket", "node")
+    company = buckets.groupBy("node").agg(F.sum("count").alias("_company"))
+    leaders = text.written(buckets.join(company, "node").groupBy("bucket").agg(F.max(F.struct("_company", "node"))["node"].alias("lead")), "leaders")
+    canonical = (F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+    pairs = buckets.join(leaders, "bucket").where("node <> lead").select(*canonical).distinct()
+    found = text.written(_verified(pairs, texts, idf), "compared")
+    labels = components(found.where(F.col("similarity") >= similar))
+    # what has not led, in the buckets where it lies in several classes
+    rest = buckets.select("bucket", "node").join(leaders.withColumnRenamed("lead", "node"), ["bucket", "node"], "left_anti")
+    rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = text.written(rest.groupBy("bucket", "label").count(), "sizes")
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("_most"), F.count(F.lit(1)).alias("_n"), F.sum("count").alias("_all")).where("_n > 1")
+    rest = rest.join(largest, "bucket").select("bucket", "node", "label", (F.col("label") != F.col("_most.label")).alias("outside"), "_all", (F.col("_all") - F.col("_most.count")).alias("_outside"))
+    rest = text.written(rest, "rest")
+    few = rest.where(F.col("_all") <= SMALL)
+    pairs = few.select("bucket", "node", "label").join(few.where("outside").select("bucket", F.col("node").alias("lead"), F.col("label").alias("_label")), "bucket").where("label <> _label").select(*canonical).distinct()
+    more = _verified(pairs.join(found, ["a", "b"], "left_anti"), texts, idf).where(F.col("similarity") >= similar)
+    large = _joining(rest.where(F.col("_all") > SMALL), texts, idf, similar)
+    new = text.written(more.unionByName(large), "compared")
+    if not new.isEmpty():
+        labels = components(found.where(F.col("similarity") >= similar).unionByName(new))
 
     of = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("_class"))
     rows = signed.select("doc_id", "_h", "node").join(of, "node")
