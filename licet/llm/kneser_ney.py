@@ -44,8 +44,8 @@ WIDTH = 7
 _MASK = np.uint64((1 << 8 * WIDTH) - 1)
 BEGIN, END = np.uint64(1), np.uint64(2)
 #: Tokens that a task sums at a time, and tokens of the input for each shard.
-TOKENS = 3_000_000
-SHARD = 4_000_000
+TOKENS = 1_500_000
+SHARD = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -187,9 +187,11 @@ def _add_bigrams(folder: str, shards: int):
 
     def done(shard: int, held: list[bytes]) -> pa.RecordBatch:
         before, word, c = (np.concatenate(x) for x in zip(*map(_unpack_bigrams, held)))
+        held.clear()
         keys, firsts, order = _summed(pair(before, word), None)
         c = _sum(c[order], firsts)
         at = order[firsts]
+        del order, firsts
         before, word = before[at], word[at]
         _save(f"{folder}/bigrams/{shard}", keys=keys, counts=np.minimum(c, 2**32 - 1).astype("<u4"))
         # what this shard knows of each word, as the later and as the earlier word of a bigram
@@ -367,7 +369,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for part in text.steps(batch, limit=4 << 20):
+            for part in text.steps(batch, limit=3 << 19):
                 got = scorer.score(part.column(part.schema.get_field_index("text")))
                 got["train_tokens"] = np.full(part.num_rows, model.tokens)
                 yield text.extended(part.select(kept), **{c: pa.array(got[c], pa.int64() if k == "long" else pa.float64()) for c, k in columns.items()})
