@@ -88,8 +88,15 @@ def piece_matrix(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return np.concatenate([np.where(part == 0, np.where(begins, _BEGIN, 0), _CODE[data[np.maximum(at - 1, 0)]])[:, None], codes[:, :-1]], axis=1), token
 
 
+def _small_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`piece_matrix` in bytes, made by parts."""
+    made = [piece_matrix(data, start[i : i + 10_000], end[i : i + 10_000]) for i in range(0, len(start), 10_000)]
+    return np.concatenate([c.astype(np.uint8) for c, _ in made]), np.concatenate([o + i * 10_000 for i, (_, o) in enumerate(made)])
+
+
 def _indexes(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     """Per pattern of gaps the subsequences' indexes (0: none) and the weight."""
+    codes = codes.astype(np.int32)
     for a, b in _GAPS:
         x, y, z = codes[:, : PIECE - b], codes[:, a : PIECE - b + a], codes[:, b:]
         yield np.where((x > 0) & (y > 0) & (z > 0), x << 10 | y << 5 | z, 0), DECAY ** (b - 2)
@@ -105,15 +112,15 @@ def _scale(codes: np.ndarray) -> np.ndarray:
 def piece_scores(codes: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
     """The decision values.  ``weights[0]`` is 0, as is that of every index with a 0 in it."""
     out = np.zeros(len(codes), dtype=np.float32)
-    for i in range(0, len(codes), 20_000):
-        c = codes[i : i + 20_000]
+    for i in range(0, len(codes), 5_000):
+        c = codes[i : i + 5_000].astype(np.int32)
         total = np.zeros(len(c), dtype=np.float32)
         for a, b in _GAPS:
             total += np.float32(DECAY ** (b - 2)) * weights[c[:, : PIECE - b] << 10 | c[:, a : PIECE - b + a] << 5 | c[:, b:]].sum(1)
         quads = weights[_TRIPLES:]
         for a, b, d in _GAPS4:
             total += np.float32(DECAY ** (d - 3)) * quads[c[:, : PIECE - d] << 15 | c[:, a : PIECE - d + a] << 10 | c[:, b : PIECE - d + b] << 5 | c[:, d:]].sum(1)
-        out[i : i + 20_000] = total * _scale(c)
+        out[i : i + 5_000] = total * _scale(c)
     return out + np.float32(bias)
 
 
@@ -224,8 +231,8 @@ def kernel(codes: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     place = np.full(_N, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     out = np.zeros((len(codes), len(landmarks)), dtype=np.float32)
-    for i in range(0, len(codes), 1000):
-        part = codes[i : i + 1000]
+    for i in range(0, len(codes), 250):
+        part = codes[i : i + 250]
         r, c, v = _sparse(part)
         c = place[c]
         hit = c >= 0
@@ -235,7 +242,7 @@ def kernel(codes: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
         if len(r):
             firsts = np.flatnonzero(np.diff(r, prepend=-1))
             out[i + r[firsts]] = np.add.reduceat(table[c] * v[:, None], firsts, axis=0)
-        out[i : i + 1000] *= _scale(part)[:, None]
+        out[i : i + 250] *= _scale(part)[:, None]
     return out
 
 
@@ -294,20 +301,21 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     tokens = list(ids)
     ends = np.cumsum([len(t) for t in tokens])
     data = np.frombuffer(b"".join(tokens), np.uint8)
-    codes, owner = piece_matrix(data, ends - [len(t) for t in tokens], ends)
+    codes, owner = _small_pieces(data, ends - [len(t) for t in tokens], ends)
     firsts = np.flatnonzero(np.diff(owner, prepend=-1))
     # 1. how much more often toxic documents have each run of letters: tokens that may be meant
-    grams = _grams(codes)
     df = np.zeros((2, _GRAMS), dtype=np.float32)
     bounds = np.append(firsts, len(codes))
     for have, v in zip(docs, y):
         rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in have]) if len(have) else firsts[:0]
-        df[v][np.unique(grams[rows])] += 1
+        met: list[np.ndarray] = [np.unique(_grams(codes[rows[i : i + 5000]])) for i in range(0, len(rows), 5000)]
+        df[v][np.unique(np.concatenate(met)) if met else rows] += 1
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     p = (df.sum(0) + 1) / (n1 + n0 + 2)
     z = (df[1] / n1 - df[0] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     z[0] = 0
-    stands = np.maximum.reduceat(z[grams].max(1), firsts)
+    z = z.astype(np.float32)
+    stands = np.maximum.reduceat(np.concatenate([z[_grams(codes[i : i + 5000])].max(1) for i in range(0, len(codes), 5000)]), firsts)
     value = stands
     toxic = [d for d, v in zip(docs, y) if v and len(d)]
     clean = np.unique(np.concatenate([d for d, v in zip(docs, y) if not v] or [np.zeros(0, np.int64)]))
