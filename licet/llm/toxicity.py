@@ -231,8 +231,9 @@ def kernel(codes: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     place = np.full(_N, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     out = np.zeros((len(codes), len(landmarks)), dtype=np.float32)
-    for i in range(0, len(codes), 250):
-        part = codes[i : i + 250]
+    step = max(16, 50_000 // max(1, len(landmarks)))
+    for i in range(0, len(codes), step):
+        part = codes[i : i + step]
         r, c, v = _sparse(part)
         c = place[c]
         hit = c >= 0
@@ -242,7 +243,7 @@ def kernel(codes: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
         if len(r):
             firsts = np.flatnonzero(np.diff(r, prepend=-1))
             out[i + r[firsts]] = np.add.reduceat(table[c] * v[:, None], firsts, axis=0)
-        out[i : i + 250] *= _scale(part)[:, None]
+        out[i : i + step] *= _scale(part)[:, None]
     return out
 
 
@@ -326,7 +327,9 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     piece = firsts  # a token's first piece stands for it in training
     # 2. landmarks: high tokens that differ, and common ones
     high = np.argsort(-value, kind="stable")
-    high = high[value[high] > LEAST_Z][:2000]
+    high = high[value[high] > LEAST_Z][:6000]
+    _, differ = np.unique(codes[piece[high]], axis=0, return_index=True)
+    high = high[np.sort(differ)][:800]
     near = kernel(codes[piece[high]], codes[piece[high]])
     own = np.sqrt(np.maximum(np.diag(near), 1e-9))
     near = near / own[:, None] / own[None, :]
@@ -363,7 +366,9 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         value = np.maximum.reduceat(piece_scores(codes, weights, bias), firsts)
     # 4. calibration on the other documents
     model = Model(weights, bias, (0.0, 0.0, 0.0))
-    one, two = Scorer(model).top(pa.array([t for t, _ in held]))
+    scorer = Scorer(model)
+    tops = [scorer.top(b.column(0)) for b in text.steps(pa.RecordBatch.from_arrays([pa.array([t for t, _ in held])], names=["text"]), limit=1 << 18)]
+    one, two = (np.concatenate(x) for x in zip(*tops))
     x, yh = np.column_stack([one, two]).astype(float), np.array([v for _, v in held], dtype=float)
     c = logistic(x, yh, ridge=0.05)
     return replace(model, calibration=(float(c[0]), float(c[1]), float(c[2])))
