@@ -1,0 +1 @@
+"""Empty on purpose: the operators here are about stored, ordered columns; none streams."""
