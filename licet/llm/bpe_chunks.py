@@ -155,6 +155,16 @@ class Encoder:
             yield [self.kept[x] for x in parts[a:b]]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder: its tables and kept chunks serve all tasks that it runs."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def dealt(docs: DataFrame) -> DataFrame:
     """Documents that share chunks mostly in one partition; Spark splits large ones."""
     text.ready(docs.sparkSession)
@@ -180,7 +190,7 @@ def _encoded(docs: DataFrame, make, drop: tuple[str, ...] = (), path: str | None
     kept = [c for c in docs.columns if c not in drop]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for part in text.steps(batch):
                 got = [make(x) for x in encoder.batch(part.column(part.schema.get_field_index("text")))]
@@ -201,7 +211,7 @@ def decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     docs = docs.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             yield text.extended(batch, decoded=pa.array([encoder.decode(x or []) for x in ids], pa.string()))
