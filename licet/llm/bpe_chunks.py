@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ WINDOW = 16
 #: One byte in so many begins a chunk, on average.
 CHUNK = 1024
 #: Bytes of chunk text whose encodings a worker keeps; then it starts afresh.
-KEPT_BYTES = 12 << 20
+KEPT_BYTES = 6 << 20
 
 #: The split of byte-level BPE, and the characters that the faster library gets.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -121,7 +122,7 @@ class Encoder:
         self.bytes = self._token_bytes(n)
         self.fast = self._fast()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[bytes, tuple[list[int], bytes, bytes]] = {}
+        self.kept: dict[bytes, tuple[array, bytes, bytes]] = {}
         self.size = 0
         self.encoded = 0
 
@@ -159,7 +160,7 @@ class Encoder:
 
     def _encode(self, found: list[bytes]) -> None:
         for raw, ids in zip(found, self._ids(found), strict=True):
-            self.kept[raw] = ids, b",".join(map(self.decimal.__getitem__, ids)), self.decode_bytes(ids)
+            self.kept[raw] = array("i", ids), b",".join(map(self.decimal.__getitem__, ids)), self.decode_bytes(ids)
             self.size += len(raw)
         self.encoded += len(found)
 
@@ -169,7 +170,7 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def batch(self, column: pa.Array) -> Iterator[list[tuple[list[int], bytes, bytes]]]:
+    def batch(self, column: pa.Array) -> Iterator[list[tuple[array, bytes, bytes]]]:
         """Per document its pieces: ids, their decimals, their bytes."""
         data, offsets = text.buffers(column)
         places, firsts = pieces(data, offsets)
@@ -179,8 +180,10 @@ class Encoder:
         if self.size > KEPT_BYTES:
             self.kept.clear()
             self.size = 0
-        if found := [x for x in dict.fromkeys(parts) if x not in self.kept]:
-            self._encode(found)
+        # by parts, for many ids at once take much more memory than what is kept of them
+        found = [x for x in dict.fromkeys(parts) if x not in self.kept]
+        for i in range(0, len(found), 200):
+            self._encode(found[i : i + 200])
         bounds = firsts.tolist()
         for a, b in zip(bounds, bounds[1:]):
             yield [self.kept[x] for x in parts[a:b]]
