@@ -8,8 +8,8 @@ loss mask over the assistant's texts.
 
 Template: ``<s>`` begins a conversation; ``[INST] .. [/INST]`` is a user turn,
 `` .. </s>`` an assistant turn, ``<<SYS>> .. <</SYS>>`` a system turn and
-``[ROLE name] .. [/ROLE]`` any other.  Inside texts a backslash follows every
-backslash, ``<`` and ``[``, so that no control string can occur in a text, and
+``[ROLE name] .. [/ROLE]`` any other.  Inside texts and names a backslash follows
+every backslash, ``<``, ``[`` and ``]``, so that no control string can occur in a text, and
 :func:`unescape` gives the text back exactly.
 
 A conversation is written as segments, one row per turn with its offset, in
@@ -138,8 +138,8 @@ def canonical(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
 
 # ------------------------------------------------------------------ template
 
-_ESCAPE = re.compile(r"[\\<\[]")
-_UNESCAPE = re.compile(r"([\\<\[])\\")
+_ESCAPE = re.compile(r"[\\<\[\]]")
+_UNESCAPE = re.compile(r"([\\<\[\]])\\")
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>> ", " <</SYS>>")}
 
 
@@ -162,7 +162,7 @@ def segment(role: str, said: str) -> tuple[str, int, int]:
     return before + body + after, len(before), len(before) + len(body)
 
 
-_READ = re.compile(r"(?:\[INST\] |<<SYS>> |\[ROLE ((?:[^\\<\[\]]|[\\<\[]\\|\](?! ))*)\] | )", re.S)
+_READ = re.compile(r"(?:\[INST\] |<<SYS>> |\[ROLE ((?:[^\\<\[\]]|[\\<\[\]]\\)*)\] | )", re.S)
 
 
 def read(piece: str) -> tuple[str, str]:
