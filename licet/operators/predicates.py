@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import ranked
+from .rows import at_ranks
 
 #: Selectivities in thousandths and their labels.
 SELECTIVITIES = {1: "0.1%", 10: "1%", 100: "10%", 500: "50%"}
@@ -13,7 +13,7 @@ SELECTIVITIES = {1: "0.1%", 10: "1%", 100: "10%", 500: "50%"}
 
 def picks(df: DataFrame, ranks: list[int]) -> DataFrame:
     """(rank, value) of the given ranks in the order of non-null values."""
-    return ranked(df.where("value IS NOT NULL").select("value", "row_id"), "value", "rank", "row_id").where(F.col("rank").isin(ranks)).select("rank", "value")
+    return at_ranks(df.where("value IS NOT NULL").select("value", "row_id"), "value", ranks, "row_id")
 
 
 def quantile_windows(df: DataFrame, rows: int) -> DataFrame:

@@ -71,22 +71,48 @@ def before(df: DataFrame, add: Column, name: str, width: int = BLOCK, inclusive:
     return df.withColumn("_in", F.coalesce(F.sum("_x").over(w), F.lit(0))).join(carry, "_b").withColumn(name, F.col("_c") + F.col("_in")).drop("_b", "_x", "_in", "_c")
 
 
-def ranked(df: DataFrame, column: str, name: str, *ties: str, parts: int = 64) -> DataFrame:
-    """``df`` with ``name``, the 0-based rank by ``column`` and ``ties``.
-
-    Approximate quantiles cut the order into parts (at most ``parts`` values
-    reach the driver); ranks are counts of earlier parts plus ranks inside.
-    """
+def parted(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``_p``: the part of the order by ``column``, cut at approximate
+    quantiles (at most ``parts`` values reach the driver), by binary search."""
     cuts = df.select(F.percentile_approx(column, [i / parts for i in range(1, parts)], 1000).alias("q")).first().q or []
     cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0)
-    df = df.withColumn("_p", part)
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(column) <= F.lit(cuts[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return df.withColumn("_p", place(0, len(cuts)))
+
+
+def ranked(df: DataFrame, column: str, name: str, *ties: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``name``, the 0-based rank by ``column`` and ``ties``: counts
+    of earlier parts of the order plus ranks inside a part."""
+    df = parted(df, column, parts)
     first = df.groupBy("_p").count()
     first = first.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(column, *ties)) - 1
     return df.withColumn("_r", inside).join(first, "_p").withColumn(name, F.col("_c") + F.col("_r")).drop("_p", "_c", "_r")
 
 
+def at_ranks(df: DataFrame, column: str, ranks: list[int], *ties: str, parts: int = 64) -> DataFrame:
+    """(rank, ``column``) at a few ranks: only the parts that hold them are sorted."""
+    df = parted(df, column, parts)
+    begins, at = {}, 0
+    for r in sorted(df.groupBy("_p").count().collect()):
+        begins[r._p] = (at, at + r["count"])
+        at += r["count"]
+    held = {p: [k - a for k in ranks if a <= k < b] for p, (a, b) in begins.items()}
+    held = {p: k for p, k in held.items() if k}
+    begin = F.lit(0).cast("long")
+    for p in held:
+        begin = F.when(F.col("_p") == p, F.lit(begins[p][0])).otherwise(begin)
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(column, *ties)) - 1
+    rank = (begin + inside).cast("long")
+    return df.where(F.col("_p").isin(list(held))).withColumn("rank", rank).where(F.col("rank").isin(ranks)).select("rank", column)
+
+
 def span_union(spans: DataFrame, gap: int = 0, *by: str) -> DataFrame:
     """Merges [start, end) spans that overlap or lie at most ``gap`` apart, per ``by``."""
     w = Window.partitionBy(*by).orderBy("start", "end")
