@@ -114,9 +114,29 @@ def at_ranks(df: DataFrame, column: str, ranks: list[int], *ties: str, parts: in
 
 
 def span_union(spans: DataFrame, gap: int = 0, *by: str) -> DataFrame:
-    """Merges [start, end) spans that overlap or lie at most ``gap`` apart, per ``by``."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = spans.withColumn("_new", F.when(F.col("start") <= reach + gap, 0).otherwise(1))
-    run = new.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Merges [start, end) spans that overlap or lie at most ``gap`` apart, per ``by``.
+
+    In parts of the order by start: the reach of earlier parts and the islands
+    that they begin are carried over, a row for each part (and ``by``).
+    """
+    one = spans.groupBy(*by, "start").agg(F.max("end").alias("end"))
+    one = parted(one, "start")
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*by, "_p").orderBy("start")
+    keys = [*by, "_p"]
+
+    def carried(df: DataFrame, value: Column, fold) -> DataFrame:
+        each = df.groupBy(*keys).agg(value.alias("_v")).withColumn("_carry", fold("_v").over(earlier)).drop("_v")
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+        cond = same[0]
+        for c in same[1:]:
+            cond = cond & c
+        return df.alias("l").join(each.alias("r"), cond).select("l.*", "r._carry")
+
+    here = carried(one, F.max("end"), F.max)
+    reach = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    new = here.withColumn("_new", F.when(F.col("start") <= reach + gap, 0).otherwise(1)).drop("_carry")
+    run = carried(new, F.sum("_new"), F.sum)
+    inside = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    run = run.withColumn("_g", F.coalesce("_carry", F.lit(0)) + inside)
     return run.groupBy(*by, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
