@@ -120,6 +120,24 @@ def fit_cost(features: np.ndarray, nanoseconds: np.ndarray, ridge: float = 1e-6)
     return {"mean": mean, "scale": scale, "weights": w}
 
 
+def fit_cost_frame(df: DataFrame, features: list[str], nanoseconds: str, ridge: float = 1e-6) -> dict:
+    """:func:`fit_cost` on a DataFrame of any length: two aggregates give moments and the normal matrix."""
+    k = len(features)
+    r = df.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f).alias(f"m{i}") for i, f in enumerate(features)), *(F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features))).first()
+    if r.n < k + 1:
+        raise ValueError("too few rows")
+    mean = np.array([r[f"m{i}"] for i in range(k)], float)
+    scale = np.array([r[f"s{i}"] for i in range(k)], float)
+    scale = np.where(scale < 1e-12, 1.0, scale)
+    z = [F.lit(1.0)] + [(F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(features, mean, scale)]
+    y = F.log(F.col(nanoseconds).cast("double"))
+    cells = [F.sum(z[i] * z[j]).alias(f"a{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+    r = df.agg(*cells, *(F.sum(z[i] * y).alias(f"b{i}") for i in range(k + 1))).first()
+    a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], float)
+    a[np.diag_indices_from(a)] += ridge
+    return {"mean": mean, "scale": scale, "weights": np.linalg.solve(a, np.array([r[f"b{i}"] for i in range(k + 1)], float))}
+
+
 def predict_cost(model: dict, features: np.ndarray) -> np.ndarray:
     z = (np.asarray(features, float) - model["mean"]) / model["scale"]
     return np.exp(model["weights"][0] + z @ model["weights"][1:])

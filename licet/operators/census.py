@@ -54,3 +54,43 @@ def rollup(stats: DataFrame) -> DataFrame:
 def smallest_layout(candidates: DataFrame) -> DataFrame:
     """Per column the candidate (col, recipe, bytes) of fewest bytes, then first name."""
     return candidates.groupBy("col").agg(F.min(F.struct("bytes", "recipe")).alias("_m")).select("col", F.col("_m.recipe").alias("recipe"), F.col("_m.bytes").alias("bytes"))
+
+
+def natural_runs(df: DataFrame) -> DataFrame:
+    """Runs of equal neighbours and how many rows one stands for."""
+    from .rows import segments
+
+    runs = segments(df, "value").agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("rows"))
+    return runs.select("runs", (F.col("rows") / F.nullif(F.col("runs"), F.lit(0))).alias("reduction"))
+
+
+def size_by_group(sizes: DataFrame) -> DataFrame:
+    """Per group of (group, rows, minimal, ready): median bits a value of both layouts, and the median premium."""
+    bits = [F.percentile(F.col(c) * 8 / F.col("rows"), 0.5).alias(f"{c}_bits") for c in ("minimal", "ready")]
+    return sizes.groupBy("group").agg(F.count(F.lit(1)).alias("columns"), *bits, F.percentile(F.col("ready") / F.col("minimal"), 0.5).alias("premium"))
+
+
+def pairs(long: DataFrame) -> DataFrame:
+    """(source, selector, value) of the columns of each source: the selector is "timestamp" or else the
+    first in the order ``place``; values are the others with as many rows."""
+    each = long.groupBy("source", "place", "col").agg(F.count(F.lit(1)).alias("n"))
+    pick = each.groupBy("source").agg(F.min(F.struct(F.col("col") != "timestamp", F.col("place"), F.col("col").alias("selector"), F.col("n").alias("_n"))).alias("_s"))
+    both = each.join(pick, "source").where((F.col("col") != F.col("_s.selector")) & (F.col("n") == F.col("_s._n")))
+    return both.select("source", F.col("_s.selector").alias("selector"), F.col("col").alias("value"))
+
+
+def revalidated(df: DataFrame, facts: list) -> DataFrame:
+    """(fact, holds): every order fact about ``df`` held against its values."""
+    from ..plans.facts import monotone, piecewise
+
+    out = None
+    for f in facts:
+        if f.prop == "NonDecreasing":
+            rows = df if f.scope == "AllRows" else df.where("value IS NOT NULL")
+            one = monotone(rows).select(F.lit(f"{f.scope} {f.prop}").alias("fact"), F.col("non_decreasing").alias("holds"))
+        elif f.prop == "PiecewiseNonDecreasing":
+            one = piecewise(df, f.param).agg(F.bool_and("non_decreasing").alias("holds")).select(F.lit(f"{f.scope} {f.prop} {f.param}").alias("fact"), "holds")
+        else:
+            continue
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else df.sparkSession.createDataFrame([], "fact string, holds boolean")

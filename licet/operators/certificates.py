@@ -109,12 +109,26 @@ def query_set(df: DataFrame) -> DataFrame:
     """(name, value): the rarest, the most frequent and an absent value.
 
     Ties: rare by (count, value), frequent by (-count, value); absent is the
-    least gap's low + 1, else max + 1.
+    least gap's low + 1, else max + 1, else min - 1.
     """
     counts = df.where("value IS NOT NULL").groupBy("value").count()
-    pick = counts.agg(F.min(F.struct("count", "value"))["value"].alias("eq_rare"), F.min(F.struct(-F.col("count"), F.col("value")))["value"].alias("eq_frequent"), F.max("value").alias("_max"))
-    # the least value whose successor is not there
-    after = counts.select((F.col("value") - 1).alias("value"))
-    absent = counts.select("value").join(after, "value", "left_anti").agg((F.min("value") + 1).alias("eq_absent"))
-    both = pick.join(absent, F.lit(True), "inner")
+    pick = counts.agg(F.min(F.struct("count", "value"))["value"].alias("eq_rare"), F.min(F.struct(-F.col("count"), F.col("value")))["value"].alias("eq_frequent"), F.min("value").alias("_min"))
+    # the least value whose successor is not there; below the least one where the greatest has none
+    one = F.lit(1).cast("long")
+    after = counts.select(F.try_subtract("value", one).alias("value"))
+    last = counts.select("value").join(after, "value", "left_anti").agg(F.min("value").alias("_last"))
+    both = pick.join(last, F.lit(True), "inner").withColumn("eq_absent", F.coalesce(F.try_add("_last", one), F.try_subtract("_min", one)))
     return both.selectExpr("stack(3, 'eq_rare', eq_rare, 'eq_frequent', eq_frequent, 'eq_absent', eq_absent) AS (name, value)")
+
+
+def mixed_targets(df: DataFrame) -> list[int]:
+    """The targets of the query "in_mixed": rare, frequent and absent, sorted; three values reach the driver."""
+    return sorted({r.value for r in query_set(df).collect() if r.value is not None})
+
+
+def fence_probe_in(entries: DataFrame, targets: list[int]) -> DataFrame:
+    """Candidate stride blocks of several targets."""
+    out = entries.select(F.col("entry").alias("blk")).limit(0)
+    for t in sorted(set(targets)):
+        out = out.unionByName(fence_probe(entries, t))
+    return out.distinct()

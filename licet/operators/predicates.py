@@ -43,3 +43,12 @@ def window_bounds(df: DataFrame, rows: int, thousandths: int = 100) -> tuple[int
     start = (rows - width) // 2
     got = {r.rank: r.value for r in picks(df, [start, start + width - 1]).collect()}
     return got[start], got[start + width - 1]
+
+
+#: Shares of a column that the widths of row queries take, beside one row.
+WIDTHS = (1000, 100, 10, 2, 1)
+
+
+def widths(rows: int) -> list[int]:
+    """Widths of row queries, each once: one row, a thousandth (one row at least) and so on up to all rows."""
+    return sorted({1, *(max(1, rows // d) if d >= 100 else rows // d for d in WIDTHS)})

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar, statistics
-from .operators import census, certificates, codecs, predicates, rows, scans
-from .plans import compiler, facts, layout
+from .operators import census, certificates, codecs, predicates, rows, scans, schedules
+from .plans import bridge, compiler, facts, layout
 from .plans.plan import Query
 from .plans.recipe import Recipe, bitpack
+from .sources import arms, raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -445,3 +446,103 @@ def signed_rank(spark, d):
     ratios = sorted({r.m for r in times(spark, d).groupBy("page").agg(F.avg(F.col("fused") / F.col("selective")).alias("m")).collect()})
     wins = sum(x < 1 for x in ratios)
     return spark.createDataFrame([(statistics.wilcoxon_exact(ratios), statistics.sign_test(wins, len(ratios)))], "wilcoxon double, sign double")
+
+
+# ------------------------------------------------- sources, arms and schedules
+
+query("raw_roundtrip", SAME.format(sql_col("holes")))(lambda s, d: raw.from_raw(raw.to_raw(col(s, d, "holes"), 4096), 4096))
+query("raw_page_bytes", f"SELECT page, CAST(20 + CASE WHEN nn < n THEN (n + 7) // 8 ELSE 0 END + 8 * nn AS BIGINT) AS bytes FROM (SELECT row_id // 512 AS page, count(*) AS n, count(value) AS nn FROM {sql_col('nulls_first')} GROUP BY page)")(
+    lambda s, d: raw.to_raw(col(s, d, "nulls_first"), 512).select("page", F.length("raw").cast("long").alias("bytes"))
+)
+ARM = f"SELECT CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)), 0) AS BIGINT) AS sum, count(*) AS matched_rows FROM events WHERE user_id BETWEEN 10 AND 40"
+
+
+def pair(spark, d):
+    return events(spark, d).selectExpr("event_id AS row_id", "user_id AS selector", f"{COLUMNS['cents'][0]} AS value")
+
+
+query("arm_full", ARM)(lambda s, d: big(arms.full(pair(s, d), 10, 40)))
+query("arm_row_filter", ARM)(lambda s, d: big(arms.row_filter(pair(s, d), 10, 40)))
+query("arm_page_filter", ARM)(lambda s, d: big(arms.page_filter(pair(s, d), 10, 40, 1024)))
+query("arm_row_selection", ARM)(lambda s, d: big(arms.row_selection(pair(s, d), scans.filter_between(col(s, d, "user"), 10, 40))))
+query("arm_page_candidates", "SELECT event_id // 1024 AS page, min(user_id) AS lo, max(user_id) AS hi FROM events GROUP BY page HAVING min(user_id) <= 40 AND max(user_id) >= 10")(lambda s, d: arms.page_candidates(pair(s, d), 10, 40, 1024))
+PAGED = f"(SELECT \"start\" // 4096 AS page, * FROM {READS})"
+
+
+def _policy(name: str, gap: int) -> str:
+    return f"SELECT '{name}' AS policy, count(*) AS reads, CAST(coalesce(sum(\"end\" - \"start\"), 0) AS BIGINT) AS bytes FROM ({merged(gap)})"
+
+
+PER_PAGE = f"SELECT page, min(\"start\") AS \"start\", max(\"end\") AS \"end\" FROM (SELECT *, sum(f) OVER (PARTITION BY page ORDER BY \"start\", \"end\") AS g FROM (SELECT *, CASE WHEN \"start\" <= max(\"end\") OVER (PARTITION BY page ORDER BY \"start\", \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM {PAGED})) GROUP BY page, g"
+query("schedule_policies", " UNION ALL ".join(_policy(n, g) for n, g in schedules.GAPS.items()) + f" UNION ALL SELECT 'per_page', count(*), CAST(sum(\"end\" - \"start\") AS BIGINT) FROM ({PER_PAGE}) UNION ALL SELECT 'full_file', 1, max(\"end\") FROM {READS}")(
+    lambda s, d: big(schedules.policies(reads(s, d).withColumn("page", F.floor(F.col("start") / 4096))), "reads", "bytes")
+)
+query("query_widths", "SELECT DISTINCT CAST(w AS BIGINT) AS width FROM (SELECT unnest([1, greatest(1, n // 1000), greatest(1, n // 100), n // 10, n // 2, n]) AS w FROM (SELECT count(*) AS n FROM events))")(
+    lambda s, d: s.createDataFrame([(w,) for w in predicates.widths(events(s, d).count())], "width long")
+)
+
+# ------------------------------------------------------------ more of the census
+
+query("census_natural_runs", f"SELECT count(*) AS runs, CAST(sum(length) AS DOUBLE) / count(*) AS reduction FROM {RUNS}")(lambda s, d: census.natural_runs(chats(s, d)))
+SIZES = "(SELECT user_id % 7 AS \"group\", 1000 + event_id % 9 AS rows, 700 + event_id % 50 AS minimal, 800 + user_id % 90 AS ready FROM events)"
+query("size_by_group", f"SELECT \"group\", count(*) AS columns, round(median(minimal * 8 / CAST(rows AS DOUBLE)), 9) AS minimal_bits, round(median(ready * 8 / CAST(rows AS DOUBLE)), 9) AS ready_bits, round(median(ready / CAST(minimal AS DOUBLE)), 9) AS premium FROM {SIZES} GROUP BY \"group\"")(
+    lambda s, d: (lambda t: t.select("group", "columns", *(F.round(c, 9).alias(c) for c in ("minimal_bits", "ready_bits", "premium"))))(
+        census.size_by_group(events(s, d).selectExpr("user_id % 7 AS group", "1000 + event_id % 9 AS rows", "700 + event_id % 50 AS minimal", "800 + user_id % 90 AS ready"))
+    )
+)
+SOURCED = f"(SELECT CASE WHEN col IN ('cents', 'ts') THEN 'one' ELSE 'two' END AS source, CASE col WHEN 'ts' THEN 'timestamp' ELSE col END AS col, CASE col WHEN 'cents' THEN 0 WHEN 'saw' THEN 1 ELSE 2 END AS place FROM {LONG})"
+query("pair_building", f"""WITH e AS (SELECT source, col, place, count(*) AS n FROM {SOURCED} GROUP BY ALL), s AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY col <> 'timestamp', place, col) = 1)
+SELECT e.source, s.col AS selector, e.col AS value FROM e JOIN s ON e.source = s.source AND e.col <> s.col AND e.n = s.n""")(
+    lambda s, d: census.pairs(long(s, d).selectExpr("CASE WHEN col IN ('cents', 'ts') THEN 'one' ELSE 'two' END AS source", "CASE col WHEN 'ts' THEN 'timestamp' ELSE col END AS col", "CASE col WHEN 'cents' THEN 0 WHEN 'saw' THEN 1 ELSE 2 END AS place"))
+)
+
+
+@query("facts_revalidated", f"""SELECT 'AllRows PiecewiseNonDecreasing 256' AS fact, bool_and(coalesce(value >= p, true)) AS holds FROM (SELECT value, lag(value) OVER (PARTITION BY row_id // 256 ORDER BY row_id) AS p FROM {sql_col('saw')})
+UNION ALL SELECT 'NonNullRows NonDecreasing', bool_and(coalesce(value >= p, true)) FROM (SELECT value, lag(value) OVER (ORDER BY row_id) AS p FROM {sql_col('nulls_first')} WHERE value IS NOT NULL)""")
+def facts_revalidated(spark, d):
+    out = None
+    for name, recipe in (("saw", Recipe("UnsignedDelta", bitpack(), 256)), ("nulls_first", Recipe("Nullable", FOR, 256))):
+        c = col(spark, d, name)
+        one = census.revalidated(c, compiler.column(c, recipe).facts)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+query("fence_probe_in", f"WITH f AS (SELECT * FROM {FENCE}), t AS (SELECT unnest([7, 3507, 5000]) AS v), b AS (SELECT v, coalesce(max(entry) FILTER (value < v), 0) AS lo, coalesce(min(entry) FILTER (value > v), max(entry) + 1) AS hi FROM f, t GROUP BY v) SELECT DISTINCT entry AS blk FROM f, b WHERE entry >= lo AND entry < hi")(
+    lambda s, d: big(certificates.fence_probe_in(_fence(s, d)[1][0], [7, 3507, 5000]))
+)
+
+
+@query("in_mixed_refined", islands(f"SELECT row_id FROM {sql_col('holes')} WHERE value IN (SELECT value FROM {COUNTS} ORDER BY n, value LIMIT 1) OR value IN (SELECT value FROM {COUNTS} ORDER BY n DESC, value LIMIT 1)"))
+def in_mixed_refined(spark, d):
+    c = col(spark, d, "holes")
+    targets = certificates.mixed_targets(c)
+    return certificates.refine(c, certificates.bloom_probe(certificates.bloom(c, 128), targets, 128), 128, targets)
+
+
+@query("plan_strategies", "SELECT * FROM (VALUES ('nulls_first', 'SearchMonotone'), ('saw', 'SearchPiecewise'), ('user', 'TranslateDictionaryRange'), ('cents', 'MaterializeRows')) t(col, op)")
+def plan_strategies(spark, d):
+    """What the planner picks for a FILTER, as the bridge reports it."""
+    import json
+
+    recipes = {"nulls_first": "Nullable(FOR(BitPack))", "saw": "UnsignedDelta(BitPack)", "user": "Dictionary(BitPack)", "cents": "FOR(BitPack)"}
+    ask = {n: json.dumps({"op": "compile", "recipe": r, "query": {"kind": "filter_between", "low": 1, "high": 9}}) for n, r in recipes.items()}
+    return spark.createDataFrame([(n, json.loads(bridge.serve(col(spark, d, n), q))["ops"][0]["op"]) for n, q in ask.items()], "col string, op string")
+
+
+@query("cluster_bootstrap_interval")
+def cluster_bootstrap_interval(spark, d):
+    """No SQL: a pseudo-random resampling in two stages."""
+    each = times(spark, d).groupBy("page", "rows").agg(F.percentile(F.col("fused") / F.col("selective"), 0.5).alias("m")).where("rows < 5").orderBy("page", "rows").collect()
+    families: dict[str, list[float]] = {}
+    for r in each:
+        families.setdefault(str(r.page), []).append(r.m)
+    return spark.createDataFrame([statistics.cluster_bootstrap_median(families, repetitions=200)], "low double, high double")
+
+
+@query("cost_model_weights")
+def cost_model_weights(spark, d):
+    """No SQL: a ridge regression, fitted from two aggregates."""
+    names = ["page", "rows", "predicted_selective"]
+    model = statistics.fit_cost_frame(times(spark, d), names, "selective")
+    return spark.createDataFrame([(n, float(w)) for n, w in zip(["constant", *names], model["weights"])], "feature string, weight double")
