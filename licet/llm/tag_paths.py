@@ -4,8 +4,9 @@ A page's text nodes are grouped by their tag path from the root.  Each path
 has two ratios, characters per node and punctuation marks per node, outside
 links.  Both are smoothed along the page, so that a short paragraph between long ones counts
 as content, and fused into one ratio; paths at or above a share of the page's deviation are
-content.  The deepest element that holds most of their text is the article;
-its nodes make the text, apart from what its own tags or names declare to be
+content.  The lowest element that holds all their text is the article; its
+nodes make the text, those below the threshold too (short headings, items and
+links between content), apart from what its own tags or names declare to be
 something else (menus, forms, notices, comments ...), which is left out before
 the ratios are taken.
 
@@ -49,8 +50,8 @@ MARKS = re.compile(r"[.,;:!?…。，！？；：]")
 #: Neighbouring nodes that smooth a ratio, and the share of the deviation that content reaches.
 SPREAD = 2
 THRESHOLD = 0.25
-#: Share of the content paths' text that the article holds.
-MOST = 0.7
+#: Elements that are parts of a text; with INLINE, none of them is the article.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd figure figcaption".split())
 
 
 class Node:
@@ -165,30 +166,31 @@ def extract(page: str | None) -> str:
     # 4. threshold
     centre = sum(fused) / len(fused)
     least = max(THRESHOLD * max(mean.values()), THRESHOLD * math.sqrt(sum((f - centre) ** 2 for f in fused) / len(fused)))
-    content = {p for p, v in mean.items() if v >= least and chars[p]} or {max(mean, key=mean.get)}
-    # 5. the article: the deepest element with most of the content paths' text
-    held: dict[int, int] = defaultdict(int)
-    total, deepest = 0, None
-    for n, _, t in said:
-        if n.label in content and not n.link:
-            total += len(t)
-            x = n
-            while x is not None:
-                held[x.id] += len(t)
-                x = x.parent
+    content = {p for p, v in mean.items() if v >= least and chars[p]} or {p for p in mean if chars[p]} or set(mean)
+    # 5. the article: the lowest element with all text of the content paths
+    article, line = None, set()
     for n, _, _ in said:
+        if n.label not in content:
+            continue
         x = n
-        while x is not None and held[x.id] < MOST * total:
-            x = x.parent
-        while x is not None and x.parent is not None and (x.tag in INLINE or x.tag == "p" or x.tag[0] == "h" and x.tag[1:].isdigit()):
-            x = x.parent
-        if x is not None and (deepest is None or x.label.count("/") > deepest.label.count("/")):
-            deepest = x
+        if article is None:
+            article = n
+        else:
+            while x.id not in line:
+                x = x.parent
+        if x is not article or not line:
+            article, line = x, set()
+            while x is not None:
+                line.add(x.id)
+                x = x.parent
+    # part of a text, such as its one quotation or list, is not an article by itself
+    while article.parent is not None and (article.tag in INLINE or article.tag in PARTS):
+        article = article.parent
     parts: list[str] = []
     last = None
     for n, b, t in found:
         x = n
-        while x is not None and x is not deepest:
+        while x is not None and x is not article:
             x = x.parent
         if x is not None:
             parts.append(t if b == last else " " + t)

@@ -362,6 +362,19 @@ def test_extraction(spark):
     assert tag_paths.extracted(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("box", ["div", "blockquote", "section", "ul", "table"])
+def test_extraction_keeps_what_lies_around_a_large_part(box):
+    lead, end, most = "A lead, with enough words.", "The end, with enough words.", "Most of the text, here. " * 10
+    inner = {"ul": f"<li>{most}</li>", "table": f"<tr><td>{most}</td></tr>"}.get(box, f"<p>{most}</p>")
+    page = f"<body><nav>menu</nav><article><h1>The title</h1><p>{lead}</p><{box}>{inner}</{box}><p>{end}</p></article><footer>us</footer></body>"
+    assert len(most) > 0.75 * len(most + lead + end)
+    assert tag_paths.extract(page) == f"The title {lead} {most}{end}"
+
+
+def test_extraction_of_links_only():
+    assert tag_paths.extract("<div><p><a href='#'>one</a></p><ul><li><a href='#'>two</a></li></ul></div>") == "one two"
+
+
 # ----------------------------------------------------------------------- chat
 
 
