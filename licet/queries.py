@@ -533,11 +533,11 @@ def plan_strategies(spark, d):
 @query("cluster_bootstrap_interval")
 def cluster_bootstrap_interval(spark, d):
     """No SQL: a pseudo-random resampling in two stages."""
-    each = times(spark, d).groupBy("page", "rows").agg(F.percentile(F.col("fused") / F.col("selective"), 0.5).alias("m")).where("rows < 5").orderBy("page", "rows").collect()
+    each = times(spark, d).groupBy("page", "rows").agg(F.percentile(F.col("fused") / F.col("selective"), 0.5).alias("m")).orderBy("page", "rows").collect()
     families: dict[str, list[float]] = {}
     for r in each:
         families.setdefault(str(r.page), []).append(r.m)
-    return spark.createDataFrame([statistics.cluster_bootstrap_median(families, repetitions=200)], "low double, high double")
+    return spark.createDataFrame([statistics.cluster_bootstrap_median(families)], "low double, high double")
 
 
 @query("cost_model_weights")

@@ -11,6 +11,7 @@ from licet.operators import census, certificates, codecs, rows, scans
 from licet.plans import compiler, facts, layout
 from licet.plans.plan import NotLicensed, Op, Plan, Query, check_authorization
 from licet.plans.recipe import Recipe, bitpack, validate
+from licet.queries import QUERIES
 from licet.sources import readers
 
 FOR = Recipe("FOR", bitpack())
@@ -250,6 +251,27 @@ def test_statistics():
     assert scalar.fnv1a(b"") == 0xCBF29CE484222325
 
 
+def test_cluster_bootstrap_takes_all_groups(spark):
+    groups: dict[int, dict[int, list[float]]] = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect():
+        groups.setdefault(r.user_id % 10, {}).setdefault(r.event_id % 50, []).append((3 + r.event_id % 30) / (3 + r.user_id % 40))
+    families = [[statistics.median(v) for _, v in sorted(groups[page].items())] for page in sorted(groups)]
+    assert sum(map(len, families)) > 50
+    state, out = 0x6A09E667F3BCC909, []
+    for _ in range(2000):
+        pick = []
+        for _ in families:
+            state = statistics.xorshift(state)
+            inside = families[state % len(families)]
+            for _ in inside:
+                state = statistics.xorshift(state)
+                pick.append(inside[state % len(inside)])
+        out.append(statistics.median(pick))
+    out.sort()
+    got = QUERIES["cluster_bootstrap_interval"](spark, "/root/testdata/sf0.001").first()
+    assert math.isclose(got.low, out[50]) and math.isclose(got.high, out[1950])
+
+
 # -------------------------------------------------------------------- sources
 
 
