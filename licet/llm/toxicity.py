@@ -9,9 +9,10 @@ gapped insults and ones with inserted characters still resemble the plain ones.
 
 Nyström: the kernel is taken with some landmark tokens only, and a linear SVM
 (squared hinge) is fitted in the space that they span.  Labels are of
-documents; a sentence stands for its most toxic token, and the sentences that
+documents; white-space tokens stand in place of sentences, and the ones that
 make a toxic document toxic are found by turns: fit, choose the highest ones of
-every toxic document again, fit.  Being linear in the subsequences, the fitted
+every toxic document again, fit.  So an insult of several ordinary words, or
+one parted by spaces into pieces longer than a letter, is not seen.  Being linear in the subsequences, the fitted
 sum over landmarks is one table of weights, so scoring costs a few table
 look-ups per letter of each *distinct* token of a batch.
 
@@ -279,6 +280,14 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def _highest(scores: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per token the highest score of its pieces, and the first piece that has it."""
+    most = np.maximum.reduceat(scores, firsts)
+    owner = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(scores))))
+    hit = np.flatnonzero(scores == most[owner])
+    return most, hit[np.unique(owner[hit], return_index=True)[1]]
+
+
 def fit(sample: list[tuple[str, int]]) -> Model:
     """Two of three documents of each class fit the SVM, the others calibrate."""
     n = len(sample)
@@ -316,7 +325,8 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     z = (df[1] / n1 - df[0] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     z[0] = 0
     z = z.astype(np.float32)
-    stands = np.maximum.reduceat(np.concatenate([z[_grams(codes[i : i + 5000])].max(1) for i in range(0, len(codes), 5000)]), firsts)
+    # the highest piece stands for a token in training
+    stands, piece = _highest(np.concatenate([z[_grams(codes[i : i + 5000])].max(1) for i in range(0, len(codes), 5000)]), firsts)
     value = stands
     toxic = [d for d, v in zip(docs, y) if v and len(d)]
     clean = np.unique(np.concatenate([d for d, v in zip(docs, y) if not v] or [np.zeros(0, np.int64)]))
@@ -324,7 +334,6 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         return empty
     freq = np.bincount(np.concatenate([d for d, v in zip(docs, y) if not v]), minlength=len(tokens))
     common = clean[np.argsort(-freq[clean], kind="stable")][:6000]
-    piece = firsts  # a token's first piece stands for it in training
     # 2. landmarks: high tokens that differ, and common ones
     high = np.argsort(-value, kind="stable")
     high = high[value[high] > LEAST_Z][:6000]
@@ -363,7 +372,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         r, c, v = _sparse(m)
         weights = np.bincount(c, weights=beta[r] * v, minlength=_N).astype(np.float32)
         bias = float(w[-1])
-        value = np.maximum.reduceat(piece_scores(codes, weights, bias), firsts)
+        value, piece = _highest(piece_scores(codes, weights, bias), firsts)
     # 4. calibration on the other documents
     model = Model(weights, bias, (0.0, 0.0, 0.0))
     scorer = Scorer(model)

@@ -411,6 +411,21 @@ def test_chat_digests(spark):
     assert len(got) == len(want)
 
 
+# ------------------------------------------------------------------- toxicity
+
+
+def test_toxicity_learns_from_the_later_pieces_of_long_tokens():
+    r = np.random.default_rng(5)
+    letters = list("bcdfghjklmnpqrstvwxz")
+    lead = lambda: "".join(r.choice(letters, 24))
+    other = lambda: "".join(r.choice(letters, 11))
+    sample = [(" ".join([lead() + other() for _ in range(20)] + [lead() + "grumblewort"] * y), y) for y in [0, 1] * 60]
+    model = toxicity.fit(sample)
+    bad, good = (pa.array([lead() + end() for _ in range(20)]) for end in (lambda: "grumblewort", other))
+    scorer = toxicity.Scorer(model)
+    assert scorer.top(bad)[0].min() > 0 > scorer.top(good)[0].max()
+
+
 # ------------------------------------------------------------------- pipeline
 
 
