@@ -7,10 +7,11 @@ folder.  :func:`features` reads the stored bytes back, checks and measures
 them.  :func:`resolved` joins references to media by digest only, so payloads
 never move with the sequences, and positions and captions stay beside them.
 
-Cases: null html is an empty sequence; a reference that no media has keeps its
-position and gets null media columns; media stored twice under one digest are
+Cases: null html is an empty sequence; a reference to no digest keeps its
+position, url and caption; one that no media has
+gets null media columns; media stored twice under one digest are
 equal and resolve once; null payloads count as empty (a payload is never
-shorter than one row of 192 bytes of white space).  Extra columns pass through.
+shorter than one row of 192 bytes of white space).  Extra columns pass through, but for those named as the results.
 """
 
 from __future__ import annotations
@@ -20,19 +21,20 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import text
+from . import markup, text
 
 WIDTH = 64
 ROW = 3 * WIDTH
 PNG = b"\x89PNG\r\n\x1a\n"
-SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,url:string,caption:string>>"
+MEDIA = frozenset("img audio video source embed".split())
+UNREAD = frozenset("script style template".split())
 FEATURES = {
     "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long",
     "media_bytes": "long", "media_sha256": "string", "feature": "string",
@@ -103,64 +105,59 @@ def measure(media: bytes) -> tuple:
 # ------------------------------------------------------------------- sequences
 
 
-class _Parser(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[dict] = []
-        self.words: list[str] = []
-        self.media: dict | None = None
-        self.caption: list[str] | None = None
-        self.skip = 0
-
-    def _flush(self) -> None:
-        if said := " ".join("".join(self.words).split()):
-            self.out.append({"kind": "text", "text": said, "digest": None, "caption": None})
-        self.words = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.skip += 1
-        elif tag in ("img", "audio", "video", "source"):
-            got = dict(attrs)
-            if found := _REFERENCE.search(got.get("src") or ""):
-                self._flush()
-                self.media = {"kind": "media", "text": None, "digest": found[1], "caption": got.get("alt")}
-                self.out.append(self.media)
-        elif tag == "figcaption":
-            self._flush()
-            self.caption = []
-        elif tag not in ("b", "i", "em", "strong", "a", "span", "u", "code", "sub", "sup"):
-            self._flush()
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            if self.media is not None:
-                self.media["caption"] = said
-            elif said:
-                self.out.append({"kind": "text", "text": said, "digest": None, "caption": None})
-            self.caption = None
-        elif tag == "figure":
-            self._flush()
-            self.media = None
-        elif tag not in ("b", "i", "em", "strong", "a", "span", "u", "code", "sub", "sup"):
-            self._flush()
-
-    def handle_data(self, data):
-        if not self.skip:
-            (self.words if self.caption is None else self.caption).append(data)
-
-
 def parse(html: str | None) -> list[dict]:
-    p = _Parser()
-    p.feed(html or "")
-    p.close()
-    if p.caption is not None:
-        p.handle_endtag("figcaption")
-    p._flush()
-    return [{"position": i, **x} for i, x in enumerate(p.out)]
+    """Texts and media references in page order.  A media reference is an element with a source;
+    its digest is that of a ``sha256:`` source, null for any other."""
+    out: list[dict] = []
+    words: list[str] = []
+    media: dict | None = None
+    caption: list[str] | None = None
+
+    def said(parts: list[str]) -> str:
+        return " ".join(markup.unescape("".join(parts)).split())
+
+    def add(kind: str, body: str | None, digest=None, url=None, caption=None) -> dict:
+        out.append({"position": len(out), "kind": kind, "text": body, "digest": digest, "url": url, "caption": caption})
+        return out[-1]
+
+    def flush() -> None:
+        if body := said(words):
+            add("text", body)
+        words.clear()
+
+    def close_caption() -> None:
+        nonlocal caption
+        body, caption = said(caption or []), None
+        if media is not None:
+            media["caption"] = body
+        elif body:
+            add("text", body)
+
+    for kind, what, raw in markup.tokens(html or "", UNREAD):
+        if kind == "text":
+            (words if caption is None else caption).append(what)
+        elif kind == "start" and what in MEDIA:
+            got = dict(reversed(list(markup.attributes(raw))))  # of two attributes of one name the first counts
+            if url := got.get("src", "").strip():
+                flush()
+                found = _REFERENCE.search(url)
+                media = add("media", None, found[1] if found else None, url, got.get("alt"))
+        elif what == "figcaption":
+            if caption is not None:
+                close_caption()
+            if kind == "start":
+                flush()
+                caption = []
+        elif what == "figure":
+            flush()
+            if kind == "end":
+                media = None
+        elif what not in markup.INLINE and what not in UNREAD:
+            flush()
+    if caption is not None:
+        close_caption()
+    flush()
+    return out
 
 
 def sequences(pages: DataFrame) -> DataFrame:
@@ -168,7 +165,7 @@ def sequences(pages: DataFrame) -> DataFrame:
     text.ready(pages.sparkSession)
     pages = pages.drop("sequence")
     kept = [c for c in pages.columns if c != "html"]
-    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("url", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,10 +205,19 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def resolved(sequences_: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per media reference, with its position, its caption and the columns of ``found``."""
-    refs = sequences_.withColumn("_at", F.explode("sequence")).where("_at.kind = 'media'").drop("sequence")
-    refs = refs.select("*", F.col("_at.position").alias("position"), F.col("_at.caption").alias("caption"), F.col("_at.digest").alias("digest")).drop("_at")
-    return refs.join(found, "digest", "left")
+    """One row per media reference, with its position, url, caption and digest and the columns of ``found``.
+
+    Columns of ``sequences_`` with one of these names are replaced.  References
+    without a digest take no part in the join, so they cannot gather in one task.
+    """
+    at, digest = text.unused(sequences_, "_at", "_digest")
+    own = ["position", "url", "caption", "digest", *(c for c in found.columns if c != "digest")]
+    refs = sequences_.withColumn(at, F.explode("sequence")).where(F.col(at)["kind"] == "media").drop("sequence", *own)
+    refs = refs.select("*", *(F.col(at)[c].alias(c) for c in ("position", "url", "caption", "digest"))).drop(at)
+    found = found.withColumnRenamed("digest", digest)
+    met = refs.where("digest IS NOT NULL").join(found, F.col("digest") == F.col(digest), "left").drop(digest)
+    lone = refs.where("digest IS NULL").select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name != digest))
+    return met.unionByName(lone)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -220,5 +226,6 @@ def op6(spark, sf_dir: str) -> DataFrame:
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     html = F.concat(F.lit("<article><p>Document "), name, F.lit("</p><figure><img src='sha256:"), F.sha2(body.cast("binary"), 256), F.lit("' alt='text as an image'><figcaption>Text of document "), name, F.lit("</figcaption></figure></article>"))
     found = text.written(features(stored(docs.select("text"))), "features")
+    # every reference here has a digest; what it resolves to is the whole result
     out = resolved(sequences(docs.select("doc_id", html.alias("html"))), found)
     return out.select("doc_id", *FEATURES)

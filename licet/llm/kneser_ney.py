@@ -1,33 +1,42 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
-
-Counting: every task hashes the words of its documents, sums the bigrams of a
-few million tokens at a time and sends them, packed and sorted, to shards of
-the bigrams' hashes (so a frequent word's bigrams go to all shards).  A shard
-task adds the counts up and writes sorted arrays of hashes and counts to the
-shared folder; from it every word's statistics (continuations, occurrences,
-followers seen once, twice, oftener) go to shards of the words' hashes, which
-are written the same way.  Workers map the arrays into memory and look up the
-sorted distinct bigrams of a batch by binary search.
-
-Size: a bigram takes 12 bytes and a word 36 in the arrays; the number of shards
-grows with the input, so that a shard's task stays small.  The order is 2:
-in such text most trigrams occur once, so a third order would store
-about as many entries as there are tokens, and gain little.
-
-Model: with counts c and discounts D for counts of 1, 2 and more,
-``P(w|v) = (c(vw) - D) / c(v) + gamma(v) P(w)`` and ``P(w)`` the same way from
-the numbers of words before w, interpolated with ``1 / (V + 1)``, which is also
-what an unknown word gets.  Contexts include the begin of a text; every text
-ends with an end token.
-
-Hashes have 56 bits: two of n words share one with probability n * n / 2 ** 57.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark.
+
+Vocabulary: every task counts the hashes of its words; hash ranges of them are
+summed, sorted and written, and a word's number is its place in that order.
+
+Counting: every task turns its texts into numbers, sums the n-grams of a few
+million tokens at a time and sends them, packed in the order of their first
+word, to shards.  A shard task adds them up, writes sorted hash arrays, and
+sends each distinct n-gram's last n - 1 words on: their count at the order
+below is the number of distinct words before them (modified Kneser-Ney), and
+so on down to single words.  A shard holds whole contexts, so the numbers of a
+context's followers are counted in it; contexts whose words are all frequent
+(more than ``SHARD`` times in the corpus) are dealt by whole n-grams instead,
+and the numbers of their followers are added up in one more step, so that no
+context gathers more than ``SHARD`` tokens in a task.  With many shards tasks
+deal to ranges of shards first, which are dealt out again (:data:`FAN`).
+
+Arrays: a shard is one file with an offset table, mapped into memory when it is
+first needed.  A key is stored as 32 bits inside buckets of its upper bits; an
+n-gram or context that was met once takes about 4.5 bytes, others 1 or 4
+more.  About 50 bits of a key are compared within a shard, so an n-gram that
+the corpus lacks is taken for one that it has once in 10^8 times.  Words have
+64-bit hashes: two of n words share one with probability n * n / 2 ** 65.
+
+Model: with counts c of an order (of the tokens at the highest one, of distinct
+words before at the others) and discounts D for counts of 1, 2 and more,
+``P(w|h) = (c(hw) - D) / c(h) + gamma(h) P(w|h')`` where h' lacks the first
+word of h, down to ``1 / (V + 1)``, which is also what an unknown word gets; a
+context that was never met is left out.  Texts begin with ``order - 1`` begin
+marks, which are contexts only, and end with an end token.
 
 Cases: null and empty texts have the end token only; without training documents
-every token has probability ``1 / (V + 1) = 1``.  Extra columns pass through.
+every token has probability ``1 / (V + 1) = 1``.  Extra columns pass through;
+columns named as the results are replaced.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -40,65 +49,108 @@ from pyspark.sql import functions as F
 
 from . import labelled, text
 
-WIDTH = 7
-_MASK = np.uint64((1 << 8 * WIDTH) - 1)
-BEGIN, END = np.uint64(1), np.uint64(2)
-#: Tokens that a task sums at a time, and tokens of the input for each shard.
+ORDER = 3
+#: The hash of the end token; numbers of the begin mark and of words that the corpus lacks.
+END = np.uint64(2)
+BEGIN, UNKNOWN = 0, 2**63
+#: Tokens that a task sums at a time; tokens of the input for each shard, and of a context in one.
 TOKENS = 1_500_000
 SHARD = 2_000_000
+#: Shards that one task deals to at most.
+FAN = 1024
+#: Shard files that a worker keeps mapped.
+MAPPED = 8192
+_BUCKET = 16
+_GRAMS, _CONTEXTS, _NUMBERS = 0, 1, 2
+#: The usual numbers: an n-gram's count; a context's sum, followers counted once, twice, oftener.
+ONCE, LONE = (1,), (1, 1, 0, 0)
 
 
 @dataclass(frozen=True)
 class Model:
     folder: str
+    order: int
     shards: int
+    words: tuple[int, ...]  # distinct words before each hash range, and all
     tokens: int  # N: training tokens
-    types: int  # V: distinct ones
-    bigrams: int
-    discounts: tuple[float, float, float]
-    lower: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]  # by order, from 1
+    total: int  # sum of the single words' counts
     gamma: float  # of the empty context
+    heavy: int  # occurrences from which a word is frequent
 
+    @property
+    def types(self) -> int:  # V: distinct words
+        return self.words[-1]
 
-def sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token the word before it and the word, and each document's first token."""
+
+@dataclass(frozen=True)
+class Deal:
+    """How n-grams are written and dealt."""
+
+    folder: str
+    shards: int
+    before: tuple[int, ...]
+    heavy: int
+    width: int = 0  # bytes of a word's number
+    step: int = 1  # shards of a range
+
+
+# ------------------------------------------------------------------- hash keys
+
+
+def sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each document's words and its end token, and each document's first token."""
     w = text.words(column)
     n = len(w.first) - 1
     first = w.first + np.arange(n + 1)
-    h = w.hashes(lower=True) & _MASK
-    h[h < 8] += np.uint64(8)
+    h = w.hashes(lower=True)
+    h[h <= END] += np.uint64(8)
     word = np.full(first[-1], END, dtype=np.uint64)
-    doc = np.repeat(np.arange(n), w.counts())
-    word[np.arange(len(h)) + doc] = h
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[first[:-1]] = BEGIN
-    return before, word, first
+    word[np.arange(len(h)) + np.repeat(np.arange(n), w.counts())] = h
+    return word, first
+
 
+def grams(ids: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """Columns of the n-gram that ends at each token; before a text stands the begin mark."""
+    out = [ids]
+    place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+    for back in range(1, order):
+        c = np.full(len(ids), BEGIN, dtype=np.uint64)
+        c[back:] = ids[:-back]
+        c[place < back] = BEGIN
+        out.insert(0, c)
+    return out
 
-def pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return text.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
+def key(columns: list[np.ndarray]) -> np.ndarray:
+    h = np.full(len(columns[0]) if columns else 1, len(columns), dtype=np.uint64)
+    for c in columns:
+        h = text.mix(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
+    return h
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+
+def range_of(h: np.ndarray, shards: int) -> np.ndarray:
     """Shards are ranges of 64-bit hashes."""
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def word_key(word: np.ndarray) -> np.ndarray:
-    return text.mix(word)
+def shard_of(columns: list[np.ndarray], frequent: np.ndarray, shards: int) -> np.ndarray:
+    """Of n-grams: by their context; by the whole of it where the context may be too frequent."""
+    return range_of(np.where(frequent, key(columns), key(columns[:-1]) if len(columns) > 1 else key(columns)), shards)
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the place of each key's first row in order, the order."""
-    order = np.argsort(keys)
-    k = keys[order]
+def summed(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams and their counts."""
+    k = key(columns)
+    order = np.argsort(k)
+    k = k[order]
     firsts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[firsts], firsts, order
+    at = order[firsts]
+    total = np.diff(np.append(firsts, len(k))).astype(np.uint64) if counts is None else np.add.reduceat(counts[order], firsts) if len(k) else counts
+    return [c[at] for c in columns], total
 
 
-def _sum(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, firsts) if len(firsts) else values[:0]
+# ----------------------------------------------------------------------- blobs
 
 
 def _pack_counts(c: np.ndarray) -> bytes:
@@ -106,72 +158,251 @@ def _pack_counts(c: np.ndarray) -> bytes:
     return small.tobytes() + c[small == 255].astype("<u8").tobytes()
 
 
-def _unpack_counts(raw: bytes, n: int) -> tuple[np.ndarray, int]:
+def _unpack_counts(raw: memoryview, n: int) -> tuple[np.ndarray, int]:
     c = np.frombuffer(raw, np.uint8, n).astype(np.uint64)
     big = np.flatnonzero(c == 255)
     c[big] = np.frombuffer(raw, "<u8", len(big), n)
     return c, n + 8 * len(big)
 
 
-def _pack_bigrams(before: np.ndarray, word: np.ndarray, c: np.ndarray) -> bytes:
-    """Sorted by the word before, which is written once for its run."""
-    order = np.argsort(before, kind="stable")
-    before, word, c = before[order], word[order], c[order]
-    firsts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-    runs = np.diff(np.append(firsts, len(before)))
-    head = np.array([len(before), len(firsts)], dtype="<u8").tobytes()
-    return head + text.uint_le(before[firsts], WIDTH) + _pack_counts(runs.astype(np.uint64)) + text.uint_le(word, WIDTH) + _pack_counts(c)
+def pack(columns: list[np.ndarray], counts: list[np.ndarray], width: int) -> bytes:
+    """n-grams in the order of their first word, which is written once for its run."""
+    order = np.argsort(columns[0], kind="stable")
+    columns, counts = [c[order] for c in columns], [c[order] for c in counts]
+    firsts = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
+    runs = np.diff(np.append(firsts, len(columns[0]))).astype(np.uint64)
+    head = np.array([len(columns[0]), len(firsts)], dtype="<u8").tobytes()
+    ids = [text.uint_le(columns[0][firsts], width), *(text.uint_le(c, width) for c in columns[1:])]
+    return head + _pack_counts(runs) + b"".join(ids) + b"".join(map(_pack_counts, counts))
 
 
-def _unpack_bigrams(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = (int(x) for x in np.frombuffer(raw, "<u8", 2))
-    at = 16
-    heads = text.from_uint_le(raw[at : at + WIDTH * m], WIDTH)
-    at += WIDTH * m
-    runs, used = _unpack_counts(raw[at:], m)
-    at += used
-    word = text.from_uint_le(raw[at : at + WIDTH * n], WIDTH)
-    c, _ = _unpack_counts(raw[at + WIDTH * n :], n)
-    return np.repeat(heads, runs.astype(np.int64)), word, c
+def unpack(raw: bytes, columns: int, counts: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    view = memoryview(raw)
+    n, m = (int(x) for x in np.frombuffer(view, "<u8", 2))
+    runs, used = _unpack_counts(view[16:], m)
+    at = 16 + used
+    ids = []
+    for size in (m, *[n] * (columns - 1)):
+        ids.append(text.from_uint_le(view[at : at + size * width], width))
+        at += size * width
+    ids[0] = np.repeat(ids[0], runs.astype(np.int64))
+    out = []
+    for _ in range(counts):
+        c, used = _unpack_counts(view[at:], n)
+        out.append(c)
+        at += used
+    return ids, out
 
 
-def _save(path: str, **arrays: np.ndarray) -> None:
-    """Each array in a file that appears at once, so a task may be run again."""
-    os.makedirs(path, exist_ok=True)
-    for name, a in arrays.items():
-        part = f"{path}/.{name}-{uuid.uuid4().hex}"
-        np.ascontiguousarray(a).tofile(part)
-        os.replace(part, f"{path}/{name}")
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["shard", "kind", "packed"])
+
+
+_SCHEMA = "shard int, kind int, packed binary"
+
 
+def _dealt(kind: int, shard: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray], width: int, step: int = 1) -> Iterator[pa.RecordBatch]:
+    """n-grams as a blob for each range of ``step`` shards, named by its first one."""
+    part = shard // step
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    firsts = np.flatnonzero(np.diff(part, prepend=-1))
+    rows = []
+    for a, b in zip(firsts, np.append(firsts[1:], len(part))):
+        at = order[a:b]
+        rows.append((int(part[a]) * step, kind, pack([c[at] for c in columns], [c[at] for c in counts], width)))
+        if len(rows) == 64:
+            yield _rows(rows)
+            rows = []
+    if rows:
+        yield _rows(rows)
 
-def _mapped(path: str, dtype: str) -> np.ndarray:
-    return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
 
+# ----------------------------------------------------------------------- files
 
-_STATISTICS = ("continues", "occurs", "total", "once", "twice", "more")
 
+def _aligned(n: int) -> int:
+    return -(-n // 8) * 8
 
-def _count(shards: int):
+
+def save(path: str, **arrays: np.ndarray) -> None:
+    """Arrays in one file with an offset table, which appears at once, so a task may be run again."""
+    table, at = {}, 0
+    for name, a in arrays.items():
+        table[name] = [a.dtype.str, list(a.shape), at]
+        at += _aligned(a.nbytes)
+    head = json.dumps(table).encode()
+    head += b" " * (_aligned(len(head)) - len(head))
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    part = f"{os.path.dirname(path)}/.{os.path.basename(path)}-{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(len(head).to_bytes(8, "little") + head)
+        for a in arrays.values():
+            f.write(np.ascontiguousarray(a).tobytes())
+            f.write(b"\0" * (_aligned(a.nbytes) - a.nbytes))
+    os.replace(part, path)
+
+
+def load(path: str) -> dict[str, np.ndarray]:
+    if not os.path.exists(path):
+        return {}
+    raw = np.memmap(path, dtype=np.uint8, mode="r")
+    n = int.from_bytes(raw[:8].tobytes(), "little")
+    out = {}
+    for name, (kind, shape, at) in json.loads(raw[8 : 8 + n].tobytes()).items():
+        size = int(np.prod(shape)) * np.dtype(kind).itemsize
+        out[name] = np.frombuffer(raw[8 + n + at : 8 + n + at + size], dtype=kind).reshape(shape)
+    return out
+
+
+def hashed(k: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The order of sorted keys, and the keys as 32 bits in buckets of their upper bits."""
+    bits = max(0, int(len(k) // _BUCKET).bit_length())
+    upper = np.uint64(64 - bits)
+    order = np.argsort(k)
+    k = k[order]
+    bucket = (k >> upper).astype(np.int64) if bits else np.zeros(len(k), np.int64)
+    begins = np.searchsorted(bucket, np.arange((1 << bits) + 1)).astype("<u4")
+    return order, {"begins": begins, "low": (k >> np.uint64(32 - bits) & np.uint64(0xFFFFFFFF)).astype("<u4")}
+
+
+def find(arrays: dict[str, np.ndarray], k: np.ndarray) -> np.ndarray:
+    """The place of each key, or -1: all keys' binary searches step together."""
+    if not arrays or not len(arrays["low"]):
+        return np.full(len(k), -1, dtype=np.int64)
+    begins, low = arrays["begins"], arrays["low"]
+    bits = (len(begins) - 1).bit_length() - 1
+    bucket = (k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), np.int64)
+    want = (k >> np.uint64(32 - bits) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    lo, end = begins[bucket].astype(np.int64), begins[bucket + 1].astype(np.int64)
+    hi = end.copy()
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (lo < hi) & (low[np.minimum(mid, len(low) - 1)] < want)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.maximum(lo, np.minimum(mid, hi)))
+    hit = (lo < end) & (low[np.minimum(lo, len(low) - 1)] == want)
+    return np.where(hit, lo, -1)
+
+
+def _narrow(c: np.ndarray) -> np.ndarray:
+    """Counts in the least width that holds them all."""
+    most = int(c.max(initial=0))
+    return c.astype("<u1" if most < 2**8 else "<u2" if most < 2**16 else "<u4" if most < 2**32 else "<u8")
+
+
+def save_table(path: str, columns: list[np.ndarray], rows: np.ndarray, usual: tuple[int, ...]) -> None:
+    """Rows of numbers by key: a bit tells which keys have other ones than the
+    ``usual``; these are stored in bytes, and those with large numbers once more."""
+    order, arrays = hashed(key(columns))
+    rows = rows[order]
+    other = np.zeros(-(-len(rows) // 64) * 64, dtype=np.uint8)
+    other[: len(rows)] = (rows != np.array(usual, dtype=np.uint64)).any(1)
+    rank = np.concatenate([[0], np.cumsum(other.reshape(-1, 64).sum(1, dtype=np.int64))])[:-1]
+    rows = rows[other[: len(rows)] > 0]
+    large = np.flatnonzero((rows >= 255).any(1))
+    save(path, **arrays, other=np.packbits(other, bitorder="little").view("<u8"), rank=rank, rows=np.minimum(rows, 255).astype(np.uint8), at=large, large=rows[large])
+
+
+def look_up(arrays: dict[str, np.ndarray], k: np.ndarray, usual: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are there, and the rows of these."""
+    place = find(arrays, k)
+    hit = np.flatnonzero(place >= 0)
+    place = place[hit]
+    out = np.empty((len(hit), len(usual)))
+    out[:] = usual
+    if len(hit):
+        bits, bit = arrays["other"][place >> 6], (place & 63).astype(np.uint64)
+        other = np.flatnonzero(bits >> bit & np.uint64(1))
+        less = bits & ((np.uint64(1) << bit) - np.uint64(1))
+        row = arrays["rank"][place[other] >> 6] + np.bitwise_count(less[other])
+        got = arrays["rows"][row].astype(np.float64)
+        large = np.flatnonzero((got == 255).any(1))
+        got[large] = arrays["large"][np.searchsorted(arrays["at"], row[large])]
+        out[other] = got
+    return hit, out
+
+
+class Shards:
+    """The mapped files of a folder, the last ``MAPPED`` used ones."""
+
+    def __init__(self, folder: str):
+        self.folder, self.open = folder, {}
+
+    def __call__(self, name: str) -> dict[str, np.ndarray]:
+        got = self.open.pop(name, None)
+        if got is None:
+            got = load(f"{self.folder}/{name}")
+            if len(self.open) >= MAPPED:
+                self.open.pop(next(iter(self.open)))
+        self.open[name] = got
+        return got
+
+
+class Words:
+    """Numbers and counts of words by their hashes."""
+
+    def __init__(self, files: Shards, before: tuple[int, ...]):
+        self.files, self.before = files, np.array(before, dtype=np.int64)
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number (from 1; ``UNKNOWN``: not in the corpus) and count of each word."""
+        distinct, back = np.unique(h, return_inverse=True)
+        number, count = np.full(len(distinct), UNKNOWN, dtype=np.uint64), np.zeros(len(distinct), dtype=np.uint64)
+        shards = len(self.before) - 1
+        k = text.mix(distinct)
+        order = np.argsort(k)
+        k = k[order]
+        bounds = np.searchsorted(range_of(k, shards), np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(bounds)):
+            a, b = bounds[s], bounds[s + 1]
+            have = self.files(f"words/{s}")
+            if have:
+                at = np.minimum(np.searchsorted(have["keys"], k[a:b]), len(have["keys"]) - 1)
+                hit = np.flatnonzero(have["keys"][at] == k[a:b])
+                number[order[a + hit]] = 1 + self.before[s] + at[hit]
+                count[order[a + hit]] = have["counts"][at[hit]]
+        return number[back], count[back]
+
+    def counts_of(self, number: np.ndarray) -> np.ndarray:
+        """Counts of words by number; the begin mark counts as frequent."""
+        out = np.full(len(number), np.iinfo(np.uint64).max, dtype=np.uint64)
+        shard = np.searchsorted(self.before, number.astype(np.int64) - 1, "right") - 1
+        for s in np.unique(shard[number > 0]):
+            at = np.flatnonzero((shard == s) & (number > 0))
+            out[at] = self.files(f"words/{s}")["counts"][number[at].astype(np.int64) - 1 - self.before[s]]
+        return out
+
+
+def frequent(columns: list[np.ndarray], counts_of, heavy: int) -> np.ndarray:
+    """Contexts all of whose words occur more than ``heavy`` times; other contexts occur less."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    for c in columns[:-1]:
+        left = np.flatnonzero(out)
+        distinct, back = np.unique(c[left], return_inverse=True)
+        out[left] = (counts_of(distinct) > heavy)[back]
+    return out
+
+
+# -------------------------------------------------------------------- counting
+
+
+def _count_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            before, word = (np.concatenate(x) for x in zip(*held))
+            k, c = np.unique(text.mix(np.concatenate(held)), return_counts=True)
             held.clear()
-            keys, firsts, order = _summed(pair(before, word), None)
-            c = np.diff(np.append(firsts, len(order))).astype(np.uint64)
-            at = order[firsts]
-            before, word = before[at], word[at]
-            bounds = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-            full = [s for s in range(shards) if bounds[s] < bounds[s + 1]]
-            packed = [_pack_bigrams(*(x[bounds[s] : bounds[s + 1]] for x in (before, word, c))) for s in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=["shard", "packed"])
+            bounds = np.searchsorted(range_of(k, shards), np.arange(shards + 1))
+            for i in range(0, shards, 64):
+                some = [s for s in range(i, min(i + 64, shards)) if bounds[s] < bounds[s + 1]]
+                yield _rows([(s, _GRAMS, _pack_words(k[bounds[s] : bounds[s + 1]], c[bounds[s] : bounds[s + 1]])) for s in some])
 
         for batch in batches:
             for part in text.steps(batch):
-                before, word, _ = sequence(part.column(0))
-                held.append((before, word))
+                word, _ = sequence(part.column(0))
+                held.append(word)
                 size += len(word)
                 if size >= TOKENS:
                     yield from flush()
@@ -182,181 +413,304 @@ def _count(shards: int):
     return run
 
 
-def _add_bigrams(folder: str, shards: int):
-    """A shard's task: rows of one shard follow each other."""
+def _pack_words(k: np.ndarray, c: np.ndarray) -> bytes:
+    return len(k).to_bytes(8, "little") + k.astype("<u8").tobytes() + _pack_counts(c.astype(np.uint64))
 
-    def done(shard: int, held: list[bytes]) -> pa.RecordBatch:
-        before, word, c = (np.concatenate(x) for x in zip(*map(_unpack_bigrams, held)))
-        held.clear()
-        keys, firsts, order = _summed(pair(before, word), None)
-        c = _sum(c[order], firsts)
-        at = order[firsts]
-        del order, firsts
-        before, word = before[at], word[at]
-        _save(f"{folder}/bigrams/{shard}", keys=keys, counts=np.minimum(c, 2**32 - 1).astype("<u4"))
-        # what this shard knows of each word, as the later and as the earlier word of a bigram
-        columns = {"continues": np.ones_like(c), "occurs": c}
-        later = _by_word(word, columns)
-        few = {"total": c, "once": (c == 1).astype(np.uint64), "twice": (c == 2).astype(np.uint64), "more": (c > 2).astype(np.uint64)}
-        earlier = _by_word(before, few)
-        numbers = [int((c == i).sum()) for i in range(1, 5)] + [int(c.sum()), len(c)]
-        out_shard, out = [], []
-        for kind, (w, stats) in enumerate((later, earlier)):
-            k = word_key(w)
-            order = np.argsort(k)
-            w, k = w[order], k[order]
-            bounds = np.searchsorted(shard_of(k, shards), np.arange(shards + 1))
-            for s in range(shards):
-                a, b = bounds[s], bounds[s + 1]
-                if a < b:
-                    out_shard.append(s)
-                    out.append(bytes([kind]) + int(b - a).to_bytes(8, "little") + text.uint_le(w[a:b], WIDTH) + b"".join(_pack_counts(x[order][a:b]) for x in stats))
-        out_shard.append(-1)
-        out.append(np.array(numbers, dtype="<u8").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int32()), pa.array(out, pa.binary())], names=["shard", "packed"])
 
-    return _runs(done)
+def _unpack_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(raw, "<u8", n, 8), _unpack_counts(memoryview(raw)[8 + 8 * n :], n)[0]
 
 
-def _by_word(word: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    keys, firsts, order = _summed(word, None)
-    return keys, [_sum(c[order], firsts) for c in columns.values()]
-
-
-def _add_words(folder: str, shards: int):
-    def done(shard: int, held: list[bytes]) -> pa.RecordBatch:
-        if shard < 0:  # numbers of all bigram shards
-            total = np.sum([np.frombuffer(x, "<u8") for x in held], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([[int(x) for x in total]], pa.list_(pa.int64()))], names=["kind", "numbers"])
-        words, stats = [], []
-        for raw in held:
-            n, at = int.from_bytes(raw[1:9], "little"), 9
-            words.append(text.from_uint_le(raw[at : at + WIDTH * n], WIDTH))
-            at += WIDTH * n
-            row = np.zeros((n, 6), dtype=np.uint64)
-            for j in (0, 1) if raw[0] == 0 else (2, 3, 4, 5):
-                row[:, j], used = _unpack_counts(raw[at:], n)
-                at += used
-            stats.append(row)
-        word, row = np.concatenate(words), np.concatenate(stats)
-        keys, firsts, order = _summed(word_key(word), None)
-        row = np.add.reduceat(row[order], firsts, axis=0)
-        _save(f"{folder}/words/{shard}", keys=keys, statistics=row.astype("<u8") if row.max(initial=0) >= 2**32 else row.astype("<u4"))
-        seen = row[:, 0]
-        numbers = [int((seen == i).sum()) for i in range(1, 5)] + [int(seen.sum()), int((seen > 0).sum())]
-        return pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([numbers], pa.list_(pa.int64()))], names=["kind", "numbers"])
+def _add_words(folder: str):
+    def done(shard: int, kind: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        k, c = (np.concatenate(x) for x in zip(*map(_unpack_words, held)))
+        order = np.argsort(k, kind="stable")
+        k, c = k[order], c[order]
+        firsts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        k, c = k[firsts], np.add.reduceat(c, firsts)
+        save(f"{folder}/words/{shard}", keys=k, counts=_narrow(c))
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64())], names=["shard", "types", "tokens"])
 
     return _runs(done)
 
 
 def _runs(done):
-    """Calls ``done(shard, blobs)`` for each run of rows of a shard."""
+    """Calls ``done(shard, kind, blobs)`` for each run of rows of a shard and kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if shard != now and held:
-                    yield done(now, held)
+            for shard, kind, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if (shard, kind) != now and held:
+                    yield from done(*now, held)
                     held = []
-                now = shard
+                now = shard, kind
                 held.append(packed.as_py())
         if held:
-            yield done(now, held)
+            yield from done(*now, held)
+
+    return run
+
+
+def _place(columns: list[np.ndarray], words: Words, deal: Deal) -> np.ndarray:
+    """The shards of n-grams; single words go where the vocabulary has them."""
+    if len(columns) == 1:
+        return np.searchsorted(words.before, columns[0].astype(np.int64) - 1, "right") - 1
+    return shard_of(columns, frequent(columns, words.counts_of, deal.heavy), deal.shards)
+
+
+def _count_grams(order: int, deal: Deal):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(Shards(deal.folder), deal.before)
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns, counts = summed([np.concatenate(c) for c in zip(*held)])
+            held.clear()
+            yield from _dealt(_GRAMS, _place(columns, words, deal), columns, [counts], deal.width, deal.step)
+
+        for batch in batches:
+            for part in text.steps(batch):
+                word, first = sequence(part.column(0))
+                held.append(grams(words.look_up(word)[0], first, order))
+                size += len(word)
+                if size >= TOKENS:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _deal_again(order: int, deal: Deal):
+    """From ranges of shards to shards: n-grams of a few million tokens are summed again before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(Shards(deal.folder), deal.before)
+        held: dict[int, list] = {_GRAMS: [], _CONTEXTS: []}
+        size = {_GRAMS: 0, _CONTEXTS: 0}
+
+        def flush(kind: int) -> Iterator[pa.RecordBatch]:
+            columns, counts = ([np.concatenate(c) for c in zip(*x)] for x in zip(*held[kind]))
+            held[kind].clear()
+            size[kind] = 0
+            if kind == _GRAMS:
+                columns, total = summed(columns, counts[0])
+                yield from _dealt(kind, _place(columns, words, deal), columns, [total], deal.width)
+            else:
+                yield from _dealt(kind, range_of(key(columns), deal.shards), columns, counts, deal.width)
+
+        for batch in batches:
+            for shard, kind, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if kind == _NUMBERS:
+                    yield _rows([(shard, kind, packed.as_py())])
+                    continue
+                held[kind].append(unpack(packed.as_py(), order, 1 if kind == _GRAMS else 4, deal.width))
+                size[kind] += len(held[kind][-1][0][0])
+                if size[kind] >= TOKENS:
+                    yield from flush(kind)
+        for kind in held:
+            if held[kind]:
+                yield from flush(kind)
 
     return run
 
 
-def _discounts(n: list[int]) -> tuple[float, float, float]:
+def _numbers(order: int, counts: np.ndarray) -> tuple[int, int, bytes]:
+    """Of an order: n-grams counted once .. four times, the sum of the counts."""
+    return 0, _NUMBERS, np.array([order, *((counts == i).sum() for i in range(1, 5)), counts.sum()], dtype="<u8").tobytes()
+
+
+def _add_grams(order: int, deal: Deal):
+    """A shard's task for one order: sums, arrays, and what the order below gets."""
+
+    def done(shard: int, kind: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if kind == _NUMBERS:
+            yield _rows([(0, kind, x) for x in held])
+            return
+        if kind == _CONTEXTS:  # of frequent words, of the order above
+            columns, stats = ([np.concatenate(c) for c in zip(*x)] for x in zip(*(unpack(x, order, 4, deal.width) for x in held)))
+            held.clear()
+            k = key(columns)
+            o = np.argsort(k)
+            firsts = np.flatnonzero(np.concatenate([[True], k[o][1:] != k[o][:-1]]))
+            table = np.add.reduceat(np.column_stack(stats)[o], firsts, axis=0)
+            save_table(f"{deal.folder}/frequent{order + 1}/{shard}", [c[o[firsts]] for c in columns], table, LONE)
+            return
+        words = Words(Shards(deal.folder), deal.before)
+        parts = [unpack(x, order, 1, deal.width) for x in held]
+        held.clear()
+        columns, counts = [np.concatenate(c) for c in zip(*(p[0] for p in parts))], np.concatenate([p[1][0] for p in parts])
+        del parts
+        columns, counts = summed(columns, counts)
+        yield _rows([_numbers(order, counts)])
+        if order == 1:  # a shard of words: their counts by number
+            begin, end = deal.before[shard], deal.before[shard + 1]
+            out = np.zeros(end - begin, dtype=np.uint64)
+            out[columns[0].astype(np.int64) - 1 - begin] = counts
+            save(f"{deal.folder}/single/{shard}", counts=_narrow(out))
+            return
+        save_table(f"{deal.folder}/grams{order}/{shard}", columns, counts[:, None], ONCE)
+        # contexts: the sum of the counts, followers counted once, twice, oftener
+        often = frequent(columns, words.counts_of, deal.heavy)
+        k = key(columns[:-1])
+        o = np.argsort(k, kind="stable")
+        firsts = np.flatnonzero(np.concatenate([[True], k[o][1:] != k[o][:-1]]))
+        c = counts[o]
+        stats = np.column_stack([np.add.reduceat(x, firsts) for x in (c, (c == 1).astype(np.uint64), (c == 2).astype(np.uint64), (c > 2).astype(np.uint64))])
+        heads, often = [x[o[firsts]] for x in columns[:-1]], often[o[firsts]]
+        del o, k, c
+        save_table(f"{deal.folder}/contexts{order}/{shard}", [x[~often] for x in heads], stats[~often], LONE)
+        if often.any():
+            heads = [x[often] for x in heads]
+            yield from _dealt(_CONTEXTS, range_of(key(heads), deal.shards), heads, list(stats[often].T), deal.width, deal.step)
+        columns, counts = summed(columns[1:])
+        yield from _dealt(_GRAMS, _place(columns, words, deal), columns, [counts], deal.width, deal.step)
+
+    return _runs(done)
+
+
+def _by_shard(df: DataFrame, shards: int) -> DataFrame:
+    """A partition for each shard: no two large ones meet by chance."""
+    return df.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
+
+
+def discounts(n: list[int]) -> tuple[float, float, float]:
     """Chen and Goodman's; numbers of entries counted once .. four times."""
     n1, n2, n3, n4 = (max(x, 1) for x in n)
     y = n1 / (n1 + 2 * n2)
     return tuple(min(i - 0.05, max(0.05, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def train(docs: DataFrame, tokens: int) -> Model:
-    """Count the column ``text``; ``tokens`` is about the number of its tokens."""
+def train(docs: DataFrame, tokens: int, order: int = ORDER, shard: int = SHARD, fan: int = FAN) -> Model:
+    """Count the column ``text``; ``tokens`` is about the number of its tokens, which sets the number of shards."""
+    if order < 1:
+        raise ValueError("an order is at least 1")
     spark = docs.sparkSession
     text.ready(spark)
-    shards = max(1, -(-tokens // SHARD))
+    shards = max(1, -(-tokens // shard))
     folder = text.mounted(text.shared_folder(spark, "kneser-ney"))
     os.makedirs(folder, exist_ok=True)
-    by_shard = lambda df: df.repartition(shards + 1, "shard").sortWithinPartitions("shard")
-    counted = docs.select("text").mapInArrow(_count(shards), "shard int, packed binary")
-    bigrams = by_shard(counted).mapInArrow(_add_bigrams(folder, shards), "shard int, packed binary")
-    rows = by_shard(bigrams).mapInArrow(_add_words(folder, shards), "kind int, numbers array<long>")
-    total = {r.kind: r.numbers for r in rows.groupBy("kind").agg(F.array(*(F.sum(F.col("numbers")[i]) for i in range(6))).alias("numbers")).collect()}
-    high, low = total.get(0, [0] * 6), total.get(1, [0] * 6)
-    lower = _discounts(low[:4])
-    n1, n2, n3 = low[0], low[1], low[5] - low[0] - low[1]
-    gamma = (lower[0] * n1 + lower[1] * n2 + lower[2] * n3) / low[4] if low[4] else 1.0
-    return Model(folder, shards, high[4], low[5], high[5], _discounts(high[:4]), lower, gamma)
+    docs = docs.select("text")
+    rows = _by_shard(docs.mapInArrow(_count_words(shards), _SCHEMA), shards).mapInArrow(_add_words(folder), "shard int, types long, tokens long").collect()
+    types, n = {r.shard: r.types for r in rows}, sum(r.tokens for r in rows)  # one row a shard
+    before = (0, *np.cumsum([types.get(s, 0) for s in range(shards)]).tolist())
+    deal = Deal(folder, shards, before, shard, max(1, -(-int(before[-1] + 1).bit_length() // 8)), -(-shards // fan))
+    out = docs.mapInArrow(_count_grams(order, deal), _SCHEMA)
+    for k in range(order, 0, -1):
+        if deal.step > 1:
+            out = out.repartitionById(shards, F.col("shard")).mapInArrow(_deal_again(k, deal), _SCHEMA)
+        out = _by_shard(out, shards).mapInArrow(_add_grams(k, deal), _SCHEMA)
+    names = [f"n{i}" for i in range(6)]
+    each = out.mapInArrow(_read_numbers, ", ".join(f"{n} long" for n in names)).groupBy("n0").agg(*(F.sum(n).alias(n) for n in names[1:]))
+    of = {r.n0: [r[n] for n in names[1:]] for r in each.collect()}  # one row an order
+    levels = tuple(discounts(of.get(k, [0] * 5)[:4]) for k in range(1, order + 1))
+    once, twice, _, _, total = of.get(1, [0] * 5)
+    d = levels[0]
+    gamma = (d[0] * once + d[1] * twice + d[2] * (before[-1] - once - twice)) / total if total else 1.0
+    return Model(folder, order, shards, before, n, levels, total, gamma, shard)
+
+
+def _read_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [np.frombuffer(x.as_py(), "<u8") for k, x in zip(batch.column(1).to_pylist(), batch.column(2)) if k == _NUMBERS]
+        yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(6)], names=[f"n{i}" for i in range(6)])
 
 
 class Scorer:
-    """Looks bigrams and words up in the mapped arrays."""
+    """Looks n-grams and words up in the mapped arrays."""
 
     def __init__(self, model: Model):
-        self.m = m = model
-        load = lambda path, kind: _mapped(path, kind) if os.path.exists(path) else np.zeros(0, kind)
-        self.keys = [load(f"{m.folder}/bigrams/{s}/keys", "<u8") for s in range(m.shards)]
-        self.counts = [load(f"{m.folder}/bigrams/{s}/counts", "<u4") for s in range(m.shards)]
-        self.words = [load(f"{m.folder}/words/{s}/keys", "<u8") for s in range(m.shards)]
-        self.statistics = []
-        for s, k in enumerate(self.words):
-            path = f"{m.folder}/words/{s}/statistics"
-            wide = len(k) and os.path.getsize(path) == 48 * len(k)
-            self.statistics.append(load(path, "<u8" if wide else "<u4").reshape(-1, 6))
-
-    def _find(self, keys: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For sorted keys: shard, places in ``keys`` and in the shard of those found."""
-        bounds = np.searchsorted(shard_of(keys, self.m.shards), np.arange(self.m.shards + 1))
-        for s, have in enumerate(arrays):
-            a, b = bounds[s], bounds[s + 1]
-            if a < b and len(have):
-                at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
-                hit = np.flatnonzero(have[at] == keys[a:b])
-                yield s, a + hit, at[hit]
-
-    def word_statistics(self, word: np.ndarray) -> np.ndarray:
-        keys, back = np.unique(word_key(word), return_inverse=True)
-        out = np.zeros((len(keys), 6), dtype=np.float64)
-        for s, i, at in self._find(keys, self.words):
-            out[i] = self.statistics[s][at]
-        return out[back]
-
-    def bigram_counts(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        keys, back = np.unique(pair(before, word), return_inverse=True)
-        out = np.zeros(len(keys))
-        for s, i, at in self._find(keys, self.keys):
-            out[i] = self.counts[s][at]
-        return out[back]
+        self.m = model
+        self.files = Shards(model.folder)
+        self.words = Words(self.files, model.words)
+
+    def _each(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(shard, kind="stable")
+        firsts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        for a, b in zip(firsts, np.append(firsts[1:], len(shard))):
+            yield int(shard[order[a]]), order[a:b]
+
+    def single(self, number: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(number))
+        known = np.flatnonzero(number != UNKNOWN)
+        before = np.array(self.m.words)
+        for s, at in self._each(np.searchsorted(before, number[known].astype(np.int64) - 1, "right") - 1):
+            have = self.files(f"single/{s}")
+            if have:
+                at = known[at]
+                out[at] = have["counts"][number[at].astype(np.int64) - 1 - before[s]]
+        return out
+
+    def counts(self, columns: list[np.ndarray], often: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(often))
+        k = key(columns)
+        for s, at in self._each(shard_of(columns, often, self.m.shards)):
+            have = self.files(f"grams{len(columns)}/{s}")
+            hit, got = look_up(have, k[at], ONCE)
+            out[at[hit]] = got[:, 0]
+        return out
+
+    def contexts(self, columns: list[np.ndarray], order: int, often: np.ndarray) -> np.ndarray:
+        """Of each context the sum of its counts, followers counted once, twice and oftener (0: never met)."""
+        out = np.zeros((len(often), 4))
+        k = key(columns)
+        shard = range_of(k, self.m.shards)
+        for flag, name in ((False, "contexts"), (True, "frequent")):
+            some = np.flatnonzero(often == flag)
+            for s, at in self._each(shard[some]):
+                have = self.files(f"{name}{order}/{s}")
+                at = some[at]
+                hit, got = look_up(have, k[at], LONE)
+                out[at[hit]] = got
+        return out
 
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         m = self.m
-        before, word, first = sequence(column)
-        distinct, back = np.unique(np.concatenate([word, before]), return_inverse=True)
-        stats = self.word_statistics(distinct)
-        base = np.log10((stats[:, 1] + 1) / (m.tokens + m.types + 1))
-        d = np.array([0.0, *m.lower])
-        seen = stats[:, 0]
-        low = (np.maximum(seen - d[np.minimum(seen, 3).astype(int)], 0) / self._continuations() if self._continuations() else 0 * seen) + m.gamma / (m.types + 1)
-        total = stats[:, 2]
-        gamma = np.divide(stats[:, 3:6] @ np.array(m.discounts), total, out=np.ones_like(total), where=total > 0)
-        w, v = back[: len(word)], back[len(word) :]
-        c = self.bigram_counts(before, word)
-        d = np.array([0.0, *m.discounts])
-        p = np.divide(np.maximum(c - d[np.minimum(c, 3).astype(int)], 0), total[v], out=np.zeros_like(c), where=total[v] > 0) + gamma[v] * low[w]
+        word, first = sequence(column)
+        ids, count = self.words.look_up(word)
+        base = np.log10((count.astype(np.float64) + 1) / (m.tokens + m.types + 1))
+        seen = self.single(ids)
+        d = np.array([0.0, *m.discounts[0]])
+        p = (np.maximum(seen - d[np.minimum(seen, 3).astype(int)], 0) / m.total if m.total else 0.0) + m.gamma / (m.types + 1)
+        columns = grams(ids, first, m.order)
+        frequency = grams_of(count, first, m.order)
+        lower = seen
+        for k in range(2, m.order + 1):
+            gram, often = columns[m.order - k :], np.ones(len(ids), dtype=bool)
+            for c in frequency[m.order - k : -1]:
+                often &= c > m.heavy
+            unknown = np.zeros(len(ids), dtype=bool)
+            for c in gram[:-1]:
+                unknown |= c == UNKNOWN
+            known = np.flatnonzero(~unknown)
+            stats = np.zeros((len(ids), 4))
+            stats[known] = self.contexts([c[known] for c in gram[:-1]], k, often[known])
+            some = np.flatnonzero((stats[:, 0] > 0) & (lower > 0))  # the words after the first are met too
+            c = np.zeros(len(ids))
+            c[some] = self.counts([x[some] for x in gram], often[some])
+            d = np.array([0.0, *m.discounts[k - 1]])
+            total = stats[:, 0]
+            gamma = np.divide(stats[:, 1:] @ d[1:], total, out=np.ones_like(total), where=total > 0)
+            p = np.divide(np.maximum(c - d[np.minimum(c, 3).astype(int)], 0), total, out=np.zeros_like(c), where=total > 0) + gamma * p
+            lower = c
         each = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]
-        return {
-            "n_tokens": np.diff(first),
-            "n_known": each((stats[w, 1] > 0).astype(np.int64)),
-            "base_score": each(base[w]),
-            "score": each(np.log10(p)),
-        }
-
-    def _continuations(self) -> int:
-        return self.m.bigrams  # every distinct bigram is one word before one word
+        return {"n_tokens": np.diff(first), "n_known": each((count > 0).astype(np.int64)), "base_score": each(base), "score": each(np.log10(p))}
+
+
+def grams_of(count: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """Counts of the words of each token's n-gram; the begin mark counts as frequent."""
+    place = np.arange(len(count)) - np.repeat(first[:-1], np.diff(first))
+    out = [count]
+    for back in range(1, order):
+        c = np.full(len(count), np.iinfo(np.uint64).max, dtype=np.uint64)
+        c[back:] = count[:-back]
+        c[place < back] = np.iinfo(np.uint64).max
+        out.insert(0, c)
+    return out
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:

@@ -161,18 +161,24 @@ def mixed(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES, seed: int = 42
 
 def repeated(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES, seed: int = 42) -> DataFrame:
     """The mix as documents: one row per whole repeat, and one with the first
-    words of a document that is taken in part.  Rows that agree in id and text
-    share their words.  Documents without words are not taken.
+    words of a document that is taken in part (its source's last pass ends
+    inside it).  Rows that agree in id and text are one document here, whose
+    words are all that they take together, with the other columns of one of
+    them.  Documents without words are not taken.
     """
     cols = docs.columns
-    takes = mixed(docs, weights, passes, seed).groupBy("doc_id", "_hash").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    docs = docs.withColumn("_hash", F.xxhash64("text"))
-    takes = takes.withColumnRenamed("doc_id", "_id").withColumnRenamed("_hash", "_h")
-    out = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    out = out.withColumn("_left", F.explode(F.sequence(F.col("_taken"), F.lit(1), -F.col("_size"))))
+    hash_, left, size, id_, h, n = text.unused(docs, "_hash", "_left", "_size", "_id", "_h", "_n")
+    takes = mixed(docs, weights, passes, seed).groupBy(F.col("doc_id").alias(id_), F.col("_hash").alias(h))
+    takes = text.written(takes.agg(F.sum("taken").alias(left), F.max("size").alias(size), F.count(F.lit(1)).alias(n)).where(F.col(left) > 0), "takes")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(h))
+    docs = docs.withColumn(hash_, F.xxhash64("text"))
+    out = docs.join(takes.where(F.col(n) == 1), same)
+    if not takes.where(F.col(n) > 1).isEmpty():
+        out = out.unionByName(docs.join(takes.where(F.col(n) > 1), same).dropDuplicates([id_, h]))
+    out = out.withColumn(left, F.explode(F.sequence(F.col(left), F.lit(1).cast("long"), -F.col(size))))
     head = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.least("_left", "_size").cast("int")), "")
-    whole = F.col("_left") >= F.col("_size")
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.least(left, size).cast("int")), "")
+    whole = F.col(left) >= F.col(size)
     out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.concat(head, part)))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))

@@ -22,6 +22,8 @@ import pyarrow as pa
 
 #: Bytes of text that one vectorised step holds at a time.
 STEP_BYTES = 2 << 20
+#: Bytes of words that are hashed at a time.
+HASHED = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -67,15 +69,33 @@ class Words:
     offsets: np.ndarray
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (A-Z folded to a-z if ``lower``)."""
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
-        data = LOWER[self.data] if lower else self.data
-        run = np.cumsum(_BYTE[data] * _power("p", _MULT, len(data)), dtype=np.uint64)
-        before = np.where(self.start > 0, run[self.start - 1], np.uint64(0))
-        back = _power("i", _INVERSE, len(data))
-        h = (run[self.end - 1] - before) * back[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word's bytes (A-Z folded to a-z if ``lower``).
+
+        By slices of some ``HASHED`` bytes, so a very long text takes no more
+        working memory than a short one, whether it is many words or one.
+        """
+        out = np.empty(len(self.start), dtype=np.uint64)
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + HASHED, "right")))
+            if self.end[i] - self.start[i] > HASHED:
+                out[i], j = self._long(int(self.start[i]), int(self.end[i]), lower), i + 1
+            else:
+                at = self.start[i]
+                data = self.data[at : self.end[j - 1]]
+                run = np.zeros(len(data) + 1, dtype=np.uint64)
+                np.cumsum(_BYTE[LOWER[data] if lower else data] * _power("p", _MULT, len(data)), out=run[1:])
+                out[i:j] = (run[self.end[i:j] - at] - run[self.start[i:j] - at]) * _power("i", _INVERSE, len(data))[self.start[i:j] - at]
+            i = j
+        return mix(out + (self.end - self.start).astype(np.uint64))
+
+    def _long(self, start: int, end: int, lower: bool) -> np.uint64:
+        total = 0
+        for a in range(start, end, HASHED):
+            data = self.data[a : min(a + HASHED, end)]
+            part = int(np.sum(_BYTE[LOWER[data] if lower else data] * _power("p", _MULT, len(data)), dtype=np.uint64))
+            total = (total + part * pow(_MULT, a - start, 1 << 64)) % (1 << 64)
+        return np.uint64(total)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -157,9 +177,12 @@ def ready(spark) -> None:
 
 
 def shared_uri(spark) -> str:
-    """``spark.checkpoint.dir``; set to a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``; a temporary folder of our own only where it is unset and
+    driver and executors are one process (tests); on a cluster it must be set."""
     if uri := spark.conf.get("spark.checkpoint.dir", None):
         return uri.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "own" not in _own:
         _own["own"] = tempfile.mkdtemp(prefix="licet-")
         atexit.register(shutil.rmtree, _own["own"], True)
@@ -212,6 +235,18 @@ def warn(text: str) -> None:
     print(text, file=sys.stderr)
 
 
+def unused(df, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def plus(schema, **columns: str):
     """A schema with further columns, given by their types' names."""
     from pyspark.sql import types as T

@@ -180,42 +180,55 @@ def test_chunks_are_shared_and_encoded_once():
 # ----------------------------------------------------------------- Kneser-Ney
 
 
-def test_kneser_ney_brute_force(spark, odd):
+@pytest.mark.parametrize("order, shard, fan", [(1, 2000, 1024), (2, 2000, 1024), (3, 40, 1024), (3, 400, 4), (5, 2000, 1024)])
+def test_kneser_ney_brute_force(spark, odd, order, shard, fan):
+    """Every order against plain counting, also with frequent contexts (small ``SHARD``) and dealing in two steps (small ``FAN``)."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("doc_id < 60").unionByName(odd.select("doc_id", "text"))
     rows = docs.collect()
     seen = lambda r: zlib.crc32(str(r.doc_id).encode()) % 7 != 2 if r.doc_id is not None else True
     tok = lambda t: [w.translate(bytes(text.LOWER)) for w in split(t)] + ["</s>"]
     train = [tok(r.text) for r in rows if seen(r)]
-    c = collections.Counter(x for t in train for x in t)
-    bi = collections.Counter(p for t in train for p in zip(["<s>"] + t, t))
-    n, v = sum(c.values()), len(c)
+    count = collections.Counter(x for t in train for x in t)
+    n, v = sum(count.values()), len(count)
+
+    def spans(t):
+        t = ["<s>"] * (order - 1) + t
+        return [tuple(t[i : i + order]) for i in range(len(t) - order + 1)]
+
+    levels = {order: collections.Counter(g for t in train for g in spans(t))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
 
     def disc(counts):
         a = [max(1, sum(x == i for x in counts)) for i in (1, 2, 3, 4)]
         y = a[0] / (a[0] + 2 * a[1])
         return [0, *(min(i - 0.05, max(0.05, i - (i + 1) * y * a[i] / a[i - 1])) for i in (1, 2, 3))]
 
-    d, cont = disc(bi.values()), collections.Counter(w for _, w in bi)
-    d1, total, gamma = disc(cont.values()), collections.Counter(), collections.Counter()
-    for (x, _), k in bi.items():
-        total[x] += k
-        gamma[x] += d[min(k, 3)]
-    g0 = sum(d1[min(k, 3)] for k in cont.values()) / len(bi)
-
-    def p(x, w):
-        low = max(cont[w] - d1[min(cont[w], 3)], 0) / len(bi) + g0 / (v + 1)
-        return (max(bi[x, w] - d[min(bi[x, w], 3)], 0) + gamma[x] * low) / total[x] if total[x] else low
-
-    assert abs(sum(p("<s>", w) for w in c) + gamma["<s>"] / total["<s>"] * g0 / (v + 1) - 1) < 1e-9
+    d = {k: disc(c.values()) for k, c in levels.items()}
+    total, mass = collections.Counter(), collections.Counter()
+    for k, c in levels.items():
+        for g, x in c.items():
+            total[k, g[:-1]] += x
+            mass[k, g[:-1]] += d[k][min(x, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (v + 1)
+        k, low = len(g), p(g[1:])
+        t, x = total[k, g[:-1]], levels[k][g]
+        return (max(x - d[k][min(x, 3)], 0) + mass[k, g[:-1]] * low) / t if t else low
+
+    start = ("<s>",) * (order - 1)
+    assert abs(sum(p((*start, w)) for w in [*count, "<unk>"]) - 1) < 1e-9
     held = F.coalesce(labelled.remainder("doc_id", 7) == 2, F.lit(False))
-    model = kneser_ney.train(docs.where(~held), 30)  # many shards
+    model = kneser_ney.train(docs.where(~held), 16 * shard, order, shard, fan)
     got = {(r.doc_id, r.n_tokens): r for r in kneser_ney.score_texts(docs, model).collect()}
     for r in rows:
         t = tok(r.text)
         g = got[r.doc_id, len(t)]
-        assert g.n_known == sum(c[w] > 0 for w in t) and g.train_tokens == n
-        assert math.isclose(g.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert math.isclose(g.score, sum(math.log10(p(x, w)) for x, w in zip(["<s>"] + t, t)), rel_tol=1e-9)
+        assert g.n_known == sum(count[w] > 0 for w in t) and g.train_tokens == n
+        assert math.isclose(g.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
+        assert math.isclose(g.score, sum(math.log10(p(x)) for x in spans(t)), rel_tol=1e-9)
 
 
 def test_kneser_ney_without_training(odd, none):
