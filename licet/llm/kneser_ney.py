@@ -44,6 +44,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ END = np.uint64(2)
 BEGIN, UNKNOWN = 0, 2**63
 #: Tokens that a task sums at a time; tokens of the input for each shard, and of a context in one.
 TOKENS = 1_500_000
-SHARD = 2_000_000
+SHARD = 1_000_000
 #: Shards that one task deals to at most.
 FAN = 1024
 #: Shard files that a worker keeps mapped.
@@ -139,14 +140,22 @@ def shard_of(columns: list[np.ndarray], frequent: np.ndarray, shards: int) -> np
     return range_of(np.where(frequent, key(columns), key(columns[:-1]) if len(columns) > 1 else key(columns)), shards)
 
 
+def _grouped(shard: np.ndarray) -> np.ndarray:
+    """A stable order by shard; 16 bits sort in linear time."""
+    return np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
+
+
 def summed(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct n-grams and their counts."""
     k = key(columns)
+    n = len(k)
     order = np.argsort(k)
     k = k[order]
-    firsts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    firsts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if n else np.zeros(0, np.int64)
+    del k
+    total = np.diff(np.append(firsts, n)).astype(np.uint64) if counts is None else np.add.reduceat(counts[order], firsts) if n else counts
     at = order[firsts]
-    total = np.diff(np.append(firsts, len(k))).astype(np.uint64) if counts is None else np.add.reduceat(counts[order], firsts) if len(k) else counts
+    del order, firsts
     return [c[at] for c in columns], total
 
 
@@ -173,11 +182,11 @@ def pack(columns: list[np.ndarray], counts: list[np.ndarray], width: int) -> byt
     runs = np.diff(np.append(firsts, len(columns[0]))).astype(np.uint64)
     head = np.array([len(columns[0]), len(firsts)], dtype="<u8").tobytes()
     ids = [text.uint_le(columns[0][firsts], width), *(text.uint_le(c, width) for c in columns[1:])]
-    return head + _pack_counts(runs) + b"".join(ids) + b"".join(map(_pack_counts, counts))
+    return zstandard.compress(head + _pack_counts(runs) + b"".join(ids) + b"".join(map(_pack_counts, counts)), 1)
 
 
 def unpack(raw: bytes, columns: int, counts: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    view = memoryview(raw)
+    view = memoryview(zstandard.decompress(raw))
     n, m = (int(x) for x in np.frombuffer(view, "<u8", 2))
     runs, used = _unpack_counts(view[16:], m)
     at = 16 + used
@@ -204,7 +213,7 @@ _SCHEMA = "shard int, kind int, packed binary"
 def _dealt(kind: int, shard: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray], width: int, step: int = 1) -> Iterator[pa.RecordBatch]:
     """n-grams as a blob for each range of ``step`` shards, named by its first one."""
     part = shard // step
-    order = np.argsort(part, kind="stable")
+    order = _grouped(part)
     part = part[order]
     firsts = np.flatnonzero(np.diff(part, prepend=-1))
     rows = []
@@ -305,9 +314,10 @@ def save_table(path: str, columns: list[np.ndarray], rows: np.ndarray, usual: tu
 
 def look_up(arrays: dict[str, np.ndarray], k: np.ndarray, usual: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Which keys are there, and the rows of these."""
-    place = find(arrays, k)
+    order = np.argsort(k)  # neighbours share cache lines
+    place = find(arrays, k[order])
     hit = np.flatnonzero(place >= 0)
-    place = place[hit]
+    place, hit = place[hit], order[hit]
     out = np.empty((len(hit), len(usual)))
     out[:] = usual
     if len(hit):
@@ -404,7 +414,7 @@ def _count_words(shards: int):
                 word, _ = sequence(part.column(0))
                 held.append(word)
                 size += len(word)
-                if size >= TOKENS:
+                if size >= 2 * TOKENS:
                     yield from flush()
                     size = 0
         if held:
@@ -629,7 +639,7 @@ class Scorer:
         self.words = Words(self.files, model.words)
 
     def _each(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(shard, kind="stable")
+        order = _grouped(shard)
         firsts = np.flatnonzero(np.diff(shard[order], prepend=-1))
         for a, b in zip(firsts, np.append(firsts[1:], len(shard))):
             yield int(shard[order[a]]), order[a:b]

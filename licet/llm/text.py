@@ -169,8 +169,11 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def ready(spark) -> None:
-    """Let Python workers of this session import the package (local sessions start elsewhere)."""
+    """Let Python workers of this session import the package (local sessions start
+    elsewhere), and give large arrays back to the system once they are freed."""
     env = spark.sparkContext.environment
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(4 << 20))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(32 << 20))
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
