@@ -56,7 +56,7 @@ END = np.uint64(2)
 BEGIN, UNKNOWN = 0, 2**63
 #: Tokens that a task sums at a time; tokens of the input for each shard, and of a context in one.
 TOKENS = 1_500_000
-SHARD = 1_000_000
+SHARD = 1_500_000
 #: Shards that one task deals to at most.
 FAN = 1024
 #: Shard files that a worker keeps mapped.
@@ -72,16 +72,11 @@ class Model:
     folder: str
     order: int
     shards: int
-    words: tuple[int, ...]  # distinct words before each hash range, and all
+    types: int  # V: distinct words
     tokens: int  # N: training tokens
     discounts: tuple[tuple[float, float, float], ...]  # by order, from 1
     total: int  # sum of the single words' counts
     gamma: float  # of the empty context
-    heavy: int  # occurrences from which a word is frequent
-
-    @property
-    def types(self) -> int:  # V: distinct words
-        return self.words[-1]
 
 
 @dataclass(frozen=True)
@@ -90,10 +85,8 @@ class Deal:
 
     folder: str
     shards: int
-    before: tuple[int, ...]
-    heavy: int
-    width: int = 0  # bytes of a word's number
-    step: int = 1  # shards of a range
+    width: int  # bytes of a word's number
+    step: int  # shards of a range
 
 
 # ------------------------------------------------------------------- hash keys
@@ -124,22 +117,22 @@ def grams(ids: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def key(columns: list[np.ndarray]) -> np.ndarray:
-    h = np.full(len(columns[0]) if columns else 1, len(columns), dtype=np.uint64)
+    h = np.full(len(columns[0]), 0x51ED270B, dtype=np.uint64)
     for c in columns:
-        h = text.mix(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
+        h = longer(h, c)
     return h
 
 
+def longer(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The keys of n-grams with one more word."""
+    return text.mix(h * np.uint64(0x9E3779B97F4A7C15) + c)
+
+
 def range_of(h: np.ndarray, shards: int) -> np.ndarray:
     """Shards are ranges of 64-bit hashes."""
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def shard_of(columns: list[np.ndarray], frequent: np.ndarray, shards: int) -> np.ndarray:
-    """Of n-grams: by their context; by the whole of it where the context may be too frequent."""
-    return range_of(np.where(frequent, key(columns), key(columns[:-1]) if len(columns) > 1 else key(columns)), shards)
-
-
 def _grouped(shard: np.ndarray) -> np.ndarray:
     """A stable order by shard; 16 bits sort in linear time."""
     return np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
@@ -349,14 +342,15 @@ class Shards:
 
 
 class Words:
-    """Numbers and counts of words by their hashes."""
+    """Numbers of words by their hashes, and which are frequent."""
 
-    def __init__(self, files: Shards, before: tuple[int, ...]):
-        self.files, self.before = files, np.array(before, dtype=np.int64)
+    def __init__(self, folder: str):
+        self.files = Shards(folder)
+        layout = self.files("layout")
+        self.before, self.heavy = layout["before"], layout["heavy"]  # words before each hash range; sorted numbers
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (from 1; ``UNKNOWN``: not in the corpus) and count of each word."""
-        distinct, back = np.unique(h, return_inverse=True)
         number, count = np.full(len(distinct), UNKNOWN, dtype=np.uint64), np.zeros(len(distinct), dtype=np.uint64)
         shards = len(self.before) - 1
         k = text.mix(distinct)
@@ -371,28 +365,21 @@ class Words:
                 hit = np.flatnonzero(have["keys"][at] == k[a:b])
                 number[order[a + hit]] = 1 + self.before[s] + at[hit]
                 count[order[a + hit]] = have["counts"][at[hit]]
-        return number[back], count[back]
-
-    def counts_of(self, number: np.ndarray) -> np.ndarray:
-        """Counts of words by number; the begin mark counts as frequent."""
-        out = np.full(len(number), np.iinfo(np.uint64).max, dtype=np.uint64)
-        shard = np.searchsorted(self.before, number.astype(np.int64) - 1, "right") - 1
-        for s in np.unique(shard[number > 0]):
-            at = np.flatnonzero((shard == s) & (number > 0))
-            out[at] = self.files(f"words/{s}")["counts"][number[at].astype(np.int64) - 1 - self.before[s]]
+        return number, count
+
+    def shard(self, number: np.ndarray) -> np.ndarray:
+        """The hash ranges of words."""
+        return np.searchsorted(self.before, number.astype(np.int64) - 1, "right") - 1
+
+    def frequent(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Contexts of frequent words (or begin marks) only; other contexts occur less often."""
+        out = np.ones(len(columns[0]), dtype=bool)
+        for c in columns:
+            at = np.minimum(np.searchsorted(self.heavy, c), max(0, len(self.heavy) - 1))
+            out &= (c == BEGIN) | (self.heavy[at] == c if len(self.heavy) else False)
         return out
 
 
-def frequent(columns: list[np.ndarray], counts_of, heavy: int) -> np.ndarray:
-    """Contexts all of whose words occur more than ``heavy`` times; other contexts occur less."""
-    out = np.ones(len(columns[0]), dtype=bool)
-    for c in columns[:-1]:
-        left = np.flatnonzero(out)
-        distinct, back = np.unique(c[left], return_inverse=True)
-        out[left] = (counts_of(distinct) > heavy)[back]
-    return out
-
-
 # -------------------------------------------------------------------- counting
 
 
@@ -432,7 +419,7 @@ def _unpack_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<u8", n, 8), _unpack_counts(memoryview(raw)[8 + 8 * n :], n)[0]
 
 
-def _add_words(folder: str):
+def _add_words(folder: str, heavy: int):
     def done(shard: int, kind: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         k, c = (np.concatenate(x) for x in zip(*map(_unpack_words, held)))
         order = np.argsort(k, kind="stable")
@@ -440,7 +427,8 @@ def _add_words(folder: str):
         firsts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         k, c = k[firsts], np.add.reduceat(c, firsts)
         save(f"{folder}/words/{shard}", keys=k, counts=_narrow(c))
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64())], names=["shard", "types", "tokens"])
+        columns = [pa.array([shard], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([np.flatnonzero(c > heavy).tolist()], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["shard", "types", "tokens", "heavy"])
 
     return _runs(done)
 
@@ -463,28 +451,33 @@ def _runs(done):
     return run
 
 
-def _place(columns: list[np.ndarray], words: Words, deal: Deal) -> np.ndarray:
-    """The shards of n-grams; single words go where the vocabulary has them."""
+def _place(columns: list[np.ndarray], words: Words, shards: int) -> np.ndarray:
+    """The shards of n-grams: by context, or by the whole of it where the context may be
+    too frequent; single words go where the vocabulary has them."""
     if len(columns) == 1:
-        return np.searchsorted(words.before, columns[0].astype(np.int64) - 1, "right") - 1
-    return shard_of(columns, frequent(columns, words.counts_of, deal.heavy), deal.shards)
+        return words.shard(columns[0])
+    k = key(columns[:-1])
+    often = np.flatnonzero(words.frequent(columns[:-1]))
+    k[often] = longer(k[often], columns[-1][often])
+    return range_of(k, shards)
 
 
 def _count_grams(order: int, deal: Deal):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(Shards(deal.folder), deal.before)
+        words = Words(deal.folder)
         held: list[list[np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             columns, counts = summed([np.concatenate(c) for c in zip(*held)])
             held.clear()
-            yield from _dealt(_GRAMS, _place(columns, words, deal), columns, [counts], deal.width, deal.step)
+            yield from _dealt(_GRAMS, _place(columns, words, deal.shards), columns, [counts], deal.width, deal.step)
 
         for batch in batches:
             for part in text.steps(batch):
                 word, first = sequence(part.column(0))
-                held.append(grams(words.look_up(word)[0], first, order))
+                distinct, back = np.unique(word, return_inverse=True)
+                held.append(grams(words.look_up(distinct)[0][back], first, order))
                 size += len(word)
                 if size >= TOKENS:
                     yield from flush()
@@ -499,7 +492,7 @@ def _deal_again(order: int, deal: Deal):
     """From ranges of shards to shards: n-grams of a few million tokens are summed again before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(Shards(deal.folder), deal.before)
+        words = Words(deal.folder)
         held: dict[int, list] = {_GRAMS: [], _CONTEXTS: []}
         size = {_GRAMS: 0, _CONTEXTS: 0}
 
@@ -509,7 +502,7 @@ def _deal_again(order: int, deal: Deal):
             size[kind] = 0
             if kind == _GRAMS:
                 columns, total = summed(columns, counts[0])
-                yield from _dealt(kind, _place(columns, words, deal), columns, [total], deal.width)
+                yield from _dealt(kind, _place(columns, words, deal.shards), columns, [total], deal.width)
             else:
                 yield from _dealt(kind, range_of(key(columns), deal.shards), columns, counts, deal.width)
 
@@ -550,7 +543,7 @@ def _add_grams(order: int, deal: Deal):
             table = np.add.reduceat(np.column_stack(stats)[o], firsts, axis=0)
             save_table(f"{deal.folder}/frequent{order + 1}/{shard}", [c[o[firsts]] for c in columns], table, LONE)
             return
-        words = Words(Shards(deal.folder), deal.before)
+        words = Words(deal.folder)
         parts = [unpack(x, order, 1, deal.width) for x in held]
         held.clear()
         columns, counts = [np.concatenate(c) for c in zip(*(p[0] for p in parts))], np.concatenate([p[1][0] for p in parts])
@@ -558,27 +551,27 @@ def _add_grams(order: int, deal: Deal):
         columns, counts = summed(columns, counts)
         yield _rows([_numbers(order, counts)])
         if order == 1:  # a shard of words: their counts by number
-            begin, end = deal.before[shard], deal.before[shard + 1]
+            begin, end = words.before[shard : shard + 2]
             out = np.zeros(end - begin, dtype=np.uint64)
             out[columns[0].astype(np.int64) - 1 - begin] = counts
             save(f"{deal.folder}/single/{shard}", counts=_narrow(out))
             return
         save_table(f"{deal.folder}/grams{order}/{shard}", columns, counts[:, None], ONCE)
         # contexts: the sum of the counts, followers counted once, twice, oftener
-        often = frequent(columns, words.counts_of, deal.heavy)
         k = key(columns[:-1])
         o = np.argsort(k, kind="stable")
         firsts = np.flatnonzero(np.concatenate([[True], k[o][1:] != k[o][:-1]]))
         c = counts[o]
         stats = np.column_stack([np.add.reduceat(x, firsts) for x in (c, (c == 1).astype(np.uint64), (c == 2).astype(np.uint64), (c > 2).astype(np.uint64))])
-        heads, often = [x[o[firsts]] for x in columns[:-1]], often[o[firsts]]
+        heads = [x[o[firsts]] for x in columns[:-1]]
         del o, k, c
+        often = words.frequent(heads)
         save_table(f"{deal.folder}/contexts{order}/{shard}", [x[~often] for x in heads], stats[~often], LONE)
         if often.any():
             heads = [x[often] for x in heads]
             yield from _dealt(_CONTEXTS, range_of(key(heads), deal.shards), heads, list(stats[often].T), deal.width, deal.step)
         columns, counts = summed(columns[1:])
-        yield from _dealt(_GRAMS, _place(columns, words, deal), columns, [counts], deal.width, deal.step)
+        yield from _dealt(_GRAMS, _place(columns, words, deal.shards), columns, [counts], deal.width, deal.step)
 
     return _runs(done)
 
@@ -605,10 +598,14 @@ def train(docs: DataFrame, tokens: int, order: int = ORDER, shard: int = SHARD,
     folder = text.mounted(text.shared_folder(spark, "kneser-ney"))
     os.makedirs(folder, exist_ok=True)
     docs = docs.select("text")
-    rows = _by_shard(docs.mapInArrow(_count_words(shards), _SCHEMA), shards).mapInArrow(_add_words(folder), "shard int, types long, tokens long").collect()
-    types, n = {r.shard: r.types for r in rows}, sum(r.tokens for r in rows)  # one row a shard
-    before = (0, *np.cumsum([types.get(s, 0) for s in range(shards)]).tolist())
-    deal = Deal(folder, shards, before, shard, max(1, -(-int(before[-1] + 1).bit_length() // 8)), -(-shards // fan))
+    rows = _by_shard(docs.mapInArrow(_count_words(shards), _SCHEMA), shards).mapInArrow(_add_words(folder, shard), "shard int, types long, tokens long, heavy array<long>").collect()
+    # one row a shard, and as many frequent words at most
+    types, n = {r.shard: r.types for r in rows}, sum(r.tokens for r in rows)
+    before = np.cumsum([0, *(types.get(s, 0) for s in range(shards))])
+    heavy = sorted(1 + int(before[r.shard]) + i for r in rows for i in r.heavy)
+    save(f"{folder}/layout", before=before, heavy=np.array(heavy, dtype=np.uint64))
+    v = int(before[-1])
+    deal = Deal(folder, shards, max(1, -(-(v + 1).bit_length() // 8)), -(-shards // fan))
     out = docs.mapInArrow(_count_grams(order, deal), _SCHEMA)
     for k in range(order, 0, -1):
         if deal.step > 1:
@@ -620,8 +617,8 @@ def train(docs: DataFrame, tokens: int, order: int = ORDER, shard: int = SHARD,
     levels = tuple(discounts(of.get(k, [0] * 5)[:4]) for k in range(1, order + 1))
     once, twice, _, _, total = of.get(1, [0] * 5)
     d = levels[0]
-    gamma = (d[0] * once + d[1] * twice + d[2] * (before[-1] - once - twice)) / total if total else 1.0
-    return Model(folder, order, shards, before, n, levels, total, gamma, shard)
+    gamma = (d[0] * once + d[1] * twice + d[2] * (v - once - twice)) / total if total else 1.0
+    return Model(folder, order, shards, v, n, levels, total, gamma)
 
 
 def _read_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -630,97 +627,82 @@ def _read_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(6)], names=[f"n{i}" for i in range(6)])
 
 
+def _each(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = _grouped(shard)
+    firsts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for a, b in zip(firsts, np.append(firsts[1:], len(shard))):
+        yield int(shard[order[a]]), order[a:b]
+
+
 class Scorer:
     """Looks n-grams and words up in the mapped arrays."""
 
     def __init__(self, model: Model):
         self.m = model
-        self.files = Shards(model.folder)
-        self.words = Words(self.files, model.words)
-
-    def _each(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = _grouped(shard)
-        firsts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-        for a, b in zip(firsts, np.append(firsts[1:], len(shard))):
-            yield int(shard[order[a]]), order[a:b]
+        self.words = Words(model.folder)
+        self.files = self.words.files
 
     def single(self, number: np.ndarray) -> np.ndarray:
+        """Distinct words before each word."""
         out = np.zeros(len(number))
         known = np.flatnonzero(number != UNKNOWN)
-        before = np.array(self.m.words)
-        for s, at in self._each(np.searchsorted(before, number[known].astype(np.int64) - 1, "right") - 1):
-            have = self.files(f"single/{s}")
+        for s, at in _each(self.words.shard(number[known])):
+            have, at = self.files(f"single/{s}"), known[at]
             if have:
-                at = known[at]
-                out[at] = have["counts"][number[at].astype(np.int64) - 1 - before[s]]
+                out[at] = have["counts"][number[at].astype(np.int64) - 1 - self.words.before[s]]
         return out
 
-    def counts(self, columns: list[np.ndarray], often: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(often))
-        k = key(columns)
-        for s, at in self._each(shard_of(columns, often, self.m.shards)):
-            have = self.files(f"grams{len(columns)}/{s}")
-            hit, got = look_up(have, k[at], ONCE)
-            out[at[hit]] = got[:, 0]
-        return out
-
-    def contexts(self, columns: list[np.ndarray], order: int, often: np.ndarray) -> np.ndarray:
-        """Of each context the sum of its counts, followers counted once, twice and oftener (0: never met)."""
-        out = np.zeros((len(often), 4))
-        k = key(columns)
-        shard = range_of(k, self.m.shards)
-        for flag, name in ((False, "contexts"), (True, "frequent")):
-            some = np.flatnonzero(often == flag)
-            for s, at in self._each(shard[some]):
-                have = self.files(f"{name}{order}/{s}")
-                at = some[at]
-                hit, got = look_up(have, k[at], LONE)
-                out[at[hit]] = got
-        return out
+    def level(self, gram: list[np.ndarray], some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts' numbers (0: never met) and the n-grams' counts (0 where ``some`` is false: not looked up)."""
+        k, n, shards = len(gram), len(gram[0]), self.m.shards
+        stats, counts = np.zeros((n, 4)), np.zeros(n)
+        known = np.ones(n, dtype=bool)
+        for c in gram[:-1]:
+            known &= c != UNKNOWN
+        head = key(gram[:-1])
+        whole = longer(head, gram[-1])
+        shard, often = range_of(head, shards), self.words.frequent(gram[:-1])
+
+        def count(at: np.ndarray, s: int) -> None:
+            at = at[some[at] & (stats[at, 0] > 0)]
+            hit, got = look_up(self.files(f"grams{k}/{s}"), whole[at], ONCE)
+            counts[at[hit]] = got[:, 0]
+
+        usual = np.flatnonzero(known & ~often)
+        for s, at in _each(shard[usual]):
+            at = usual[at]
+            hit, got = look_up(self.files(f"contexts{k}/{s}"), head[at], LONE)
+            stats[at[hit]] = got
+            count(at, s)
+        rare = np.flatnonzero(known & often)
+        for s, at in _each(shard[rare]):
+            at = rare[at]
+            hit, got = look_up(self.files(f"frequent{k}/{s}"), head[at], LONE)
+            stats[at[hit]] = got
+        for s, at in _each(range_of(whole[rare], shards)):
+            count(rare[at], s)
+        return stats, counts
 
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         m = self.m
         word, first = sequence(column)
-        ids, count = self.words.look_up(word)
-        base = np.log10((count.astype(np.float64) + 1) / (m.tokens + m.types + 1))
-        seen = self.single(ids)
+        distinct, back = np.unique(word, return_inverse=True)
+        number, count = self.words.look_up(distinct)
+        base = np.log10((count.astype(np.float64) + 1) / (m.tokens + m.types + 1))[back]
+        seen = self.single(number)
         d = np.array([0.0, *m.discounts[0]])
-        p = (np.maximum(seen - d[np.minimum(seen, 3).astype(int)], 0) / m.total if m.total else 0.0) + m.gamma / (m.types + 1)
-        columns = grams(ids, first, m.order)
-        frequency = grams_of(count, first, m.order)
-        lower = seen
+        p = ((np.maximum(seen - d[np.minimum(seen, 3).astype(int)], 0) / max(m.total, 1)) + m.gamma / (m.types + 1))[back]
+        columns, lower = grams(number[back], first, m.order), (seen > 0)[back]
         for k in range(2, m.order + 1):
-            gram, often = columns[m.order - k :], np.ones(len(ids), dtype=bool)
-            for c in frequency[m.order - k : -1]:
-                often &= c > m.heavy
-            unknown = np.zeros(len(ids), dtype=bool)
-            for c in gram[:-1]:
-                unknown |= c == UNKNOWN
-            known = np.flatnonzero(~unknown)
-            stats = np.zeros((len(ids), 4))
-            stats[known] = self.contexts([c[known] for c in gram[:-1]], k, often[known])
-            some = np.flatnonzero((stats[:, 0] > 0) & (lower > 0))  # the words after the first are met too
-            c = np.zeros(len(ids))
-            c[some] = self.counts([x[some] for x in gram], often[some])
+            # an n-gram is met only if its last words are
+            stats, c = self.level(columns[m.order - k :], lower)
             d = np.array([0.0, *m.discounts[k - 1]])
             total = stats[:, 0]
             gamma = np.divide(stats[:, 1:] @ d[1:], total, out=np.ones_like(total), where=total > 0)
             p = np.divide(np.maximum(c - d[np.minimum(c, 3).astype(int)], 0), total, out=np.zeros_like(c), where=total > 0) + gamma * p
-            lower = c
+            lower = c > 0
         each = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]
-        return {"n_tokens": np.diff(first), "n_known": each((count > 0).astype(np.int64)), "base_score": each(base), "score": each(np.log10(p))}
-
-
-def grams_of(count: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
-    """Counts of the words of each token's n-gram; the begin mark counts as frequent."""
-    place = np.arange(len(count)) - np.repeat(first[:-1], np.diff(first))
-    out = [count]
-    for back in range(1, order):
-        c = np.full(len(count), np.iinfo(np.uint64).max, dtype=np.uint64)
-        c[back:] = count[:-back]
-        c[place < back] = np.iinfo(np.uint64).max
-        out.insert(0, c)
-    return out
+        return {"n_tokens": np.diff(first), "n_known": each((count > 0).astype(np.int64)[back]), "base_score": each(base), "score": each(np.log10(p))}
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -733,7 +715,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for part in text.steps(batch, limit=3 << 19):
+            for part in text.steps(batch):
                 got = scorer.score(part.column(part.schema.get_field_index("text")))
                 got["train_tokens"] = np.full(part.num_rows, model.tokens)
                 yield text.extended(part.select(kept), **{c: pa.array(got[c], pa.int64() if k == "long" else pa.float64()) for c, k in columns.items()})
