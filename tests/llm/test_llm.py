@@ -324,7 +324,7 @@ def test_no_link_is_lost(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     idf = near_dedup.document_frequencies(docs)
     w = text.words(pa.array(texts))
-    doc, e, weight, _, _ = near_dedup.weighted(w, idf)
+    doc, e, weight = near_dedup.weighted(w, idf)[:3]
     keys = near_dedup.bands(doc, e, weight, len(texts))
     root = list(range(len(texts)))
 
@@ -346,6 +346,58 @@ def test_no_link_is_lost(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) > 1
 
 
+def test_recall_of_all_pairs(spark):
+    """Against plain counting: weights, similarities, and the share of all pairs at 0.8 or more that end in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    grams = {}
+    for i, t in rows:
+        w = t.encode().split()
+        grams[i] = collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
+    df = collections.Counter(g for c in grams.values() for g in c)
+    n = len(rows)
+    weight = {i: {g: (1 + math.log(x)) * (1 + math.log((1 + n) / (1 + df[g])) / math.log(2 + n)) for g, x in c.items()} for i, c in grams.items()}
+    total = {i: sum(c.values()) for i, c in weight.items()}
+    where = collections.defaultdict(list)
+    for i, c in weight.items():
+        for g in c:
+            where[g].append(i)
+    common = collections.Counter()
+    for g, ids in where.items():
+        for a in range(len(ids)):
+            for b in range(a):
+                common[ids[a], ids[b]] += min(weight[ids[a]][g], weight[ids[b]][g])
+    pairs = [(a, b) for (a, b), c in common.items() if c / (total[a] + total[b] - c) >= 0.8]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert len(pairs) > 50 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    # and no class holds documents that no chain of such pairs joins (0.78: classes of shingles are a little coarse)
+    root = {i: i for i, _ in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), c in common.items():
+        if c / (total[a] + total[b] - c) >= 0.78:
+            root[top(a)] = top(b)
+    assert all(top(i) == top(k) for i, k in got.items() if grams[i])
+
+
+def test_hot_keys_join_whole(spark):
+    rows = spark.range(1000).selectExpr("CASE WHEN id < 700 THEN 0 ELSE id END AS k", "id AS v")
+    each = rows.groupBy("k").count().withColumn("w", F.col("k") * 2)
+    assert sorted(near_dedup.spread(rows, each, "k", "count", 4096 * 10).collect()) == sorted(rows.join(each, "k").collect())
+
+
+def test_equal_digests_of_unequal_texts_are_parted(spark, monkeypatch):
+    real = near_dedup.signatures
+    monkeypatch.setattr(near_dedup, "signatures", lambda d, idf: real(d, idf).withColumn("node", F.lit(7).cast("long")))
+    docs = spark.createDataFrame([(1, prose(1, 90)), (2, prose(2, 90)), (3, prose(1, 90))], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.classes(docs).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2)}
+
+
 def test_block_similarities_equal_pairs():
     texts = [prose(i % 3, 60) + f" x{i} the the the the the the" for i in range(12)] + ["", "one two"]
     idf = np.linspace(1, 3, 1 << near_dedup.CLASSES).astype(np.float32)
