@@ -199,12 +199,14 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 def spread(rows: DataFrame, each: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """``rows`` joined with ``each``, which has one row a key and in ``size`` how many rows there are of it.
 
-    Keys of more than one in ``HOT`` of the ``total`` rows number less than ``HOT``: they are
-    broadcast, so none of them gathers in a task; the others go by key.
+    Keys of more than one in ``HOT`` of the ``total`` rows number less than ``HOT``: the driver
+    learns them and their rows of ``each`` are broadcast, so none of them gathers in a task; the others go by key.
     """
-    hot = F.broadcast(each.where(F.col(size) * HOT > total))
-    rest = rows.join(hot.select(key), key, "left_anti").join(each.where(F.col(size) * HOT <= total), key)
-    return rows.join(hot, key).unionByName(rest)
+    hot = [r[0] for r in each.where(F.col(size) * HOT > total).select(key).collect()]
+    if not hot:
+        return rows.join(each, key)
+    some = F.col(key).isin(hot)
+    return rows.where(some).join(F.broadcast(each.where(some)), key).unionByName(rows.where(~some).join(each.where(~some), key))
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
