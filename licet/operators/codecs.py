@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import unzigzag, zigzag
-from .rows import BLOCK, before, block, ranked, segments
+from .rows import BLOCK, before, block, folded, ranked, segments
 
 MINIBLOCK = 128
 
@@ -96,7 +96,7 @@ def patch(df: DataFrame, width: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     left = F.max(v).over(Window.partitionBy("_b").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1))
     right = F.min(v).over(Window.partitionBy("_b").orderBy("row_id").rowsBetween(1, Window.unboundedFollowing))
     edge = rows.groupBy("_b").agg(F.max(v).alias("_l"), F.min(v).alias("_f"), F.count(r).alias("_n"))
-    edge = edge.select("_b", F.max("_l").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_f").over(Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    edge = folded(folded(edge, "_l", F.max, "_before"), "_f", F.min, "_after", later=True).select("_b", "_before", "_after")
     rows = rows.withColumn("_left", left).withColumn("_right", right).join(edge, "_b")
     a, b = F.coalesce("_left", "_before"), F.coalesce("_right", "_after")
     nearest = F.when(b.isNull() | (F.col("row_id") - a["row_id"] <= b["row_id"] - F.col("row_id")), a["value"]).otherwise(b["value"])

@@ -62,20 +62,42 @@ def ranges(hits: DataFrame, width: int = BLOCK) -> DataFrame:
     return segments(hits, None, width)
 
 
+def folded(blocks: DataFrame, value: str, fold, name: str, later: bool = False) -> DataFrame:
+    """``blocks`` with ``name``: ``fold`` (sum, min or max) of ``value`` over all earlier (or later) blocks ``_b``.
+
+    Two levels, so that the only window over everything has a row for ``BLOCK`` blocks.
+    """
+    edge = (1, Window.unboundedFollowing) if later else (Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_u", block(BLOCK, "_b"))
+    far = blocks.groupBy("_u").agg(fold(value).alias("_v")).withColumn("_far", fold("_v").over(Window.orderBy("_u").rowsBetween(*edge))).drop("_v")
+    near = fold(value).over(Window.partitionBy("_u").orderBy("_b").rowsBetween(*edge))
+    both = blocks.withColumn("_near", near).join(far, "_u")
+    if fold is F.sum:
+        out = F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0))
+    else:  # the nearer one, if there is one
+        out = F.coalesce("_near", "_far")
+    return both.withColumn(name, out).drop("_u", "_near", "_far")
+
+
 def before(df: DataFrame, add: Column, name: str, width: int = BLOCK, inclusive: bool = False) -> DataFrame:
     """``df`` with ``name``: the sum of ``add`` over all earlier rows (and this one, if inclusive)."""
     df = df.withColumn("_b", block(width)).withColumn("_x", add)
-    carry = df.groupBy("_b").agg(F.sum("_x").alias("_s"))
-    carry = carry.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c"))
+    carry = folded(df.groupBy("_b").agg(F.sum("_x").alias("_s")), "_s", F.sum, "_c").drop("_s")
     w = Window.partitionBy("_b").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return df.withColumn("_in", F.coalesce(F.sum("_x").over(w), F.lit(0))).join(carry, "_b").withColumn(name, F.col("_c") + F.col("_in")).drop("_b", "_x", "_in", "_c")
 
 
-def parted(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+#: Rows of a part of an order, and parts at most.
+PART, PARTS = 1 << 20, 512
+
+
+def parted(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``_p``: the part of the order by ``column``, cut at approximate
-    quantiles (at most ``parts`` values reach the driver), by binary search."""
-    cuts = df.select(F.percentile_approx(column, [i / parts for i in range(1, parts)], 1000).alias("q")).first().q or []
-    cuts = sorted(set(cuts))
+    quantiles (at most ``PARTS`` values reach the driver), by binary search.
+    There are as many parts as ``PART`` rows each need, or ``parts``."""
+    r = df.select(F.percentile_approx(column, [i / PARTS for i in range(1, PARTS)], 10 * PARTS).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    parts = min(PARTS, parts or -(-r.n // PART) or 1)
+    cuts = sorted({(r.q or [])[PARTS * i // parts - 1] for i in range(1, parts)}) if r.q else []
 
     def place(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -86,17 +108,17 @@ def parted(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
     return df.withColumn("_p", place(0, len(cuts)))
 
 
-def ranked(df: DataFrame, column: str, name: str, *ties: str, parts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, column: str, name: str, *ties: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``name``, the 0-based rank by ``column`` and ``ties``: counts
     of earlier parts of the order plus ranks inside a part."""
     df = parted(df, column, parts)
     first = df.groupBy("_p").count()
     first = first.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(column, *ties)) - 1
-    return df.withColumn("_r", inside).join(first, "_p").withColumn(name, F.col("_c") + F.col("_r")).drop("_p", "_c", "_r")
+    return df.withColumn("_r", inside).join(F.broadcast(first), "_p").withColumn(name, F.col("_c") + F.col("_r")).drop("_p", "_c", "_r")  # PARTS rows
 
 
-def at_ranks(df: DataFrame, column: str, ranks: list[int], *ties: str, parts: int = 64) -> DataFrame:
+def at_ranks(df: DataFrame, column: str, ranks: list[int], *ties: str, parts: int | None = None) -> DataFrame:
     """(rank, ``column``) at a few ranks: only the parts that hold them are sorted."""
     df = parted(df, column, parts)
     begins, at = {}, 0

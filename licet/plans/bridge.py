@@ -8,7 +8,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 
 from ..functions.scalar import fnv1a
-from . import compiler
+from . import compiler, encoded, layout
 from .facts import Fact
 from .plan import Plan, Query
 from .recipe import KINDS, LEAVES, Recipe
@@ -70,14 +70,18 @@ def answer(df: DataFrame, request: dict) -> DataFrame:
 
 
 def serve(df: DataFrame, request: str) -> str:
-    """One request about the column ``df``: {"op": recipes | facts | compile | run, "recipe", "query"}."""
+    """One request about the column ``df``: {"op": recipes | encode | facts | compile | run, "recipe", "query"}."""
     r = json.loads(request)
     op = r.get("op")
     if op == "recipes":
         return json.dumps({"recipes": sorted(KINDS), "leaves": sorted(LEAVES), "intervals": INTERVALS})
-    if op not in ("facts", "compile", "run"):
+    if op not in ("encode", "facts", "compile", "run"):
         raise ValueError(f"unknown op {op!r}")
     c = compiler.column(df, parse_recipe(r["recipe"]))
+    if op == "encode":
+        fields = encoded.field_bytes(c)
+        size = layout.page_bytes(fields, layout.dependencies(c.recipe))
+        return json.dumps({"recipe": c.recipe.name(), "rows": c.checked.rows, "numbers": c.numbers, "fields": [{"kind": k, "bytes": n} for k, n in fields], "page_bytes": size, "nulls": c.checked.nulls})
     if op == "facts":
         return json.dumps({"recipe": c.recipe.name(), "rows": c.checked.rows, "facts": [fact_dict(f) for f in c.facts]})
     plan = compiler.compile_query(parse_query(r["query"], c.checked.rows), c)

@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scans
-from ..operators.rows import block, ranges
-from .facts import Checked, Fact, check_column, derive
-from .plan import Op, Plan, Query, check_authorization
-from .recipe import Recipe, decoder, validate
-
-FENCE_ROWS = 1024
-
-
-@dataclass
-class Column:
-    """A column (row_id, value), its recipe and the facts about it.
-
-    ``ids``/``table`` (dictionary) and ``runs`` are physical fields that a licensed plan may read instead.
-    """
-
-    rows: DataFrame
-    recipe: Recipe
-    checked: Checked
-    ids: DataFrame | None = None
-    table: DataFrame | None = None
-    runs: DataFrame | None = None
-    fence: DataFrame | None = None
-    facts: list[Fact] = field(default_factory=list)
+from ..operators.rows import _merge, block, ranges, span_union
+from . import encoded
+from .encoded import Encoded
+from .plan import Op, Plan, Query, check_authorization, validate_plan
+from .recipe import Recipe, decoder
 
-    def __post_init__(self):
-        validate(self.recipe)
-        self.facts = self.facts or derive(self.recipe, self.checked.rows, self.checked)
-
-
-def column(rows: DataFrame, recipe: Recipe, **physical) -> Column:
-    """Checks the column with one aggregate job."""
-    return Column(rows, recipe, check_column(rows), **physical)
+def column(rows: DataFrame, recipe: Recipe, keep: bool = False) -> Encoded:
+    """The column encoded: facts are about its fields.  ``keep``: fields are written once and read from then on."""
+    return encoded.stored(rows, recipe) if keep else encoded.encode(rows, recipe)
 
 
 def _validate(q: Query, rows: int) -> None:
@@ -53,7 +28,7 @@ def _validate(q: Query, rows: int) -> None:
         scans.check_bounds(q.low, q.high)
 
 
-def compile_query(q: Query, c: Column) -> Plan:
+def compile_query(q: Query, c: Encoded) -> Plan:
     """First match wins; without a fact the plan scans."""
     _validate(q, c.checked.rows)
     root = decoder(c.recipe).kind
@@ -73,11 +48,12 @@ def compile_query(q: Query, c: Column) -> Plan:
     elif q.kind == "Count" and root == "RLE" and (runs := find(lambda f: f.prop == "RunIndex")):
         op = Op("CountRuns", None, (runs,))
     plan = Plan(q, (op,), "ExactRanges" if q.kind in ("Between", "Filter") else "ExactScalar", c.checked.source)
+    validate_plan(plan)
     check_authorization(plan, c.facts, c.checked.source)
     return plan
 
 
-def lower(plan: Plan, c: Column) -> DataFrame:
+def lower(plan: Plan, c: Encoded) -> DataFrame:
     """The plan as a DataFrame; the licence is checked again."""
     check_authorization(plan, c.facts, c.checked.source)
     q, op = plan.query, plan.ops[0]
@@ -86,53 +62,71 @@ def lower(plan: Plan, c: Column) -> DataFrame:
         lo, hi = search(c, low, high)
         return c.rows.sparkSession.range(1).select(F.lit(lo).alias("start"), F.lit(hi).alias("end")).where("start < end")
     if op.name == "SearchPiecewise":
-        return piecewise_ranges(c.rows, op.param, low, high)
+        return piecewise_ranges(encoded.decode(c), op.param, low, high)
     if op.name == "TranslateDictionaryRange":
-        b = c.table.where(F.col("value").between(low, high)).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-        if b.lo is None:  # no id: no row is read
-            return c.ids.select(F.col("row_id").alias("start"), F.col("row_id").alias("end")).limit(0)
-        return ranges(c.ids.where(F.col("id").between(b.lo, b.hi)))
+        return translated(c, low, high)
     if op.name == "CountRuns":
-        return scans.count_runs(c.runs, q.equals)
+        return scans.count_runs(c.fields["0 runs"], q.equals)
     if q.kind == "Get":
-        return scans.get(c.rows, q.left, c.checked.rows)
+        return scans.get(encoded.decode(c, q.left, q.left + 1), q.left, c.checked.rows)
     if q.kind == "Sum":
-        return scans.sum_rows(c.rows, q.left, q.right)
+        if decoder(c.recipe).kind == "RLE":  # a run's value times its rows: exact, and no run is skipped
+            return scans.sum_run_rows(c.fields["0 runs"], q.left, q.right)
+        return scans.sum_rows(encoded.decode(c, q.left, q.right), q.left, q.right)
     if q.kind == "Between":
-        return scans.between_rows(c.rows, q.left, q.right, low, high)
+        return scans.between_rows(encoded.decode(c, q.left, q.right), q.left, q.right, low, high)
     if q.kind == "Count":
-        return scans.count_equals(c.rows, q.equals)
-    return scans.filter_between(c.rows, low, high)
+        return scans.count_equals(encoded.decode(c), q.equals)
+    return scans.filter_between(encoded.decode(c), low, high)
 
 
-def run(q: Query, c: Column) -> DataFrame:
-    return lower(compile_query(q, c), c)
+def translated(c: Encoded, low: int, high: int) -> DataFrame:
+    """Ranges of the ids that stand for values in [low, high]; over runs of ids, whole runs."""
+    lo, hi = encoded.id_bounds(c, low, high)
+    below = decoder(c.recipe).child
+    if lo >= hi:  # no id: no row is read
+        return c.rows.sparkSession.createDataFrame([], "start long, end long")
+    if below.kind == "RLE":
+        hits = c.fields["1 runs"].where((F.col("value") >= lo) & (F.col("value") < hi)).select("start", "end")
+        return span_union(hits)
+    ids = encoded._decode(c, below, 1, None, None)
+    return ranges(ids.where((F.col("value") >= lo) & (F.col("value") < hi)))
 
 
-def build_fence(rows: DataFrame, stride: int = FENCE_ROWS) -> DataFrame:
-    return rows.where(F.col("row_id") % stride == 0).select("row_id", "value")
+def run(q: Query, c: Encoded) -> DataFrame:
+    return lower(compile_query(q, c), c)
 
 
-def search(c: Column, low: int, high: int, stride: int = FENCE_ROWS) -> tuple[int, int]:
+def search(c: Encoded, low: int, high: int, stride: int = encoded.STRIDE) -> tuple[int, int]:
     """The one matching range of a non-decreasing column, by two boundary searches.
 
-    The fence (every stride-th row) gives the stride in which a boundary lies;
-    only that stride's rows are read after it.
+    The top (evenly spaced values that the driver has of a stored column; of
+    others, a fence read by one aggregate) gives the strides in which the
+    boundaries lie; one job reads only those strides' rows.
     """
-    nulls = c.checked.nulls
-    fence = c.fence if c.fence is not None else build_fence(c.rows, stride)
-
-    def boundary(value: int, inclusive: bool) -> int:
-        """Rows before the first value >= (inclusive) or > ``value``; nulls first count as before it, last as after."""
-        less = (F.col("value") < value) if inclusive else (F.col("value") <= value)
-        earlier = F.coalesce(less, F.lit(nulls == "First"))
-        at = fence.where(earlier).agg(F.max("row_id")).first()[0]
-        if at is None:
-            return 0
-        inside = c.rows.where((F.col("row_id") >= at) & (F.col("row_id") < at + stride) & earlier)
-        return inside.agg(F.max("row_id")).first()[0] + 1
-
-    return boundary(low, True), boundary(high, False)
+    nulls, rows = c.checked.nulls, c.checked.rows
+    if "values" in c.tops:
+        stride, (begin, end) = c.tops["values"][0], encoded.bracket(c, low, high)
+    else:
+        fence = c.rows.where(F.col("row_id") % stride == 0)
+        early = F.coalesce(F.col("value") < low, F.lit(nulls == "First"))
+        late = F.coalesce(F.col("value") > high, F.lit(nulls == "Last"))
+        e = fence.agg(F.max(F.when(early, F.col("row_id"))).alias("a"), F.min(F.when(late, F.col("row_id"))).alias("b")).first()
+        begin, end = e.a or 0, rows if e.b is None else e.b
+    if begin >= end:
+        return begin, begin
+    # of the strides between the first and the last one, all values match
+    first, last = min(begin + stride + 1, end), max(begin, end - stride - 1)
+    if first < last:
+        here = encoded.decode(c, begin, first).unionByName(encoded.decode(c, last, end))
+    else:
+        first = last = begin
+        here = encoded.decode(c, begin, end)
+    less = F.coalesce(F.col("value") < low, F.lit(nulls == "First"))
+    more = F.coalesce(F.col("value") > high, F.lit(nulls == "Last"))
+    got = here.agg(F.count_if(less).alias("less"), F.count_if(more).alias("more")).first()
+    lo, hi = begin + got.less, end - got.more
+    return (lo, hi) if lo < hi else (lo, lo)
 
 
 def piecewise_ranges(rows: DataFrame, width: int, low: int, high: int) -> DataFrame:
@@ -140,8 +134,6 @@ def piecewise_ranges(rows: DataFrame, width: int, low: int, high: int) -> DataFr
     the blocks makes matches contiguous; every row is still read."""
     hit = F.col("value").between(low, high)
     each = rows.groupBy(block(width).alias("blk")).agg(F.min(F.when(hit, F.col("row_id"))).alias("start"), (F.max(F.when(hit, F.col("row_id"))) + 1).alias("end")).where("start IS NOT NULL")
-    from ..operators.rows import _merge
-
     out = each.select("start", "end")
     for wide in (width << 16, None):
         narrow = width if wide else width << 16
@@ -150,7 +142,7 @@ def piecewise_ranges(rows: DataFrame, width: int, low: int, high: int) -> DataFr
     return out
 
 
-def licensed_predicate_sum(selector: Column, aligned: DataFrame, low: int, high: int) -> DataFrame:
+def licensed_predicate_sum(selector: Encoded, aligned: DataFrame, low: int, high: int) -> DataFrame:
     """The flagship: a licensed range on the selector, then the sum of the aligned
     values; ``aligned`` has row_id, selector, value.  The row range reaches the scan."""
     plan = compile_query(Query("Filter", low=low, high=high), selector)

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.rows import BLOCK, block
+from ..operators.rows import BLOCK, block, folded
+from . import store
 from .recipe import Recipe, decoder
 
 
@@ -40,11 +41,6 @@ def null_placement(n: int, nn: int, lo: int | None, hi: int | None) -> str:
     return "Arbitrary"
 
 
-def identity(df: DataFrame) -> str:
-    """The input files and the plan's schema: facts of other files are not valid here."""
-    return "|".join(sorted(df.inputFiles())) + df.schema.simpleString()
-
-
 def monotone(df: DataFrame, width: int = BLOCK) -> DataFrame:
     """One row: rows, non-null rows, their first and last row id, whether values never fall.
 
@@ -57,14 +53,14 @@ def monotone(df: DataFrame, width: int = BLOCK) -> DataFrame:
     each = rows.withColumn("_fell", F.coalesce(fell, F.lit(False))).groupBy("_b").agg(
         F.count(F.lit(1)).alias("n"), F.count("value").alias("nn"), F.bool_or("_fell").alias("fell"), F.min(value).alias("f"), F.max(value).alias("l")
     )
-    prior = F.last("l", True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    each = each.withColumn("_jump", F.coalesce(F.col("f.value") < prior["value"], F.lit(False)))
+    each = folded(each, "l", F.max, "_prior")  # row ids grow, so the greatest is the last
+    each = each.withColumn("_jump", F.coalesce(F.col("f.value") < F.col("_prior")["value"], F.lit(False)))
     return each.agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.min("f.row_id").alias("lo"), F.max("l.row_id").alias("hi"), (~F.bool_or(F.col("fell") | F.col("_jump"))).alias("non_decreasing"))
 
 
 def check_column(df: DataFrame) -> Checked:
     r = monotone(df).first()
-    return Checked(r.n or 0, null_placement(r.n or 0, r.nn or 0, r.lo, r.hi), bool(r.non_decreasing) and bool(r.nn), identity(df))
+    return Checked(r.n or 0, null_placement(r.n or 0, r.nn or 0, r.lo, r.hi), bool(r.non_decreasing) and bool(r.nn), store.identity(df))
 
 
 def piecewise(df: DataFrame, width: int) -> DataFrame:
@@ -78,12 +74,13 @@ def piecewise(df: DataFrame, width: int) -> DataFrame:
 _ARITHMETIC = frozenset({"CheckedArithmetic"})
 
 
-def _node(r: Recipe, length: int) -> list[Fact]:
-    """Facts of a node's own output, from its structure and its child's facts."""
-    below = _node(r.child, length) if r.child and r.kind != "Frame" else []
+def _node(r: Recipe, length: int, numbers: dict[str, int], at: int = 0) -> list[Fact]:
+    """Facts of a node's own output, from its structure, its child's facts and the encoded fields' numbers."""
+    length = numbers.get(f"{at} rows", length)
+    below = _node(r.child, length, numbers, at + 1) if r.child and r.kind != "Frame" else []
     order = [f for f in below if f.prop == "NonDecreasing" and f.scope == "AllRows"]
     if r.kind == "BitPack":
-        return [Fact("AllRows", "UnsignedRange"), Fact("Physical", "Miniblock", 128)]
+        return [Fact("AllRows", "UnsignedRange", numbers.get(f"{at} width")), Fact("Physical", "Miniblock", 128)]
     if r.kind == "FOR":
         maps = [Fact("Mapping", p, assumes=_ARITHMETIC) for p in ("OrderPreserving", "Injective", "AffineShift")]
         return maps + [Fact("AllRows", "NonDecreasing", assumes=f.assumes | _ARITHMETIC) for f in order]
@@ -106,9 +103,13 @@ def _node(r: Recipe, length: int) -> list[Fact]:
     return below
 
 
-def derive(r: Recipe, length: int, checked: Checked | None = None) -> list[Fact]:
-    """Facts of the root: structural ones, then what was checked, then the layout's frame."""
-    out = _node(decoder(r), length)
+def derive(r: Recipe, length: int, checked: Checked | None = None, numbers: dict[str, int] | None = None) -> list[Fact]:
+    """Facts of the root: structural ones, then what was checked, then the layout's frame.
+
+    They hold for columns that were encoded by the recipe (``numbers`` are of that encoding); the encode driver
+    fails on values that do not meet it.
+    """
+    out = _node(decoder(r), length, numbers or {})
     if checked is not None:
         trusted = frozenset({"TrustedDescriptor"})
         out.append(Fact("AllRows", "NullPlacement", checked.nulls, "Checked", trusted))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar, statistics
 from .operators import census, certificates, codecs, predicates, rows, scans, schedules
-from .plans import bridge, compiler, facts, layout
+from .plans import bridge, compiler, encoded, facts, layout
 from .plans.plan import Query
 from .plans.recipe import Recipe, bitpack
 from .sources import arms, raw
@@ -91,12 +91,14 @@ def ntile_bounds(c: str, k: int) -> str:
 SELECT CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)), 0) AS BIGINT) AS sum, count(*) AS matched_rows
 FROM events, b WHERE epoch_us(ts) BETWEEN low AND high""")
 def flagship(spark, d):
-    c = compiler.column(col(spark, d, "ts"), Recipe("FOR", bitpack()))
+    c = compiler.column(col(spark, d, "ts"), FOR, keep=True)
     n = c.checked.rows
     width = max(1, n * 100 // 1000)
     start = (n - width) // 2
-    ends = {r.row_id: r.value for r in c.rows.where(F.col("row_id").isin(start, start + width - 1)).collect()} if c.checked.non_decreasing else None
-    low, high = (ends[start], ends[start + width - 1]) if ends else predicates.window_bounds(c.rows, n)
+    if c.checked.non_decreasing:
+        low, high = (compiler.run(Query("Get", i), c).first().value for i in (start, start + width - 1))
+    else:
+        low, high = predicates.window_bounds(c.rows, n)
     both = events(spark, d).selectExpr("event_id AS row_id", f"{TS[0]} AS selector", f"{COLUMNS['cents'][0]} AS value")
     return big(compiler.licensed_predicate_sum(c, both, low, high))
 
@@ -111,8 +113,8 @@ def predicate_scan(spark, d):
     return big(scans.predicate_sum(t, low, high))
 
 
-def _run(name, q, recipe=FOR, **physical):
-    return lambda spark, d: compiler.run(q, compiler.column(col(spark, d, name), recipe, **physical))
+def _run(name, q, recipe=FOR):
+    return lambda spark, d: compiler.run(q, compiler.column(col(spark, d, name), recipe, keep=True))
 
 
 query("get_row", f"SELECT value FROM {sql_col('cents')} WHERE row_id = 500")(_run("cents", Query("Get", 500)))
@@ -127,9 +129,7 @@ query("count_equals_scan", f"SELECT count(*) AS count FROM {sql_col('steps')} WH
 
 @query("count_equals_runs", f"SELECT count(*) AS count FROM {CHATS} WHERE value = 7")
 def count_runs(spark, d):
-    c = chats(spark, d)
-    runs, _ = codecs.run_length(c)
-    return big(compiler.run(Query("Count", equals=7), compiler.column(c, RUN, runs=runs)))
+    return big(compiler.run(Query("Count", equals=7), compiler.column(chats(spark, d), RUN, keep=True)))
 
 
 @query("sum_rows_on_runs", f"SELECT CAST(coalesce(sum(value), 0) AS BIGINT) AS sum FROM {CHATS} WHERE row_id >= 11 AND row_id < 60")
@@ -138,7 +138,7 @@ def sum_runs(spark, d):
 
 
 query("filter_monotone_search", islands(f"SELECT row_id FROM {sql_col('ts')} WHERE value BETWEEN (SELECT value FROM {sql_col('ts')} WHERE row_id = 300) AND (SELECT value FROM {sql_col('ts')} WHERE row_id = 640)"))(
-    lambda s, d: (lambda c: compiler.run(Query("Filter", low=c.rows.where("row_id = 300").first().value, high=c.rows.where("row_id = 640").first().value), c))(compiler.column(col(s, d, "ts"), FOR))
+    lambda s, d: (lambda c: compiler.run(Query("Filter", low=compiler.run(Query("Get", 300), c).first().value, high=compiler.run(Query("Get", 640), c).first().value), c))(compiler.column(col(s, d, "ts"), FOR, keep=True))
 )
 query("filter_monotone_nulls_first", islands(f"SELECT row_id FROM {sql_col('nulls_first')} WHERE value BETWEEN 900 AND 4000"))(_run("nulls_first", Query("Filter", low=900, high=4000), Recipe("Nullable", FOR, 128)))
 query("filter_monotone_nulls_last", islands(f"SELECT row_id FROM {sql_col('nulls_last')} WHERE value BETWEEN 900 AND 9000"))(_run("nulls_last", Query("Filter", low=900, high=9000), Recipe("Nullable", FOR, 128)))
@@ -147,9 +147,7 @@ query("filter_piecewise_search", islands(f"SELECT row_id FROM {sql_col('saw')} W
 
 @query("filter_dictionary_translate", islands(f"SELECT row_id FROM {sql_col('user')} WHERE value BETWEEN 20 AND 60"))
 def translate(spark, d):
-    c = col(spark, d, "user")
-    ids, table = codecs.dictionary(c)
-    return compiler.run(Query("Filter", low=20, high=60), compiler.column(c, DICT, ids=ids, table=table))
+    return compiler.run(Query("Filter", low=20, high=60), compiler.column(col(spark, d, "user"), DICT, keep=True))
 
 
 SPANS = "(SELECT 100 * i AS \"start\", 100 * i + 37 AS \"end\" FROM range(9) t(i))"

@@ -127,7 +127,7 @@ def test_piecewise_and_runs(spark):
     assert compiler.compile_query(q, c).ops[0].name == "SearchPiecewise" and spans(compiler.run(q, c)) == scan_spans(saw, 100, 900)
     values = [7] * 5 + [9] * 3 + [7] * 7 + [9]
     runs, index = codecs.run_length(frame(spark, values), 2)
-    c = compiler.column(frame(spark, values), Recipe("RLE", bitpack(), 2), runs=runs)
+    c = compiler.column(frame(spark, values), Recipe("RLE", bitpack(), 2))
     q = Query("Count", equals=7)
     assert compiler.compile_query(q, c).ops[0].name == "CountRuns" and compiler.run(q, c).first()[0] == 12
     assert sorted(tuple(r) for r in index.collect()) == [(0, 0), (2, 8), (4, 16)]
@@ -214,8 +214,7 @@ def test_golden_example(spark):
     assert spans(compiler.run(Query("Filter", low=1700000180, high=1700000360), time)) == [(3, 7)]
     assert compiler.run(Query("Sum", 4, 12), compiler.column(frame(spark, meter), FOR)).first()[0] == 108
     df = frame(spark, status)
-    ids, table = codecs.dictionary(df)
-    c = compiler.column(df, Recipe("Dictionary", Recipe("RLE", bitpack(), 4)), ids=ids, table=table)
+    c = compiler.column(df, Recipe("Dictionary", Recipe("RLE", bitpack(), 4)))
     q = Query("Filter", low=2, high=2)
     assert compiler.compile_query(q, c).ops[0].name == "TranslateDictionaryRange" and spans(compiler.run(q, c)) == [(3, 7), (12, 14)]
     assert spans(compiler.run(Query("Filter", low=50, high=60), c)) == []
