@@ -78,3 +78,7 @@ def fnv1a(data: bytes) -> int:
     for b in data:
         h = (h ^ b) * 0x100000001B3 % 2**64
     return h
+
+
+def selector_kind(name: Column) -> Column:
+    return F.when(F.contains(name, F.lit("timestamp")), "timestamp").otherwise("identifier")

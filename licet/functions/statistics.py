@@ -57,17 +57,24 @@ def xorshift(state: int) -> int:
     return state ^ (state << 17 & 0xFFFFFFFFFFFFFFFF)
 
 
+def _states(seed: int, n: int) -> np.ndarray:
+    out = np.empty(n, dtype=np.uint64)
+    for i in range(n):
+        seed = xorshift(seed)
+        out[i] = seed
+    return out
+
+
+def _interval(medians: np.ndarray, repetitions: int) -> tuple[float, float]:
+    medians = np.sort(medians)
+    return float(medians[int(0.025 * repetitions)]), float(medians[int(0.975 * repetitions)])
+
+
 def bootstrap_median(values, seed: int = SEED, repetitions: int = REPETITIONS) -> tuple[float, float]:
     """2.5 and 97.5 % points of resampled medians."""
-    v, state, out = list(values), seed, []
-    for _ in range(repetitions):
-        pick = []
-        for _ in v:
-            state = xorshift(state)
-            pick.append(v[state % len(v)])
-        out.append(median(pick))
-    out.sort()
-    return out[int(0.025 * repetitions)], out[int(0.975 * repetitions)]
+    v = np.array(list(values), dtype=float)
+    pick = (_states(seed, repetitions * len(v)) % np.uint64(len(v))).astype(int).reshape(repetitions, len(v))
+    return _interval(np.median(v[pick], axis=1), repetitions)
 
 
 def cluster_bootstrap_median(families: dict[str, list[float]], seed: int = SEED, repetitions: int = REPETITIONS) -> tuple[float, float]:
@@ -82,8 +89,7 @@ def cluster_bootstrap_median(families: dict[str, list[float]], seed: int = SEED,
                 state = xorshift(state)
                 pick.append(inside[state % len(inside)])
         out.append(median(pick))
-    out.sort()
-    return out[int(0.025 * repetitions)], out[int(0.975 * repetitions)]
+    return _interval(np.array(out), repetitions)
 
 
 def sign_test(wins: int, n: int) -> float:
@@ -107,15 +113,15 @@ def wilcoxon_exact(ratios) -> float:
 
 
 def fit_cost(features: np.ndarray, nanoseconds: np.ndarray, ridge: float = 1e-6) -> dict:
-    """Ridge regression of log time on standardised features (population deviation, at least 1 where it vanishes)."""
+    """Ridge regression of log time on standardised features (population deviation, 1 at least; the constant has no ridge)."""
     x = np.asarray(features, float)
     if len(x) < x.shape[1] + 1:
         raise ValueError("too few rows")
     mean, scale = x.mean(0), x.std(0)
-    scale = np.where(scale < 1e-12, 1.0, scale)
+    scale = np.maximum(scale, 1.0)
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     a = z.T @ z
-    a[np.diag_indices_from(a)] += ridge
+    a[np.diag_indices_from(a)] += [0.0, *([ridge] * (len(a) - 1))]
     w = np.linalg.solve(a, z.T @ np.log(nanoseconds))
     return {"mean": mean, "scale": scale, "weights": w}
 
@@ -128,13 +134,13 @@ def fit_cost_frame(df: DataFrame, features: list[str], nanoseconds: str, ridge:
         raise ValueError("too few rows")
     mean = np.array([r[f"m{i}"] for i in range(k)], float)
     scale = np.array([r[f"s{i}"] for i in range(k)], float)
-    scale = np.where(scale < 1e-12, 1.0, scale)
+    scale = np.maximum(scale, 1.0)
     z = [F.lit(1.0)] + [(F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(features, mean, scale)]
     y = F.log(F.col(nanoseconds).cast("double"))
     cells = [F.sum(z[i] * z[j]).alias(f"a{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
     r = df.agg(*cells, *(F.sum(z[i] * y).alias(f"b{i}") for i in range(k + 1))).first()
     a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], float)
-    a[np.diag_indices_from(a)] += ridge
+    a[np.diag_indices_from(a)] += [0.0, *([ridge] * (len(a) - 1))]
     return {"mean": mean, "scale": scale, "weights": np.linalg.solve(a, np.array([r[f"b{i}"] for i in range(k + 1)], float))}
 
 
@@ -145,7 +151,31 @@ def predict_cost(model: dict, features: np.ndarray) -> np.ndarray:
 
 def regret_summary(df: DataFrame) -> DataFrame:
     """Accuracy and mean, median, 95th (index n * 95 div 100) and largest regret of (regret, right)."""
-    w = Window.orderBy("regret")
-    ranked = df.withColumn("_i", F.row_number().over(w) - 1)
+    from ..operators.rows import at_ranks
+
     n = df.count()
-    return ranked.agg(F.avg(F.col("right").cast("double")).alias("accuracy"), F.avg("regret").alias("mean"), F.percentile("regret", 0.5).alias("median"), F.max(F.when(F.col("_i") == min(n - 1, n * 95 // 100), F.col("regret"))).alias("p95"), F.max("regret").alias("max"))
+    whole = df.agg(F.avg(F.col("right").cast("double")).alias("accuracy"), F.avg("regret").alias("mean"), F.percentile("regret", 0.5).alias("median"), F.max("regret").alias("max"))
+    at = at_ranks(df.select("regret"), "regret", [min(n - 1, n * 95 // 100)]).agg(F.max("regret").alias("p95"))
+    return whole.join(at, F.lit(True))
+
+
+def rollup(df: DataFrame, levels: list[str], metrics: list[str]) -> DataFrame:
+    """Medians per source, then medians of these per class: ``levels`` are class and source."""
+    top, source = levels
+    per = df.groupBy(top, source).agg(F.count(F.lit(1)).alias("cells"), *(F.percentile(m, 0.5).alias(m) for m in metrics))
+    return per.groupBy(top).agg(F.count(F.lit(1)).alias("sources"), F.sum("cells").alias("cells"), *(F.percentile(m, 0.5).alias(m) for m in metrics))
+
+
+def preflight_free(selected, rows, file_bytes, metadata_bytes, frames, structures, fused: bool):
+    """What a plan costs before any of it is read: rows to decode, bytes and transfer operations (``structures``: how many kinds of index it has)."""
+    payload = F.greatest(file_bytes - metadata_bytes, F.lit(0))
+    partial = metadata_bytes + F.ceil(payload * selected / rows)
+    whole = F.lit(fused) | (frames > 0)
+    return {
+        "selected_rows": selected, "decoded_rows": rows if fused else selected, "delivered_bytes": F.when(whole, file_bytes).otherwise(partial),
+        "transfer_operations": F.lit(1) if fused else 1 + frames + structures, "frames_decoded": frames,
+    }
+
+
+#: The features of the cost model.
+FEATURES = ("selected_rows", "decoded_rows", "delivered_bytes", "transfer_operations", "frames_decoded", "restart_entries", "rle_runs", "dictionary_entries", "patch_count", "nullable_nodes")

@@ -94,3 +94,108 @@ def revalidated(df: DataFrame, facts: list) -> DataFrame:
             continue
         out = one if out is None else out.unionByName(one)
     return out if out is not None else df.sparkSession.createDataFrame([], "fact string, holds boolean")
+
+
+#: Distances that the summary counts, page sizes, and the restart and index intervals of the menu.
+DISPLACED, PAGES = (0, 1, 4, 16, 64, 256), (1024, 16_384)
+READY_RESTART = 256
+
+
+def menu(nullable: bool, rows: int) -> list[tuple[str, object, bool]]:
+    """The 14 candidates of a column: label, recipe and whether it is ready for access (no frame, restarts of at most 256 rows)."""
+    from ..plans.recipe import Recipe, bitpack
+
+    b, whole = bitpack(), -(-rows // 128) * 128
+    direct = [
+        ("FOR(BitPack)", Recipe("FOR", b)), ("Delta@256(BitPack)", Recipe("Delta", b, 256)), ("UnsignedDelta@256(BitPack)", Recipe("UnsignedDelta", b, 256)),
+        ("UnsignedDelta@whole(BitPack)", Recipe("UnsignedDelta", b, whole)), ("Dictionary(BitPack)", Recipe("Dictionary", b)),
+        ("Dictionary(RLE(BitPack))", Recipe("Dictionary", Recipe("RLE", b, 32))), ("RLE(FOR(BitPack))", Recipe("RLE", Recipe("FOR", b), 32)),
+    ]
+    out = []
+    for label, recipe in direct:
+        r = Recipe("Nullable", recipe, 256) if nullable else recipe
+        restart = max((n.interval for n in r.nodes() if n.kind in ("Delta", "UnsignedDelta")), default=0)
+        out += [(label, r, restart <= READY_RESTART), (f"Frame({label})", Recipe("Frame", r), False)]
+    return out
+
+
+def dense_stats(long: DataFrame) -> DataFrame:
+    """Per column what the sizes of all candidates follow from: of its values in order, without nulls, their
+    number, bounds, distinct ones, runs, and the steps inside blocks of 256 and over all."""
+    rows = long.withColumn("_b", block(1 << 16))
+    each = rows.groupBy("col", "_b").agg(F.count("value").alias("_n"), F.max(F.when(F.col("value").isNotNull(), F.struct("row_id", "value"))).alias("_l"))
+    w = Window.partitionBy("col").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("col", "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), F.max("_l").over(w)["value"].alias("_last"))
+    o = Window.partitionBy("col", "_b").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
+    here = rows.withColumn("_in", F.count("value").over(o)).withColumn("_p", F.last("value", True).over(o)).join(each, ["col", "_b"])
+    step = F.col("value") - F.coalesce("_p", "_last")
+    dense = here.where("value IS NOT NULL").select("col", "value", (F.col("_before") + F.col("_in")).alias("_at"), step.alias("_step"))
+    inside = F.when(F.col("_at") % 256 > 0, F.col("_step"))
+    s = lambda c: (F.coalesce(F.min(c), F.lit(0)), F.coalesce(F.max(c), F.lit(0)))
+    (lo256, hi256), (lo, hi) = s(inside), s(F.col("_step"))
+    stats = dense.groupBy("col").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.countDistinct("value").alias("u"),
+        (F.count_if(F.col("_step") != 0) + 1).alias("runs"), lo256.alias("smin"), hi256.alias("smax"), lo.alias("tmin"), hi.alias("tmax"),
+    )
+    return stats.join(long.groupBy("col").agg(F.count(F.lit(1)).alias("rows")), "col")
+
+
+def candidates(long: DataFrame) -> DataFrame:
+    """(col, recipe, framed, access_ready, admitted, bytes) of the menu of every column with a value.
+
+    ``bytes``: modelled, of the fields; null where the values do not meet the encoding, and of frames, whose size
+    only a compressor knows.
+    """
+    from ..functions.scalar import bit_width
+
+    c = dense_stats(long)
+    pack = lambda n, most: F.ceil(n / 128) * F.greatest(F.lit(8), 16 * bit_width(most))
+    n, u, runs, range_ = F.col("n"), F.col("u"), F.col("runs"), F.col("hi") - F.col("lo")
+    zigzag = F.greatest(2 * F.col("smax"), -2 * F.col("smin") - 1, F.lit(0))
+    run_bytes = 4 * runs + 8 * (F.ceil(runs / 32) + 1)
+    sizes = {
+        "FOR(BitPack)": 8 + pack(n, range_), "Delta@256(BitPack)": 8 * F.ceil(n / 256) + pack(n, zigzag),
+        "UnsignedDelta@256(BitPack)": F.when(F.col("smin") >= 0, 8 * F.ceil(n / 256) + pack(n, F.col("smax"))),
+        "UnsignedDelta@whole(BitPack)": F.when(F.col("tmin") >= 0, 8 + pack(n, F.col("tmax"))),
+        "Dictionary(BitPack)": 8 * u + pack(n, u - 1), "Dictionary(RLE(BitPack))": 8 * u + run_bytes + pack(runs, u - 1),
+        "RLE(FOR(BitPack))": run_bytes + 8 + pack(runs, range_),
+    }
+    nulls = F.when(n < F.col("rows"), F.ceil(F.col("rows") / 8) + 4 * (F.ceil(F.col("rows") / 256) + 1)).otherwise(0)
+    ready = {k: F.lit(True) if "whole" not in k else F.ceil(F.col("rows") / 128) * 128 <= READY_RESTART for k in sizes}
+    rows = [F.struct(F.lit(k).alias("recipe"), F.lit(False).alias("framed"), ready[k].alias("access_ready"), size.isNotNull().alias("admitted"), (size + nulls).cast("long").alias("bytes")) for k, size in sizes.items()]
+    rows += [F.struct(F.lit(f"Frame({k})").alias("recipe"), F.lit(True).alias("framed"), F.lit(False).alias("access_ready"), size.isNotNull().alias("admitted"), F.lit(None).cast("long").alias("bytes")) for k, size in sizes.items()]
+    return c.select("col", F.inline(F.array(*rows)))
+
+
+def layouts(long: DataFrame) -> DataFrame:
+    """Per column the smallest unframed candidate of all, and of those ready for access: by bytes, then name."""
+    c = candidates(long).where("bytes IS NOT NULL")
+    pick = lambda cond: F.min(F.when(cond, F.struct("bytes", "recipe")))
+    out = c.groupBy("col").agg(pick(F.lit(True)).alias("_s"), pick(F.col("access_ready")).alias("_r"))
+    return out.select("col", F.col("_s.recipe").alias("smallest"), F.col("_s.bytes").alias("smallest_bytes"), F.col("_r.recipe").alias("ready"), F.col("_r.bytes").alias("ready_bytes"))
+
+
+def summary(long: DataFrame) -> DataFrame:
+    """(metric, value) of a corpus of columns: shares of ordered columns, rows and pages, and of small domains."""
+    from functools import reduce
+
+    whole = dense_stats(long).select("col", (F.col("tmin") >= 0).alias("monotone"), "n", "u", "rows")
+    small = (F.col("u") <= SMALL) | (8 * F.col("u") <= F.col("n"))
+    m = F.col("monotone")
+    share = lambda cond: F.avg(cond.cast("double"))
+    out = [whole.agg(
+        F.count(F.lit(1)).cast("double").alias("columns"), F.sum("rows").cast("double").alias("rows"), F.count_if(m).cast("double").alias("global_monotone_columns"),
+        share(m).alias("global_monotone_column_fraction"), (F.sum(F.when(m, F.col("n")).otherwise(0)) / F.sum("n")).alias("global_monotone_row_fraction"),
+        F.count_if(small).cast("double").alias("small_domain_columns"), share(small).alias("small_domain_column_fraction"),
+    )]
+    out += [page_stats(long, p).agg(share(F.col("monotone")).alias(f"page_{p}_monotone_fraction")) for p in PAGES]
+    melted = [t.select(F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in t.columns)))) for t in out]
+    return reduce(DataFrame.unionByName, melted)
+
+
+def page_displacement(long: DataFrame, page: int = 1024) -> DataFrame:
+    """Per column and page the largest distance of a value from its place in the stable order of its page's values."""
+    dense = long.where("value IS NOT NULL").withColumn("page", block(page))
+    w = Window.partitionBy("col", "page")
+    place = dense.select("col", "page", (F.row_number().over(w.orderBy("row_id")) - F.row_number().over(w.orderBy("value", "row_id"))).alias("_d"))
+    return place.groupBy("col", "page").agg(F.max(F.abs("_d")).cast("long").alias("max_displacement"))

@@ -132,3 +132,18 @@ def fence_probe_in(entries: DataFrame, targets: list[int]) -> DataFrame:
     for t in sorted(set(targets)):
         out = out.unionByName(fence_probe(entries, t))
     return out.distinct()
+
+
+#: Modelled bytes of a block's minimum and maximum, and of a fence's entry.
+ENTRY = 16
+
+
+def modelled_bytes(candidates: DataFrame, metadata_bytes: int, block_rows: int, rows: int) -> DataFrame:
+    """What a probe reads: the sidecar, and 8 bytes for each candidate row."""
+    return candidate_rows(candidates, block_rows, rows).select((F.lit(metadata_bytes) + 8 * F.col("rows")).cast("long").alias("bytes"))
+
+
+def write_with_bloom(df: DataFrame, path: str, column: str, distinct: int) -> None:
+    """Parquet with the format's own Bloom filter of a column: equality filters on it skip row groups."""
+    key = f"#{column}"
+    df.write.option("parquet.bloom.filter.enabled" + key, "true").option("parquet.bloom.filter.expected.ndv" + key, str(distinct)).parquet(path)

@@ -52,3 +52,11 @@ WIDTHS = (1000, 100, 10, 2, 1)
 def widths(rows: int) -> list[int]:
     """Widths of row queries, each once: one row, a thousandth (one row at least) and so on up to all rows."""
     return sorted({1, *(max(1, rows // d) if d >= 100 else rows // d for d in WIDTHS)})
+
+
+#: Widths and percentages of the crossover study.
+CROSSOVER_WIDTHS, CROSSOVER_SHARES = (1, 4, 16, 64, 256), (1, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100)
+
+
+def crossover_widths(rows: int) -> list[int]:
+    return sorted({*CROSSOVER_WIDTHS, *(max(1, rows * p // 100) for p in CROSSOVER_SHARES)})

@@ -89,3 +89,39 @@ def half_open(low: int, high: int) -> tuple[int, int]:
     if high >= 2**63 - 1:
         raise OverflowError("the upper bound has no successor")
     return low, high + 1
+
+
+def fused_sum_over_ranges(df: DataFrame, spans: DataFrame) -> DataFrame:
+    """:func:`sum_over_ranges` as one pass over the whole column: every row is visited, the condition stands
+    inside the aggregate.  A row meets its range by the last start at or before it, inside blocks of rows."""
+    from pyspark.sql import Window
+
+    from .rows import BLOCK, block
+
+    cut = spans.withColumn("_b", F.explode(F.sequence(block(BLOCK, "start"), F.floor((F.col("end") - 1) / BLOCK))))
+    marks = cut.select("_b", F.greatest("start", F.col("_b") * BLOCK).alias("row_id"), F.lit(None).cast("long").alias("value"), F.col("end").alias("_end"))
+    both = df.select(block(BLOCK).alias("_b"), "row_id", "value", F.lit(None).cast("long").alias("_end")).unionByName(marks)
+    w = Window.partitionBy("_b").orderBy("row_id", F.col("_end").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.col("row_id") < F.last("_end", True).over(w)
+    rows = both.withColumn("_in", F.coalesce(inside, F.lit(False)) & F.col("_end").isNull())
+    return rows.agg(total(F.when(F.col("_in"), F.col("value"))).alias("sum"), F.count_if("_in").alias("matched_rows"))
+
+
+def predicate_truth(df: DataFrame, low: int, high: int) -> DataFrame:
+    """Of aligned (row_id, selector, value): every matching range with its own sum (the whole sum is theirs)."""
+    check_bounds(low, high)
+    from .rows import before
+
+    hits = df.where(F.col("selector").between(low, high))
+    spans = ranges(hits.select("row_id"))
+    numbered = before(hits.select("row_id", "value").withColumn("_new", F.lit(1).cast("long")), F.coalesce("value", F.lit(0)), "_sum", inclusive=True)
+    ends = numbered.select((F.col("row_id") + 1).alias("end"), F.col("_sum").alias("_to"))
+    starts = numbered.select(F.col("row_id").alias("start"), (F.col("_sum") - F.coalesce("value", F.lit(0))).alias("_from"))
+    return spans.join(starts, "start").join(ends, "end").select("start", "end", (F.col("_to") - F.col("_from")).alias("sum"))
+
+
+def answer_checksum(answer: DataFrame) -> DataFrame:
+    """One number of an answer: the rows of its ranges, else its value, sum or count (nothing: 0)."""
+    if "start" in answer.columns:
+        return answer.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).cast("long").alias("checksum"))
+    return answer.agg(F.coalesce(F.sum(answer.columns[0]), F.lit(0)).cast("long").alias("checksum"))

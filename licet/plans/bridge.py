@@ -90,4 +90,4 @@ def serve(df: DataFrame, request: str) -> str:
     rows = compiler.lower(plan, c).limit(MOST_ROWS + 1).collect()
     if len(rows) > MOST_ROWS:
         raise ValueError(f"the answer has over {MOST_ROWS} rows; use answer()")
-    return json.dumps({"plan": plan_dict(plan), "answer": sorted(({k: int(v) if v is not None else None for k, v in x.asDict().items()} for x in rows), key=str)})
+    return json.dumps({"plan": plan_dict(plan), "answer": sorted(({k: int(v) if v is not None else None for k, v in x.asDict().items()} for x in rows), key=lambda x: [(v is None, v or 0) for v in x.values()])})

@@ -28,7 +28,7 @@ COLUMNS = {
     "user": ("user_id",) * 2,
     "holes": ("CASE WHEN event_id % 17 = 0 THEN NULL ELSE user_id END",) * 2,
     "nulls_first": ("CASE WHEN event_id < 100 THEN NULL ELSE 7 * event_id END",) * 2,
-    "nulls_last": ("CASE WHEN event_id >= 900 THEN NULL ELSE 7 * event_id END",) * 2,
+    "nulls_last": ("CASE WHEN event_id >= {nine_tenths} THEN NULL ELSE 7 * event_id END", "CASE WHEN event_id >= (SELECT 9 * count(*) // 10 FROM events) THEN NULL ELSE 7 * event_id END"),
     "saw": ("4000000 + 7 * (event_id % 256)",) * 2,
     "patched": ("1000000 + 7 * event_id + CASE WHEN event_id % 997 = 503 THEN 1000000000 ELSE 0 END",) * 2,
     "steps": ("user_id % 7",) * 2,
@@ -43,7 +43,10 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def col(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return events(spark, d).selectExpr("event_id AS row_id", f"CAST({COLUMNS[name][0]} AS BIGINT) AS value")
+    made, e = COLUMNS[name][0], events(spark, d)
+    if "{nine_tenths}" in made:
+        made = made.format(nine_tenths=9 * e.count() // 10)
+    return e.selectExpr("event_id AS row_id", f"CAST({made} AS BIGINT) AS value")
 
 
 def sql_col(name: str) -> str:
@@ -297,22 +300,6 @@ query("census_source_rollup", f"SELECT CASE WHEN col IN ('ts', 'saw') THEN 'made
 )
 
 
-@query("layout_smallest", f"""WITH m AS (SELECT col, count(*) AS n, max(value) AS hi, min(value) AS lo, count(DISTINCT value) AS u FROM {LONG} WHERE col <> 'holes' GROUP BY col),
-c AS (SELECT col, 'BitPack' AS recipe, hi AS most, 0 AS extra, n FROM m UNION ALL SELECT col, 'FOR(BitPack)', hi - lo, 8, n FROM m UNION ALL SELECT col, 'Dictionary(BitPack)', u - 1, 8 * u, n FROM m),
-b AS (SELECT col, recipe, extra + (n + 127) // 128 * greatest(8, 16 * CASE WHEN most = 0 THEN 0 ELSE length(bin(most)) END) AS bytes FROM c)
-SELECT col, recipe, CAST(bytes AS BIGINT) AS bytes FROM b QUALIFY row_number() OVER (PARTITION BY col ORDER BY bytes, recipe) = 1""")
-def layout_smallest(spark, d):
-    m = long(spark, d).where("col <> 'holes'").groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.countDistinct("value").alias("u"))
-    menu = F.explode(F.array(
-        F.struct(F.lit("BitPack").alias("recipe"), F.col("hi").alias("most"), F.lit(0).cast("long").alias("extra")),
-        F.struct(F.lit("FOR(BitPack)").alias("recipe"), (F.col("hi") - F.col("lo")).alias("most"), F.lit(8).cast("long").alias("extra")),
-        F.struct(F.lit("Dictionary(BitPack)").alias("recipe"), (F.col("u") - 1).alias("most"), (8 * F.col("u")).alias("extra")),
-    )).alias("m")
-    c = m.select("col", "n", menu)
-    size = F.col("m.extra") + F.ceil(F.col("n") / 128) * F.greatest(F.lit(8).cast("long"), 16 * scalar.bit_width(F.col("m.most")))
-    return census.smallest_layout(c.select("col", F.col("m.recipe").alias("recipe"), size.cast("long").alias("bytes")))
-
-
 # ---------------------------------------------------------------- certificates
 
 MINMAX = f"SELECT row_id // 128 AS blk, min(value) AS lo, max(value) AS hi FROM {sql_col('user')} GROUP BY blk"
@@ -382,11 +369,11 @@ def bloom_probe_refined(spark, d):
 
 # ------------------------------------------------------- planning and statistics
 
-READS = "(SELECT event_id * 64 AS \"start\", event_id * 64 + 16 + user_id % 80 AS \"end\" FROM events WHERE user_id % 3 = 0)"
+READS = "(SELECT event_id * 64 AS \"start\", event_id * 64 + 16 + user_id % 80 AS \"end\" FROM events)"
 
 
 def reads(spark, d):
-    return events(spark, d).where("user_id % 3 = 0").selectExpr("event_id * 64 AS start", "event_id * 64 + 16 + user_id % 80 AS end")
+    return events(spark, d).selectExpr("event_id * 64 AS start", "event_id * 64 + 16 + user_id % 80 AS end")
 
 
 def merged(gap: int) -> str:
@@ -418,34 +405,6 @@ query("discovery_share", f"SELECT page, round(1 - median(fused / CAST(fused + se
 query("arm_wins", f"SELECT page, count(*) FILTER (fused < selective) AS wins, min(fused / CAST(selective AS DOUBLE)) AS least, max(fused / CAST(selective AS DOUBLE)) AS most FROM {TIMES} GROUP BY page")(lambda s, d: times(s, d).groupBy("page").agg(F.count_if(F.col("fused") < F.col("selective")).alias("wins"), F.min(F.col("fused") / F.col("selective")).alias("least"), F.max(F.col("fused") / F.col("selective")).alias("most")))
 
 
-@query("modelled_page_bytes", "SELECT 480 AS event_time, 384 AS meter, 608 AS status, 720 AS sparse_event, 704 AS reading")
-def modelled(spark, d):
-    """The five columns of the sixteen-row example."""
-    b = layout.page_bytes
-    sizes = {
-        "event_time": b([("restarts", 8), ("bitpack", 96)], 3), "meter": b([("base", 8), ("bitpack", 64)], 2),
-        "status": b([("dictionary", 24), ("lengths", 24), ("index", 24), ("bitpack", 32)], 5),
-        "sparse_event": b([("validity", 2), ("rank", 12), ("dictionary", 16), ("lengths", 8), ("index", 16), ("bitpack", 16)], 8),
-        "reading": b([("positions", 4), ("index", 16), ("exceptions", 8), ("base", 8), ("bitpack", 64)], 6),
-    }
-    return spark.createDataFrame([tuple(sizes.values())], ", ".join(f"{k} int" for k in sizes))
-
-
-@query("bootstrap_interval")
-def bootstrap_interval(spark, d):
-    """No SQL: a pseudo-random resampling."""
-    medians = [r.m for r in times(spark, d).groupBy("page").agg(F.percentile(F.col("fused") / F.col("selective"), 0.5).alias("m")).orderBy("page").collect()]
-    return spark.createDataFrame([statistics.bootstrap_median(medians)], "low double, high double")
-
-
-@query("signed_rank_tests")
-def signed_rank(spark, d):
-    """No SQL: exact null distributions."""
-    ratios = sorted({r.m for r in times(spark, d).groupBy("page").agg(F.avg(F.col("fused") / F.col("selective")).alias("m")).collect()})
-    wins = sum(x < 1 for x in ratios)
-    return spark.createDataFrame([(statistics.wilcoxon_exact(ratios), statistics.sign_test(wins, len(ratios)))], "wilcoxon double, sign double")
-
-
 # ------------------------------------------------- sources, arms and schedules
 
 query("raw_roundtrip", SAME.format(sql_col("holes")))(lambda s, d: raw.from_raw(raw.to_raw(col(s, d, "holes"), 4096), 4096))
@@ -544,3 +503,6 @@ def cost_model_weights(spark, d):
     names = ["page", "rows", "predicted_selective"]
     model = statistics.fit_cost_frame(times(spark, d), names, "selective")
     return spark.createDataFrame([(n, float(w)) for n, w in zip(["constant", *names], model["weights"])], "feature string, weight double")
+
+
+from . import studies  # noqa: E402, F401  (registers its queries here)

@@ -84,11 +84,72 @@ def exact_text(df: DataFrame, column: str = "value") -> tuple[DataFrame, int] |
     return df.withColumn(column, scaled_text(F.col(column), r.s or 0)), r.s or 0
 
 
-#: Row formulas of the synthetic columns (r: the row).
+def token_directory(spark: SparkSession, path: str) -> list[dict]:
+    """The columns of a folder of ``<table>__c<i>_<name>.csv`` files, one value a line, in the order of their names.
+
+    Each is {"source", "name", "rows", "scale"}; a column called timestamp (or ending so) has epoch seconds.
+    Columns of under 128 rows, and those that are no exact decimals, are left out.  One entry a file reaches the driver.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found = sorted(s.getPath().toString() for s in where.getFileSystem(conf).listStatus(where) if s.getPath().getName().endswith(".csv"))
+    out = []
+    for f in found:
+        stem = f.rsplit("/", 1)[1][: -len(".csv")]
+        table, _, column = stem.rpartition("__") if "__" in stem else ("table", "", stem)
+        if "__" in stem:
+            table, column = stem.split("__", 1)
+        try:
+            rows = tokens(spark, f)
+        except ValueError:
+            continue
+        if column == "timestamp" or column.endswith("_timestamp"):
+            out.append({"source": table, "name": "timestamp", "rows": rows.select("row_id", F.expr("try_cast(value AS BIGINT)").alias("value")), "scale": 0})
+        elif got := exact_text(rows):
+            out.append({"source": table, "name": column, "rows": got[0], "scale": got[1]})
+    return out
+
+
+def lcg(spark: SparkSession, rows: int, block_rows: int = 4096) -> DataFrame:
+    """The noisy synthetic column: x = 42, then x * 6364136223846793005 + 1 modulo 2^64, of which the last six digits count.
+
+    Every block of rows begins at its own place of the sequence, found by powers, so blocks need not follow each other.
+    """
+    import numpy as np
+    import pandas as pd
+
+    a, mask = 6364136223846793005, (1 << 64) - 1
+
+    def jump(n: int) -> tuple[int, int]:
+        """n steps at once: x -> m * x + c."""
+        m, c, fm, fc = 1, 0, a, 1
+        while n:
+            if n & 1:
+                m, c = m * fm & mask, (c * fm + fc) & mask
+            fm, fc, n = fm * fm & mask, (fc * fm + fc) & mask, n >> 1
+        return m, c
+
+    def make(batches):
+        for b in batches:
+            for first in b["id"]:
+                first = int(first)
+                n = min(block_rows, rows - first)
+                m, c = jump(first + 1)
+                x, out = (m * 42 + c) & mask, np.empty(n, dtype=np.int64)
+                for i in range(n):
+                    out[i] = x % 1_000_000
+                    x = (x * a + 1) & mask
+                yield pd.DataFrame({"row_id": np.arange(first, first + n), "value": out})
+
+    return spark.range(0, rows, block_rows).mapInPandas(make, "row_id long, value long")
+
+
+#: Row formulas of the synthetic columns (r: the row).
 SYNTHETIC = {
     "constant": "42", "linear": "20 + 2 * r", "quadratic": "r * r + 2 * r + 4", "small_domain": "r % 7",
     "sparse_zero": "CASE WHEN r % 97 = 0 THEN r ELSE 0 END", "nullable_fee": "CASE WHEN r % 5 = 0 THEN NULL ELSE 100 + r % 13 END",
 }
+#: Profiles of held-out data; :func:`profile` has those of nulls and patches.
 PROFILES = {
     "Trend": "1000000 + 7 * r + r % 5", "Runs": "2000000 + element_at(array(10, 20, 10, 30), CAST((r DIV 37) % 4 + 1 AS INT))",
     "ManyRuns": "2000000 + ((r DIV 8) * 37) % 1024", "SmallDomain": "3000000 + element_at(array(0, 1, 7, 2, 1), CAST(r % 5 + 1 AS INT))",
@@ -116,10 +177,27 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
     df.repartitionByRange("row_id").sortWithinPartitions("row_id").write.option("compression", compression).parquet(path)
 
 
+def write_parquet_dictionary(df: DataFrame, path: str) -> None:
+    """Dictionary pages under Snappy."""
+    df.repartitionByRange("row_id").sortWithinPartitions("row_id").write.option("parquet.enable.dictionary", "true").option("compression", "snappy").parquet(path)
+
+
+def write_parquet_delta(df: DataFrame, path: str) -> None:
+    """Binary-packed deltas (pages of version 2 without dictionaries) under Zstandard at level 3."""
+    out = df.repartitionByRange("row_id").sortWithinPartitions("row_id").write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false")
+    out.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "3").parquet(path)
+
+
 def write_orc(df: DataFrame, path: str) -> None:
     df.repartitionByRange("row_id").sortWithinPartitions("row_id").write.option("compression", "none").orc(path)
 
 
 def write_pair(df: DataFrame, path: str, page_rows: int) -> None:
-    """(row_id, timestamp, value) in pages of ``page_rows`` rows and with page statistics."""
-    df.repartitionByRange("row_id").sortWithinPartitions("row_id").write.option("parquet.page.row.count.limit", page_rows).parquet(path)
+    """(row_id, timestamp, value) in pages of ``page_rows`` rows with page statistics, 64 of them to a row group."""
+    out = df.repartitionByRange("row_id").sortWithinPartitions("row_id").write.option("parquet.page.row.count.limit", page_rows)
+    out.option("parquet.block.row.count.limit", 64 * page_rows).parquet(path)
+
+
+def write_results(df: DataFrame, path: str) -> None:
+    """A study's result as CSV with a header."""
+    df.write.csv(path, header=True)
