@@ -117,7 +117,10 @@ def search(c: Encoded, low: int, high: int, stride: int = encoded.STRIDE) -> tup
         return begin, begin
     # of the strides between the first and the last one, all values match
     first, last = min(begin + stride + 1, end), max(begin, end - stride - 1)
-    if first < last:
+    row = F.col("row_id")
+    if first < last and _plain(c):
+        here = encoded.decode(c).where(((row >= begin) & (row < first)) | ((row >= last) & (row < end)))
+    elif first < last:
         here = encoded.decode(c, begin, first).unionByName(encoded.decode(c, last, end))
     else:
         first = last = begin
@@ -148,5 +151,20 @@ def licensed_predicate_sum(selector: Encoded, aligned: DataFrame, low: int, high
     plan = compile_query(Query("Filter", low=low, high=high), selector)
     if plan.ops[0].name != "SearchMonotone":
         return scans.predicate_sum(aligned, low, high)
-    lo, hi = search(selector, low, high)
+    # outside the bracket of a stored column nothing matches, and in it the predicate is exact: one job
+    lo, hi = encoded.bracket(selector, low, high) if "values" in selector.tops else search(selector, low, high)
     return scans.predicate_sum(aligned.where((F.col("row_id") >= lo) & (F.col("row_id") < hi)), low, high)
+
+
+def gets(c: Encoded, rows: list[int]) -> list[int | None]:
+    """The values of a few rows by one job; columns of plain codes are read at these rows only."""
+    for i in rows:
+        _validate(Query("Get", i), c.checked.rows)
+    here = encoded.decode(c) if _plain(c) else encoded.decode(c, min(rows), max(rows) + 1)
+    got = {r.row_id: r.value for r in here.where(F.col("row_id").isin(rows)).collect()}
+    return [got[i] for i in rows]
+
+
+def _plain(c: Encoded) -> bool:
+    """Rows that are decoded one by one, so that a condition on them reaches the scan."""
+    return [r.kind for r in decoder(c.recipe).nodes()] in (["BitPack"], ["FOR", "BitPack"])
