@@ -36,9 +36,7 @@ columns named as the results are replaced.
 
 from __future__ import annotations
 
-import json
 import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, text
+from .mapped import Shards, save
 
 ORDER = 3
 #: The hash of the end token; numbers of the begin mark and of words that the corpus lacks.
@@ -59,8 +58,6 @@ TOKENS = 1_500_000
 SHARD = 1_500_000
 #: Shards that one task deals to at most.
 FAN = 1024
-#: Shard files that a worker keeps mapped.
-MAPPED = 8192
 _BUCKET = 16
 _GRAMS, _CONTEXTS, _NUMBERS = 0, 1, 2
 #: The usual numbers: an n-gram's count; a context's sum, followers counted once, twice, oftener.
@@ -220,41 +217,7 @@ def _dealt(kind: int, shard: np.ndarray, columns: list[np.ndarray], counts: list
         yield _rows(rows)
 
 
-# ----------------------------------------------------------------------- files
-
-
-def _aligned(n: int) -> int:
-    return -(-n // 8) * 8
-
-
-def save(path: str, **arrays: np.ndarray) -> None:
-    """Arrays in one file with an offset table, which appears at once, so a task may be run again."""
-    table, at = {}, 0
-    for name, a in arrays.items():
-        table[name] = [a.dtype.str, list(a.shape), at]
-        at += _aligned(a.nbytes)
-    head = json.dumps(table).encode()
-    head += b" " * (_aligned(len(head)) - len(head))
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{os.path.dirname(path)}/.{os.path.basename(path)}-{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
-        f.write(len(head).to_bytes(8, "little") + head)
-        for a in arrays.values():
-            f.write(np.ascontiguousarray(a).tobytes())
-            f.write(b"\0" * (_aligned(a.nbytes) - a.nbytes))
-    os.replace(part, path)
-
-
-def load(path: str) -> dict[str, np.ndarray]:
-    if not os.path.exists(path):
-        return {}
-    raw = np.memmap(path, dtype=np.uint8, mode="r")
-    n = int.from_bytes(raw[:8].tobytes(), "little")
-    out = {}
-    for name, (kind, shape, at) in json.loads(raw[8 : 8 + n].tobytes()).items():
-        size = int(np.prod(shape)) * np.dtype(kind).itemsize
-        out[name] = np.frombuffer(raw[8 + n + at : 8 + n + at + size], dtype=kind).reshape(shape)
-    return out
+# ---------------------------------------------------------------------- tables
 
 
 def hashed(k: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -325,22 +288,6 @@ def look_up(arrays: dict[str, np.ndarray], k: np.ndarray, usual: tuple[int, ...]
     return hit, out
 
 
-class Shards:
-    """The mapped files of a folder, the last ``MAPPED`` used ones."""
-
-    def __init__(self, folder: str):
-        self.folder, self.open = folder, {}
-
-    def __call__(self, name: str) -> dict[str, np.ndarray]:
-        got = self.open.pop(name, None)
-        if got is None:
-            got = load(f"{self.folder}/{name}")
-            if len(self.open) >= MAPPED:
-                self.open.pop(next(iter(self.open)))
-        self.open[name] = got
-        return got
-
-
 class Words:
     """Numbers of words by their hashes, and which are frequent."""
 

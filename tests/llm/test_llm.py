@@ -168,13 +168,31 @@ def test_bpe_equals_the_library(spark, odd, none):
     assert bpe_chunks.digests(none.select("doc_id", "text")).count() == 0
 
 
-def test_chunks_are_shared_and_encoded_once():
+def test_chunks_are_shared_and_encoded_once(spark):
     shared = prose(7, 4000)
+    texts = [prose(8 + i, 50 + 20 * i) + " " + shared for i in range(4)] + [shared, prose(99, 3000)]
+    parts = collections.Counter(x for t in texts for x in bpe_chunks.chunks(pa.array([t]))[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    folder, shards, n = bpe_chunks.shared_chunks(docs, bpe_chunks.default_path(), 5000)
+    assert shards > 10 and n == sum(c > 1 for c in parts.values()) > 10
+    e, stored = bpe_chunks.Encoder(bpe_chunks.default_path()), bpe_chunks.Shared(folder, shards)
+    got = list(e.batch(pa.array(texts), stored))
+    # encoded here: chunks that occur once, and windows around joins
+    assert e.encoded - e.repaired == sum(c == 1 for c in parts.values())
+    assert [list(x) for x in got] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_joins_are_repaired_until_they_agree():
+    """Any cuts at all, also inside words, white space and special tokens, give the whole text's ids."""
     e = bpe_chunks.Encoder(bpe_chunks.default_path())
-    list(e.batch(pa.array([prose(8, 50) + " " + shared])))
-    first = e.encoded
-    list(e.batch(pa.array([prose(9, 70) + " " + shared])))
-    assert first > 4 and e.encoded - first <= 4
+    rng = np.random.default_rng(11)
+    texts = [prose(3, 60), "a  b\n\n   c " * 20, "don't we'll  it's 123,456 x<|endoftext|>y <|endoftext|> z " * 6, "naïve ☃ 日本語です。 текст и слова\u00a0x " * 8, "x" * 300, " " * 200 + "end", "日本語" * 60 + " a b c"]
+    for t in texts:
+        for _ in range(30):
+            at = np.unique(rng.integers(0, len(t) + 1, rng.integers(1, 12)))
+            parts = [x for x in np.split(np.array(list(t)), at) if len(x)]
+            got = e.joined(e.encode(["".join(x).encode() for x in parts]))
+            assert list(got) == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 # ----------------------------------------------------------------- Kneser-Ney
