@@ -4,7 +4,8 @@ The kernel of two tokens counts the subsequences of 3 and 4 letters that they
 share, also where other characters stand between the letters; a gap of n
 characters weighs ``DECAY ** n``, up to ``SPAN`` characters in all, and a token
 of n letters is scaled by ``1 / sqrt(n)``.  Digits that stand for letters are
-read as these, and letters that are set apart by spaces are one token, so
+read as these, letters beyond a to z have codes by a hash of theirs, and
+letters that are set apart by spaces are one token, so
 gapped insults and ones with inserted characters still resemble the plain ones.
 
 Nyström: the kernel is taken with some landmark tokens only, and a linear SVM
@@ -29,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,20 +45,18 @@ SPAN = 6
 #: Letters of a piece; longer tokens are several pieces that overlap by SPAN - 1.
 PIECE = 24
 LANDMARKS = 256
+#: Documents of each class that the model is fitted on at most.
 PER_CLASS = 900
+#: The most common clean tokens, which are negative from the start, and the tokens of a toxic document that are positive at a time.
+COMMON, MEANT = 6000, 3
 #: Tokens whose scores a worker keeps.
 KEPT = 1_000_000
 #: A document without tokens.
 NOTHING = -3.0
 
-_CODE = np.zeros(256, dtype=np.int32)
-for _i in range(26):
-    _CODE[97 + _i] = _CODE[65 + _i] = _i + 1
-for _digit, _letter in zip(b"013457@", b"oieasta"):
-    _CODE[_digit] = _letter - 96
-_CODE[128:192] = 27 + np.arange(64) % 4  # UTF-8 continuations
-_CODE[192:] = 31
-#: The begin of a token is a letter too (that of some rare bytes).
+#: Digits that stand for letters.
+_DIGITS = dict(zip("013457@", "oieasta"))
+#: The begin of a token is a letter too.
 _BEGIN = 31
 _TRIPLES = 32**3
 _N = _TRIPLES + 32**4
@@ -75,23 +75,62 @@ class Model:
     constant: float | None = None
 
 
-def piece_matrix(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of tokens, one row per piece (0: no letter), and each row's token."""
+@lru_cache(1)
+def _codes() -> np.ndarray:
+    """The letter code (1 to 30; 0: no letter) of each character below U+10000: a to z, and a hash for other
+    letters (also those with accents, which make other words in many languages)."""
+    out = np.zeros(1 << 16, dtype=np.uint8)
+    for i in range(1 << 16):
+        c = _DIGITS.get(chr(i)) or chr(i).lower()
+        if c.isalpha():
+            out[i] = ord(c) - 96 if "a" <= c <= "z" else 1 + ord(c[0]) * 2654435761 % (1 << 32) % 30
+    return out
+
+
+@dataclass
+class Letters:
+    """The letter codes of all characters of a batch, and its words in them."""
+
+    codes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letter codes of UTF-8 characters, and how many characters begin before each byte."""
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    point = data[at].astype(np.int32)
+    more = np.flatnonzero(point >= 0xC0)  # characters of two bytes and more; those beyond U+FFFF are no letters
+    if len(more):
+        b = [data[np.minimum(at[more] + k, len(data) - 1)].astype(np.int32) & 0x3F for k in (1, 2)]
+        first = point[more]
+        point[more] = np.where(first < 0xE0, (first & 0x1F) << 6 | b[0], np.where(first < 0xF0, (first & 0x0F) << 12 | b[0] << 6 | b[1], 0))
+    return _codes()[point], np.concatenate([[0], np.cumsum(lead)])
+
+
+def letters(w: text.Words) -> Letters:
+    codes, before = characters(w.data)
+    return Letters(codes, before[w.start], before[w.end])
+
+
+def piece_matrix(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letter codes of words, one row per piece (0: no letter), and each row's word."""
     step = PIECE - SPAN
     n = np.maximum(1, -(-(end - start - SPAN + 1) // step))
     token = np.repeat(np.arange(len(start)), n)
     part = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
     at = start[token] + part * step
     where = at[:, None] + np.arange(PIECE)
-    codes = _CODE[data[np.minimum(where, len(data) - 1)]]
-    codes[where >= end[token][:, None]] = 0
-    begins = (_CODE[data[start]] > 0)[token] & (part == 0)
-    return np.concatenate([np.where(part == 0, np.where(begins, _BEGIN, 0), _CODE[data[np.maximum(at - 1, 0)]])[:, None], codes[:, :-1]], axis=1), token
+    rows = codes[np.minimum(where, len(codes) - 1)].astype(np.int32)
+    rows[where >= end[token][:, None]] = 0
+    begins = (codes[start] > 0)[token] & (part == 0)
+    return np.concatenate([np.where(part == 0, np.where(begins, _BEGIN, 0), codes[np.maximum(at - 1, 0)])[:, None], rows[:, :-1]], axis=1), token
 
 
-def _small_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _small_pieces(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """:func:`piece_matrix` in bytes, made by parts."""
-    made = [piece_matrix(data, start[i : i + 10_000], end[i : i + 10_000]) for i in range(0, len(start), 10_000)]
+    made = [piece_matrix(codes, start[i : i + 10_000], end[i : i + 10_000]) for i in range(0, len(start), 10_000)]
     return np.concatenate([c.astype(np.uint8) for c, _ in made]), np.concatenate([o + i * 10_000 for i, (_, o) in enumerate(made)])
 
 
@@ -125,10 +164,10 @@ def piece_scores(codes: np.ndarray, weights: np.ndarray, bias: float) -> np.ndar
     return out + np.float32(bias)
 
 
-def token_scores(data: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model) -> np.ndarray:
+def token_scores(codes: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model) -> np.ndarray:
     if not len(start):
         return np.zeros(0, dtype=np.float32)
-    codes, token = piece_matrix(data, start, end)
+    codes, token = piece_matrix(codes, start, end)
     got = piece_scores(codes, model.weights, model.bias)
     # letters that other characters part inside a token: also without these
     parted = np.flatnonzero(((codes[:, :-1] == 0) & (codes[:, 1:] > 0)).any(1))
@@ -141,21 +180,17 @@ def token_scores(data: np.ndarray, start: np.ndarray, end: np.ndarray, model: Mo
     return np.maximum.reduceat(got, np.flatnonzero(np.diff(token, prepend=-1)))
 
 
-def spaced(w: text.Words) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of three or more one-letter words of a document as one token each."""
-    one = (w.end - w.start == 1) & (_CODE[w.data[w.start]] > 0) if len(w.start) else np.zeros(0, bool)
-    edge = np.diff(np.concatenate([[0], one.astype(np.int8), [0]]))
-    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    raw, start, end, doc = bytearray(), [], [], []
-    for i, j in zip(a[b - a >= 3], b[b - a >= 3]):
-        cut = [i, *w.first[(w.first > i) & (w.first < j)], j]
-        for x, y in zip(cut, cut[1:]):
-            if y - x >= 3:
-                start.append(len(raw))
-                raw += w.data[w.start[x:y]].tobytes()
-                end.append(len(raw))
-                doc.append(np.searchsorted(w.first, x, "right") - 1)
-    return bytes(raw), np.array(start, dtype=np.int64), np.array(end, dtype=np.int64), np.array(doc, dtype=np.int64)
+def spaced(x: Letters, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of three or more one-letter words of a document as one token each: codes, begins, ends, documents."""
+    n = len(x.start)
+    one = (x.end - x.start == 1) & (x.codes[np.minimum(x.start, max(0, len(x.codes) - 1))] > 0) if n else np.zeros(0, bool)
+    at = np.flatnonzero(one)
+    if not len(at):
+        return np.zeros(0, np.uint8), at, at, at
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(doc[at]) > 0)]))
+    size = np.diff(np.append(begin, len(at)))
+    long = size >= 3
+    return x.codes[x.start[at]], begin[long], (begin + size)[long], doc[at[begin[long]]]
 
 
 class Scorer:
@@ -166,7 +201,7 @@ class Scorer:
         self.key = np.zeros(0, dtype=np.uint64)
         self.value = np.zeros(0, dtype=np.float32)
 
-    def tokens(self, w: text.Words) -> np.ndarray:
+    def words(self, w: text.Words, x: Letters) -> np.ndarray:
         h = w.hashes()
         key, first, back = np.unique(h, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
@@ -174,7 +209,7 @@ class Scorer:
         out = np.empty(len(key), dtype=np.float32)
         out[known] = self.value[at[known]]
         new = first[~known]
-        out[~known] = token_scores(w.data, w.start[new], w.end[new], self.model)
+        out[~known] = token_scores(x.codes, x.start[new], x.end[new], self.model)
         if len(new):
             if len(self.key) + len(new) > KEPT:
                 self.key, self.value = key, out
@@ -188,23 +223,20 @@ class Scorer:
         w = text.words(column)
         n = len(w.first) - 1
         one, two = np.full(n, NOTHING, dtype=np.float32), np.full(n, NOTHING, dtype=np.float32)
-        if len(w.start):
-            s = self.tokens(w)
-            raw, a, b, doc = spaced(w)
-            owner = np.repeat(np.arange(n), w.counts())
-            if len(a):
-                s = np.concatenate([s, token_scores(np.frombuffer(raw, np.uint8), a, b, self.model)])
-                owner = np.concatenate([owner, doc])
-            order = np.lexsort((-s, owner)) if len(a) else None
-            s, owner = (s[order], owner[order]) if order is not None else (s, owner)
-            firsts = np.flatnonzero(np.diff(owner, prepend=-1))
-            d = owner[firsts]
-            one[d] = np.maximum(one[d], np.maximum.reduceat(s, firsts))
-            hit = s == np.repeat(one[d], np.diff(np.append(firsts, len(s))))
-            rank = np.cumsum(hit)
-            again = hit & (rank - np.repeat(rank[firsts] - hit[firsts], np.diff(np.append(firsts, len(s)))) == 1)
-            s = np.where(again, np.float32(NOTHING), s)
-            two[d] = np.maximum(two[d], np.maximum.reduceat(s, firsts))
+        if not len(w.start):
+            return one, two
+        x = letters(w)
+        score, doc = self.words(w, x), np.repeat(np.arange(n), w.counts())
+        codes, start, end, owner = spaced(x, doc)
+        if len(start):
+            score, doc = np.concatenate([score, token_scores(codes, start, end, self.model)]), np.concatenate([doc, owner])
+        # the two highest of each document
+        order = np.lexsort((-score, doc))
+        score, doc = score[order], doc[order]
+        firsts = np.flatnonzero(np.diff(doc, prepend=-1))
+        one[doc[firsts]] = np.maximum(score[firsts], NOTHING)
+        second = firsts[np.diff(np.append(firsts, len(doc))) > 1] + 1
+        two[doc[second]] = np.maximum(score[second], NOTHING)
         return one, two
 
 
@@ -310,8 +342,8 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         return empty
     tokens = list(ids)
     ends = np.cumsum([len(t) for t in tokens])
-    data = np.frombuffer(b"".join(tokens), np.uint8)
-    codes, owner = _small_pieces(data, ends - [len(t) for t in tokens], ends)
+    codes, before = characters(np.frombuffer(b"".join(tokens), np.uint8))
+    codes, owner = _small_pieces(codes, before[ends - [len(t) for t in tokens]], before[ends])
     firsts = np.flatnonzero(np.diff(owner, prepend=-1))
     # 1. how much more often toxic documents have each run of letters: tokens that may be meant
     df = np.zeros((2, _GRAMS), dtype=np.float32)
@@ -333,12 +365,12 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     if not toxic or not len(clean):
         return empty
     freq = np.bincount(np.concatenate([d for d, v in zip(docs, y) if not v]), minlength=len(tokens))
-    common = clean[np.argsort(-freq[clean], kind="stable")][:6000]
+    common = clean[np.argsort(-freq[clean], kind="stable")][:COMMON]
     # 2. landmarks: high tokens that differ, and common ones
     high = np.argsort(-value, kind="stable")
-    high = high[value[high] > LEAST_Z][:6000]
+    high = high[value[high] > LEAST_Z]
     _, differ = np.unique(codes[piece[high]], axis=0, return_index=True)
-    high = high[np.sort(differ)][:800]
+    high = high[np.sort(differ)]
     near = kernel(codes[piece[high]], codes[piece[high]])
     own = np.sqrt(np.maximum(np.diag(near), 1e-9))
     near = near / own[:, None] / own[None, :]
@@ -357,10 +389,10 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     sel_neg = common
     for _ in range(3):
         meant = [d[stands[d] > LEAST_Z] for d in toxic]
-        positive = np.unique(np.concatenate([d[np.argsort(-value[d], kind="stable")[:3]] for d in meant]))
+        positive = np.unique(np.concatenate([d[np.argsort(-value[d], kind="stable")[:MEANT]] for d in meant]))
         positive = np.setdiff1d(positive, clean)
-        hard = clean[np.argsort(-value[clean], kind="stable")][:3000]
-        sel_neg = np.unique(np.concatenate([common, hard, sel_neg[-4000:]]))
+        hard = clean[value[clean] > (1 if weights is None else -1)]  # with evidence of their own, later inside the margin
+        sel_neg = np.unique(np.concatenate([sel_neg, hard]))
         chosen_ = np.concatenate([positive, sel_neg])
         if not len(positive):
             return empty

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import os
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from licet.llm import bpe_chunks, chat_schema, compression_quality, interleaved, kneser_ney, labelled, mixing, near_dedup, rules_quality, tag_paths, text, toxicity
-from licet.llm.queries import QUERIES
+from licet.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,6 +78,28 @@ def test_held_out_accuracy(spark, name, label, least):
     assert r.right >= least and 0 <= r.lo <= r.hi <= 1
 
 
+def test_held_out_toxicity_recall_and_precision(spark):
+    d = "/root/testdata/sf0.1"
+    out = QUERIES["op10_string_kernel"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
+    r = out.selectExpr("count_if(predicted = 1 AND toxic = 1) AS hit", "count_if(predicted = 1) AS said", "count_if(toxic = 1) AS real").first()
+    assert r.real > 90 and r.hit >= 0.85 * r.real and r.hit >= 0.93 * r.said
+
+
+def test_held_out_quality_by_class(spark):
+    d = "/root/testdata/sf0.1"
+    out = QUERIES["op1_compression_quality"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
+    r = out.groupBy("quality").agg(F.avg((F.col("predicted") == F.col("quality")).cast("double")).alias("right"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(r) == 2 and all(x.right >= 0.95 and x.n > 100 for x in r)
+
+
+def test_letters_of_other_scripts_are_told_apart():
+    clean = [(prose(i, 60) + " городской погода", 0) for i in range(60)]
+    bad = [(prose(100 + i, 50) + " негодяй ты и негодяй", 1) for i in range(60)]
+    model = toxicity.fit([x for pair in zip(clean, bad) for x in pair])
+    one, _ = toxicity.Scorer(model).top(pa.array(["ты негодяй", "ты нег.одяй", "городской", "погода", "молоко дорога"]))
+    assert min(one[:2]) > max(one[2:])
+
+
 def test_inserted_letters_still_resemble():
     clean = [(prose(i, 60), 0) for i in range(60)]
     bad = [(prose(100 + i, 50) + f" you {w} and {w}", 1) for i in range(60) for w in [("idiot", "moron", "scumbag")[i % 3]]]
@@ -454,6 +477,94 @@ def test_extraction_keeps_what_lies_around_a_large_part(box):
     assert tag_paths.extract(page) == f"The title {lead} {most}{end}"
 
 
+ARTICLE = "<h1>The title</h1>" + "".join(f"<p>This is paragraph {i}, with several words and marks, and it goes on for a while.</p>" for i in range(12))
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "related-work", "social-science", "search-results", "menu-page", "site-content"])
+def test_a_name_is_outweighed_by_the_text(name):
+    page = f'<body><nav><a href=/>Home</a></nav><div class="{name}">{ARTICLE}</div><div class="sidebar"><p>Short thing here.</p></div><footer>us</footer></body>'
+    want = tag_paths.extract(f"<article>{ARTICLE}</article>")
+    assert tag_paths.extract(page) == want and len(want) > 900
+    # beside an article a part of that name goes, however long
+    assert tag_paths.extract(f'<body><article>{ARTICLE}</article><div class="{name}">{ARTICLE * 3}</div></body>').startswith(want)
+
+
+def test_long_comments_go():
+    said = "".join(f"<div class=comment><p>I say {i} that this comment is very long, longer than it should be, on and on.</p></div>" for i in range(40))
+    assert "comment" not in tag_paths.extract(f"<body><div>{ARTICLE}</div><div id=comments>{said}</div></body>")
+
+
+def test_the_threshold_decides(monkeypatch):
+    page = f"<body><div><a href=1>One</a> <a href=2>Two</a></div><div>Buy now</div>{ARTICLE}<div><a>x</a><a>y</a></div><div>Imprint</div></body>"
+    got = tag_paths.extract(page)
+    assert got.startswith("The title This") and got.endswith("for a while.")
+    monkeypatch.setattr(tag_paths, "THRESHOLD", 0)
+    assert "Imprint" in tag_paths.extract(page)
+
+
+@pytest.mark.parametrize("html", ["<p>a &#" + "9" * 5000 + "; b", "<a " * 350_000, '<a ">" ' * 150_000, "<div>" * 200_000 + "text" + "</div>" * 200_000, "<div>" * 400 + "</span></b>" * 100_000 + "x", "<script>x" + "</script " * 100_000, "<b><i>" * 50_000 + "</b>" * 50_000])
+def test_hard_pages_take_linear_time(html):
+    began = time.perf_counter()
+    tag_paths.extract(html)
+    interleaved.parse(html)
+    assert time.perf_counter() - began < 10
+
+
+def test_references_decode_as_in_browsers():
+    assert tag_paths.extract("<p>a &#" + "9" * 5000 + "; b &#" + "0" * 5000 + "65; &eacute;&amp c &#x110000; &#x41;") == "a � b A é& c � A"
+
+
+def test_every_reference_keeps_its_place(spark):
+    html = '<p>One</p><img src="https://x/y.png" alt="a &amp; b"><figure><video src=\'sha256:' + "a" * 64 + "'></video><figcaption>Cap</figcaption></figure><p>Two"
+    got = interleaved.parse(html)
+    assert [(x["position"], x["kind"], x["text"], x["url"] and x["url"][:8], x["caption"]) for x in got] == [(0, "text", "One", None, None), (1, "media", None, "https://", "a & b"), (2, "media", None, "sha256:a", "Cap"), (3, "text", "Two", None, None)]
+    pages = spark.createDataFrame([(1, html, "mine", "mine", "mine")], "page_id long, html string, digest string, position string, _at string")
+    found = interleaved.features(interleaved.stored(spark.createDataFrame([("x",)], "text string"))).withColumn("digest", F.lit("a" * 64))
+    rows = {r.position: r for r in interleaved.resolved(interleaved.sequences(pages), found).collect()}
+    assert rows[1].digest is None and rows[1].media_sha256 is None and rows[2].n_bytes == 1 and rows[2]["_at"] == "mine" and len(rows[1].asDict()) == len(rows[1])
+
+
+def test_media_contract(spark, odd):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(odd)
+    want = collections.Counter()
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        pad = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
+        want[r.doc_id, len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:])] += 1
+    media = interleaved.stored(docs.select("text"))
+    got = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")).join(interleaved.features(media), "digest").collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    raw = {r.digest: bytes(r.media) for r in media.collect()}
+    assert all((r.media_bytes, r.media_sha256) == (len(raw[r.digest]), hashlib.sha256(raw[r.digest]).hexdigest()) and r.feature for r in got)
+
+
+def test_long_words_and_slices_hash_alike(monkeypatch):
+    texts = pa.array(["ab " * 50 + "q" * 300, None, "x", "longer words here and more of them " * 20])
+    want = text.words(texts).hashes(lower=True)
+    monkeypatch.setattr(text, "HASHED", 64)
+    assert (text.words(texts).hashes(lower=True) == want).all()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        text.shared_uri(Session)
+
+
+def test_equal_rows_share_their_words_whole(spark):
+    rows = [(1, prose(1, 30), "a", 3)] * 3 + [(2, prose(2, 50), "a", 4), (3, prose(3, 400), "b", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _left int")
+    taken = {r.doc_id: r.taken for r in mixing.mixed(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken")).collect()}
+    words = collections.Counter()
+    for r in mixing.repeated(docs).collect():
+        words[r.doc_id] += len(split(r.text))
+        assert r["_left"] == {1: 3, 2: 4, 3: 5}[r.doc_id]
+    assert {k: v for k, v in taken.items() if v} == dict(words)
+
+
 def test_extraction_of_links_only():
     assert tag_paths.extract("<div><p><a href='#'>one</a></p><ul><li><a href='#'>two</a></li></ul></div>") == "one two"
 
@@ -538,3 +649,24 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == 0
     for name, q in QUERIES.items():
         assert q(spark, d).count() == (1 if name == "op9_chat_schema" else 0)
+
+
+# ------------------------------------------------------------------------ SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_parts_that_sql_can_say(spark, name):
+    import glob
+
+    import duckdb
+
+    db = duckdb.connect()
+    for p in glob.glob(f"{DATA}/*.parquet"):
+        db.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    plain = lambda row: tuple(round(x, 6) if isinstance(x, float) else x for x in row)
+    df = QUERIES[name](spark, DATA)
+    cols = sorted(df.columns)
+    rel = db.sql(ORACLE_SQL[name])
+    assert sorted(rel.columns) == cols
+    want = sorted((plain(r) for r in rel.select(*(duckdb.ColumnExpression(c) for c in cols)).fetchall()), key=repr)
+    assert sorted((plain(r) for r in df.select(*cols).collect()), key=repr) == want and want
