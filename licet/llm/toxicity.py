@@ -281,19 +281,25 @@ def kernel(codes: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 
 
 def _svm(z: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 0.03) -> np.ndarray:
-    """Squared hinge by Newton's method on the rows inside the margin; last weight: bias."""
-    z = np.column_stack([z, np.ones(len(z), dtype=z.dtype)]).astype(np.float64)
-    penalty = np.full(z.shape[1], ridge)
+    """Squared hinge by Newton's method on the rows inside the margin; last weight: bias.  In double precision, by blocks."""
+    size = z.shape[1] + 1
+    penalty = np.full(size, ridge)
     penalty[-1] = 1e-3
-    w = np.zeros(z.shape[1])
+    w = np.zeros(size)
     before = None
     for _ in range(30):
-        inside = y * (z @ w) < 1
+        a, b, inside = np.diag(penalty), np.zeros(size), np.empty(len(z), dtype=bool)
+        for i in range(0, len(z), 2000):
+            x = np.column_stack([z[i : i + 2000], np.ones(len(z[i : i + 2000]))]).astype(np.float64)
+            t, e = y[i : i + 2000], each[i : i + 2000]
+            hit = inside[i : i + 2000] = t * (x @ w) < 1
+            weighted = x[hit] * e[hit, None]
+            a += x[hit].T @ weighted
+            b += weighted.T @ t[hit]
         if before is not None and (inside == before).all():
             break
         before = inside
-        a = z[inside] * each[inside, None]
-        w = np.linalg.solve(z[inside].T @ a + np.diag(penalty), a.T @ y[inside])
+        w = np.linalg.solve(a, b)
     return w
 
 
@@ -371,13 +377,19 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     high = high[value[high] > LEAST_Z]
     _, differ = np.unique(codes[piece[high]], axis=0, return_index=True)
     high = high[np.sort(differ)]
-    near = kernel(codes[piece[high]], codes[piece[high]])
-    own = np.sqrt(np.maximum(np.diag(near), 1e-9))
-    near = near / own[:, None] / own[None, :]
     chosen: list[int] = []
-    for i in range(len(high)):
-        if len(chosen) < LANDMARKS * 2 // 3 and (not chosen or near[i, chosen].max() < 0.7):
-            chosen.append(i)
+    for at in range(0, len(high), LANDMARKS):  # by blocks: only those chosen and one block are compared at a time
+        block = np.concatenate([chosen, np.arange(at, min(at + LANDMARKS, len(high)))]).astype(int)
+        near = kernel(codes[piece[high[block]]], codes[piece[high[block]]])
+        own = np.sqrt(np.maximum(np.diag(near), 1e-9))
+        near = near / own[:, None] / own[None, :]
+        take = list(range(len(chosen)))
+        for i in range(len(chosen), len(block)):
+            if len(take) < LANDMARKS * 2 // 3 and (not take or near[i, take].max() < 0.7):
+                take.append(i)
+        chosen = block[take].tolist()
+        if len(chosen) >= LANDMARKS * 2 // 3:
+            break
     marks = np.unique(np.concatenate([high[chosen], common[: LANDMARKS - len(chosen)]])).astype(np.int64)
     m = codes[piece[marks]]
     k = kernel(m, m).astype(np.float64)
@@ -391,14 +403,14 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         meant = [d[stands[d] > LEAST_Z] for d in toxic]
         positive = np.unique(np.concatenate([d[np.argsort(-value[d], kind="stable")[:MEANT]] for d in meant]))
         positive = np.setdiff1d(positive, clean)
-        hard = clean[value[clean] > (1 if weights is None else -1)]  # with evidence of their own, later inside the margin
+        hard = clean[value[clean] > (2 if weights is None else -1)]  # with evidence of their own, later inside the margin
         sel_neg = np.unique(np.concatenate([sel_neg, hard]))
         chosen_ = np.concatenate([positive, sel_neg])
         if not len(positive):
             return empty
         target = np.concatenate([np.ones(len(positive)), -np.ones(len(sel_neg))])
         each = np.where(target > 0, 3.0, 3.0 * len(positive) / len(sel_neg) + 0.5)
-        z = kernel(codes[piece[chosen_]], m) @ root
+        z = kernel(codes[piece[chosen_]], m) @ root.astype(np.float32)
         w = _svm(z, target, each)
         beta = (root @ w[:-1]) * _scale(m)
         r, c, v = _sparse(m)
