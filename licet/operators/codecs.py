@@ -93,8 +93,10 @@ def patch(df: DataFrame, width: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     regular = ~F.col("is_patch")
     rows = df.withColumn("_b", block(width))
     r, v = F.when(regular, F.col("row_id")), F.when(regular, F.struct("row_id", "value"))
-    left = F.max(v).over(Window.partitionBy("_b").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1))
-    right = F.min(v).over(Window.partitionBy("_b").orderBy("row_id").rowsBetween(1, Window.unboundedFollowing))
+    earlier = Window.partitionBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.last(v, True).over(earlier.orderBy("row_id"))
+    # backwards: a frame that ends at the last row is folded anew for every row
+    right = F.last(v, True).over(earlier.orderBy(F.desc("row_id")))
     edge = rows.groupBy("_b").agg(F.max(v).alias("_l"), F.min(v).alias("_f"), F.count(r).alias("_n"))
     edge = folded(folded(edge, "_l", F.max, "_before"), "_f", F.min, "_after", later=True).select("_b", "_before", "_after")
     rows = rows.withColumn("_left", left).withColumn("_right", right).join(edge, "_b")

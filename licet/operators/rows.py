@@ -67,10 +67,11 @@ def folded(blocks: DataFrame, value: str, fold, name: str, later: bool = False)
 
     Two levels, so that the only window over everything has a row for ``BLOCK`` blocks.
     """
-    edge = (1, Window.unboundedFollowing) if later else (Window.unboundedPreceding, -1)
+    edge = Window.rowsBetween(Window.unboundedPreceding, -1)
+    order = F.desc if later else F.asc  # backwards: a frame that ends at the last row is folded anew for every row
     blocks = blocks.withColumn("_u", block(BLOCK, "_b"))
-    far = blocks.groupBy("_u").agg(fold(value).alias("_v")).withColumn("_far", fold("_v").over(Window.orderBy("_u").rowsBetween(*edge))).drop("_v")
-    near = fold(value).over(Window.partitionBy("_u").orderBy("_b").rowsBetween(*edge))
+    far = blocks.groupBy("_u").agg(fold(value).alias("_v")).withColumn("_far", fold("_v").over(edge.orderBy(order("_u")))).drop("_v")
+    near = fold(value).over(edge.partitionBy("_u").orderBy(order("_b")))
     both = blocks.withColumn("_near", near).join(far, "_u")
     if fold is F.sum:
         out = F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0))

@@ -5,10 +5,11 @@ import math
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from licet.functions import scalar, statistics
 from licet.operators import census, certificates, codecs, rows, scans
-from licet.plans import compiler, facts, layout
+from licet.plans import compiler, encoded, facts, layout
 from licet.plans.plan import NotLicensed, Op, Plan, Query, check_authorization
 from licet.plans.recipe import Recipe, bitpack, validate
 from licet.queries import QUERIES
@@ -168,6 +169,24 @@ def test_round_trips(spark, values, patches):
     assert values_of(main) == want
 
 
+def test_patching_takes_no_square_of_a_block(spark):
+    """A frame from the next row to the last is folded anew for every row: no plan of a patched column may have one."""
+    marked = frame(spark, [5, 6, 7]).withColumn("is_patch", F.col("row_id") == 1)
+    main, exceptions = codecs.patch(marked)
+    stored = encoded.encode(marked, Recipe("Patch", FOR, 32)).fields.values()
+    for df in (main, codecs.undo_patch(main, exceptions), *stored):
+        assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_the_nearest_value_may_lie_many_blocks_away(spark):
+    """Blocks of one row, in three blocks of blocks; the rows between are patched or absent."""
+    at = [0, 1, 5, rows.BLOCK - 1, rows.BLOCK, rows.BLOCK + 9, 2 * rows.BLOCK + 3, 2 * rows.BLOCK + 4]
+    regular = {1: 10, rows.BLOCK + 9: 20, 2 * rows.BLOCK + 4: 30}
+    marked = spark.createDataFrame([(i, regular.get(i, 99), i not in regular) for i in at], "row_id long, value long, is_patch boolean")
+    got = {r.row_id: r.value for r in codecs.patch(marked, 1)[0].collect()}
+    assert got == {i: regular[min(regular, key=lambda j: (abs(j - i), j))] for i in at}
+
+
 def test_encode_errors_and_extremes(spark):
     big = [-(2**63), -1, 0, 2**63 - 1]
     child, base = codecs.frame_of_reference(frame(spark, big))
