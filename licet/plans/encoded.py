@@ -17,6 +17,7 @@ and falling values under an unsigned delta are errors.
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -45,14 +46,15 @@ class Encoded:
     tops: dict[str, tuple[int, list]] = field(default_factory=dict)  # of a field: stride, entries
 
 
-def encode(df: DataFrame, recipe: Recipe) -> Encoded:
-    """``df`` is (row_id, value), with ``is_patch`` under Patch."""
+def encode(df: DataFrame, recipe: Recipe, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Encoded:
+    """``df`` is (row_id, value), with ``is_patch`` under Patch.  ``keep`` writes a column that takes windows to
+    make under a name, and reads it: what is below it in the recipe looks at it several times."""
     validate(recipe)
     checked = check_column(df.select("row_id", "value"))
     if not checked.rows:
         raise EncodeError("a column without rows")
     out = Encoded(recipe, df.select("row_id", "value"), checked, {}, {})
-    _encode(df, decoder(recipe), checked.rows, 0, out)
+    _encode(df, decoder(recipe), checked.rows, 0, out, keep)
     out.facts = derive(recipe, checked.rows, checked, out.numbers)
     return out
 
@@ -62,7 +64,7 @@ def _long(df: DataFrame) -> DataFrame:
     return df.select("row_id", F.col("value").cast("long").alias("value"))
 
 
-def _encode(df: DataFrame, r: Recipe, rows: int, at: int, out: Encoded) -> None:
+def _encode(df: DataFrame, r: Recipe, rows: int, at: int, out: Encoded, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> None:
     out.numbers[f"{at} rows"] = rows
     if r.kind != "Nullable" and at == 0 and out.checked.nulls != "NoNulls":
         raise EncodeError("nulls need the nullable encoding")
@@ -73,23 +75,23 @@ def _encode(df: DataFrame, r: Recipe, rows: int, at: int, out: Encoded) -> None:
         return
     if r.kind == "FOR":
         child, out.numbers[f"{at} base"] = codecs.frame_of_reference(plain)
-        return _encode(_long(child), r.child, rows, at + 1, out)
+        return _encode(_long(child), r.child, rows, at + 1, out, keep)
     if r.kind in ("Delta", "UnsignedDelta"):
         codes, anchors = codecs.delta(plain, r.interval, r.kind == "UnsignedDelta")
         out.fields[f"{at} anchors"] = anchors
-        return _encode(codes.select("row_id", F.col("code").alias("value")), r.child, rows, at + 1, out)
+        return _encode(codes.select("row_id", F.col("code").alias("value")), r.child, rows, at + 1, out, keep)
     if r.kind == "Dictionary":
         ids, table = codecs.dictionary(plain)
         out.fields[f"{at} table"] = table
         out.numbers[f"{at} entries"] = table.count()
-        return _encode(ids.select("row_id", F.col("id").cast("long").alias("value")), r.child, rows, at + 1, out)
+        return _encode(ids.select("row_id", F.col("id").cast("long").alias("value")), r.child, rows, at + 1, out, keep)
     if r.kind == "RLE":
         runs, index = codecs.run_length(plain, r.interval)
         out.fields[f"{at} runs"], out.fields[f"{at} index"] = runs.select("run_id", "value", "start", "end"), index
         n = out.numbers[f"{at} runs"] = runs.count()
         # the run values stand in the runs; their encoding is checked, not stored once more
         below = Encoded(r.child, runs, out.checked, {}, {})
-        _encode(runs.select(F.col("run_id").alias("row_id"), "value"), r.child, n, at + 1, below)
+        _encode(runs.select(F.col("run_id").alias("row_id"), "value"), r.child, n, at + 1, below, keep)
         out.numbers |= below.numbers
         return None
     if r.kind == "Patch":
@@ -98,13 +100,14 @@ def _encode(df: DataFrame, r: Recipe, rows: int, at: int, out: Encoded) -> None:
         main, exceptions = codecs.patch(df)
         out.fields[f"{at} exceptions"] = exceptions
         out.numbers[f"{at} exceptions"] = exceptions.count()
-        return _encode(_long(main), r.child, rows, at + 1, out)
+        main = _long(main)
+        return _encode(keep(main, f"{at} main") if keep else main, r.child, rows, at + 1, out, keep)
     validity, ranks, child = codecs.nullable(plain, r.interval)
     n = child.count()
     if not n:
         raise EncodeError("a column of nulls only")
     out.fields[f"{at} validity"], out.fields[f"{at} ranks"] = validity, ranks
-    return _encode(child, r.child, n, at + 1, out)
+    return _encode(child, r.child, n, at + 1, out, keep)
 
 
 _ORDER = {"codes": "row_id", "anchors": "block", "table": "id", "runs": "run_id", "index": "run_id", "exceptions": "row_id", "validity": "row_id", "ranks": "interval"}
@@ -116,8 +119,14 @@ def stored(df: DataFrame, recipe: Recipe) -> Encoded:
     spark = df.sparkSession
     key = (spark.sparkContext.applicationId, store.identity(df), recipe.name())
     if key not in _kept:
-        out = encode(df, recipe)
-        uri = store.folder(spark)
+        uri, passing = store.folder(spark), []
+
+        def keep(f: DataFrame, name: str) -> DataFrame:
+            passing.append(f"{uri}/{name.replace(' ', '-')}")
+            f.write.option("compression", "lz4").parquet(passing[-1])
+            return spark.read.schema(f.schema).parquet(passing[-1])
+
+        out = encode(df, recipe, keep)
         # a frame is one compressed whole
         packed = "zstd" if recipe.kind == "Frame" else "lz4"
         for name, f in out.fields.items():
@@ -125,6 +134,7 @@ def stored(df: DataFrame, recipe: Recipe) -> Encoded:
             path = f"{uri}/{name.replace(' ', '-')}"
             f.repartitionByRange(max(1, -(-out.checked.rows // (1 << 22))), order).sortWithinPartitions(order).write.option("compression", packed).option("parquet.page.row.count.limit", STRIDE).parquet(path)
             out.fields[name] = spark.read.schema(f.schema).parquet(path)
+        store.dropped(spark, passing)
         _tops(out)
         _kept[key] = out
     return _kept[key]

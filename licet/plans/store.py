@@ -34,6 +34,13 @@ def folder(spark: SparkSession) -> str:
     return uri
 
 
+def dropped(spark: SparkSession, uris: list[str]) -> None:
+    """Deletes what was written on the way to a column and is not read any more."""
+    for uri in uris:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def identity(df: DataFrame) -> str:
     """A digest of the input files with their sizes and times, of the plan over them and of its schema:
     facts about other files, a rewritten file or another expression are not valid here."""

@@ -187,6 +187,16 @@ def test_the_nearest_value_may_lie_many_blocks_away(spark):
     assert got == {i: regular[min(regular, key=lambda j: (abs(j - i), j))] for i in at}
 
 
+def test_a_stored_patch_is_made_once(spark, monkeypatch):
+    """The child of a patched column asks for its least and greatest value, and is written in order: not by windows each time."""
+    seen, plain = [], codecs.bitpack
+    monkeypatch.setattr(codecs, "bitpack", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    marked = frame(spark, [5, 1006, 7]).withColumn("is_patch", F.col("row_id") == 1)
+    c = encoded.stored(marked, Recipe("Patch", FOR, 32))
+    assert seen and not any("Window" in p for p in seen)
+    assert values_of(encoded.decode(c)) == [5, 1006, 7] and c.numbers["2 width"] == 2 and c.numbers["0 exceptions"] == 1
+
+
 def test_encode_errors_and_extremes(spark):
     big = [-(2**63), -1, 0, 2**63 - 1]
     child, base = codecs.frame_of_reference(frame(spark, big))
