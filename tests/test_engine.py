@@ -197,6 +197,19 @@ def test_a_stored_patch_is_made_once(spark, monkeypatch):
     assert values_of(encoded.decode(c)) == [5, 1006, 7] and c.numbers["2 width"] == 2 and c.numbers["0 exceptions"] == 1
 
 
+@pytest.mark.parametrize("name", ["decode_chain"])
+def test_queries_of_patched_columns_take_no_square_of_a_block(spark, monkeypatch, name):
+    """The plan of the result and, where a column is stored, of what its encoding runs."""
+    seen, plain = [], codecs.bitpack
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
+    monkeypatch.setattr(encoded, "_kept", {})
+    monkeypatch.setattr(codecs, "bitpack", lambda df: seen.append(plan(df)) or plain(df))
+    frames, patch = [], codecs.patch
+    monkeypatch.setattr(codecs, "patch", lambda *a: frames.append(patch(*a)) or frames[-1])
+    result = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert frames and not any("unboundedfollowing" in p for p in (plan(result), *(plan(f) for f in frames[-1]), *seen))
+
+
 def test_encode_errors_and_extremes(spark):
     big = [-(2**63), -1, 0, 2**63 - 1]
     child, base = codecs.frame_of_reference(frame(spark, big))
