@@ -197,7 +197,7 @@ def test_a_stored_patch_is_made_once(spark, monkeypatch):
     assert values_of(encoded.decode(c)) == [5, 1006, 7] and c.numbers["2 width"] == 2 and c.numbers["0 exceptions"] == 1
 
 
-@pytest.mark.parametrize("name", ["decode_chain", "enc_recipe_numbers", "filter_recipe_patch", "sum_recipe_patch", "dec_patch"])
+@pytest.mark.parametrize("name", ["decode_chain", "enc_recipe_numbers", "filter_recipe_patch", "sum_recipe_patch", "dec_patch", "enc_patch"])
 def test_queries_of_patched_columns_take_no_square_of_a_block(spark, monkeypatch, name):
     """The plan of the result and, where a column is stored, of what its encoding runs."""
     seen, plain = [], codecs.bitpack
