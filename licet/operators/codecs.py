@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import unzigzag, zigzag
-from .rows import BLOCK, before, block, folded, ranked, segments
+from .rows import BLOCK, before, block, ranked, segments
 
 MINIBLOCK = 128
+#: Row ids at most whose regular rows are the bits of a number above 0; patched rows at most that go to every task.
+BITS, FEW = 62, 1 << 18
 
 
 class EncodeError(ValueError):
@@ -86,25 +90,56 @@ def undo_run_length(runs: DataFrame) -> DataFrame:
     return runs.select(F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("row_id"), "value")
 
 
-def patch(df: DataFrame, width: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def _highest(bits: str, width: int) -> Column:
+    """The greatest row id of the bits of a group ``_b``, null if there is none."""
+    return F.when(F.col(bits) > 0, F.col("_b") * width + F.length(F.bin(bits)) - 1)
+
+
+def _lowest(bits: str, width: int) -> Column:
+    return F.when(F.col(bits) > 0, F.col("_b") * width + F.length(F.bin(F.col(bits).bitwiseAND(-F.col(bits)))) - 1)
+
+
+def _around(edge: DataFrame) -> DataFrame:
+    """(_b, _bits, _before, _after): the greatest ``_l`` of all earlier groups and the least ``_f`` of all later ones.
+
+    As :func:`folded`, both ways at once; a row for ``BLOCK`` groups is sent to every task."""
+    edge = edge.withColumn("_u", block(BLOCK, "_b"))
+
+    def both(df: DataFrame, order: str, lo: str, hi: str, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(lo, F.max("_l").over(w.orderBy(order))).withColumn(hi, F.min("_f").over(w.orderBy(F.desc(order))))
+
+    far = both(edge.groupBy("_u").agg(F.max("_l").alias("_l"), F.min("_f").alias("_f")), "_u", "_x", "_y").select("_u", "_x", "_y")
+    near = both(edge, "_b", "_before", "_after", "_u").join(F.broadcast(far), "_u")
+    return near.select("_b", "_bits", F.coalesce("_before", "_x").alias("_before"), F.coalesce("_after", "_y").alias("_after"))
+
+
+def patch(df: DataFrame, width: int = BITS) -> tuple[DataFrame, DataFrame]:
     """From (row_id, value, is_patch): the main column, in which a patched row
     has the nearest regular value (the left one of two as near, 0 if there is
-    none), and the exceptions (row_id, value)."""
-    regular = ~F.col("is_patch")
-    rows = df.withColumn("_b", block(width))
-    r, v = F.when(regular, F.col("row_id")), F.when(regular, F.struct("row_id", "value"))
-    earlier = Window.partitionBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.last(v, True).over(earlier.orderBy("row_id"))
-    # backwards: a frame that ends at the last row is folded anew for every row
-    right = F.last(v, True).over(earlier.orderBy(F.desc("row_id")))
-    edge = rows.groupBy("_b").agg(F.max(v).alias("_l"), F.min(v).alias("_f"), F.count(r).alias("_n"))
-    edge = folded(folded(edge, "_l", F.max, "_before"), "_f", F.min, "_after", later=True).select("_b", "_before", "_after")
-    rows = rows.withColumn("_left", left).withColumn("_right", right).join(edge, "_b")
-    a, b = F.coalesce("_left", "_before"), F.coalesce("_right", "_after")
-    nearest = F.when(b.isNull() | (F.col("row_id") - a["row_id"] <= b["row_id"] - F.col("row_id")), a["value"]).otherwise(b["value"])
-    nearest = F.when(a.isNull(), b["value"]).otherwise(nearest)
-    main = rows.select("row_id", F.when(regular, F.col("value")).otherwise(F.coalesce(nearest, F.lit(0))).alias("value"))
-    return main, df.where("is_patch").select("row_id", "value")
+    none), and the exceptions (row_id, value).
+
+    Regular rows pass through as they are.  Which of ``width`` row ids are regular is told by the bits of a number;
+    the search sees no more of them, and only the values that it finds are joined.  Up to ``FEW`` patched rows
+    are sent to every task; for more of them both sides of a join are sorted.
+    """
+    _need(0 < width <= BITS, f"a width is 1 to {BITS} row ids")
+    regular = F.coalesce(~F.col("is_patch"), F.lit(False))
+    few = df.where(~regular).count() <= FEW
+    sent = F.broadcast if few else lambda d: d
+    rows = df.withColumn("_b", block(width)).withColumn("_at", (F.col("row_id") - F.col("_b") * width).cast("int"))
+    bits = rows.groupBy("_b").agg(F.bit_or(F.when(regular, F.expr("shiftleft(1L, _at)")).otherwise(0)).alias("_bits"))
+    edge = bits.select("_b", "_bits", _highest("_bits", width).alias("_l"), _lowest("_bits", width).alias("_f"))
+    other = rows.where(~regular).select("row_id", "_b", "_at")
+    near = sent(other).join(_around(edge), "_b")
+    near = near.withColumn("_less", F.expr("_bits & (shiftleft(1L, _at) - 1)")).withColumn("_more", F.expr("_bits & ~(shiftleft(1L, _at) - 1)"))
+    near = near.select("row_id", F.coalesce(_highest("_less", width), "_before").alias("_x"), F.coalesce(_lowest("_more", width), "_after").alias("_y"))
+    left = F.col("_y").isNull() | (F.col("row_id") - F.col("_x") <= F.col("_y") - F.col("row_id"))
+    near = near.select("row_id", F.when(left, F.col("_x")).otherwise(F.col("_y")).alias("_near"))
+    plain = rows.where(regular).select("row_id", "value")
+    found = plain.withColumnRenamed("row_id", "_near").join(sent(near), "_near").select("row_id", "value")
+    main = plain.unionByName(other.select("row_id").join(sent(found), "row_id", "left").select("row_id", F.coalesce("value", F.lit(0)).alias("value")))
+    return main, sent(df.where("is_patch").select("row_id", "value"))
 
 
 def undo_patch(main: DataFrame, exceptions: DataFrame) -> DataFrame:
@@ -112,10 +147,12 @@ def undo_patch(main: DataFrame, exceptions: DataFrame) -> DataFrame:
     return main.join(e, "row_id", "left").select("row_id", F.when(F.col("_hit"), F.col("_e")).otherwise(F.col("value")).alias("value"))
 
 
-def nullable(df: DataFrame, interval: int = 128) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Validity (row_id, valid, rank: valid rows before), interval ranks, and the compacted child (row_id, value)."""
+def nullable(df: DataFrame, interval: int = 128, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Validity (row_id, valid, rank: valid rows before), interval ranks, and the compacted child (row_id, value).
+    ``keep`` writes the ranked rows, of which all three are made, and reads them."""
     _need(interval > 0 and interval % 8 == 0, "a rank interval is a positive multiple of 8")
     rows = before(df, F.col("value").isNotNull().cast("long"), "rank")
+    rows = keep(rows) if keep else rows
     validity = rows.select("row_id", F.col("value").isNotNull().alias("valid"), "rank")
     child = rows.where("value IS NOT NULL").select(F.col("rank").alias("row_id"), "value")
     return validity, validity.where(F.col("row_id") % interval == 0).select((F.col("row_id") / interval).cast("long").alias("interval"), "rank"), child

@@ -210,6 +210,28 @@ def test_queries_of_patched_columns_take_no_square_of_a_block(spark, monkeypatch
     assert frames and not any("unboundedfollowing" in p for p in (plan(result), *(plan(f) for f in frames[-1]), *seen))
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
+@pytest.mark.parametrize("width", [1, 3, 62])
+def test_patching_finds_the_nearest_over_gaps(spark, monkeypatch, few, width):
+    """Both joins, row ids with gaps, marks that are null (not regular, no exception either), nulls among the values."""
+    monkeypatch.setattr(codecs, "FEW", few)
+    ids = [i for i in range(700) if i * i % 11 < 7 or 200 < i < 210]
+    mark = {i: None if i % 53 == 0 else i % 5 < 2 or 300 < i < 500 for i in ids}
+    data = [(i, None if i % 19 == 0 else 3 * i, mark[i]) for i in ids]
+    main, exceptions = codecs.patch(spark.createDataFrame(data, "row_id long, value long, is_patch boolean"), width)
+    regular = {i: v for i, v, m in data if m is False}
+    want = {i: v if m is False else regular[min(regular, key=lambda j: (abs(j - i), j))] or 0 for i, v, m in data}
+    assert {r.row_id: r.value for r in main.collect()} == want and main.count() == len(data)
+    assert sorted(exceptions.collect()) == [(i, v) for i, v, m in data if m]
+
+
+@pytest.mark.parametrize("name", ["dec_patch"])
+def test_patching_sends_no_regular_row(spark, name):
+    """Few exceptions go to the rows: neither these nor their values are sorted, joined by sorting or put in windows."""
+    p = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in p and "SortAggregate" not in p
+
+
 def test_encode_errors_and_extremes(spark):
     big = [-(2**63), -1, 0, 2**63 - 1]
     child, base = codecs.frame_of_reference(frame(spark, big))
