@@ -225,7 +225,7 @@ def test_patching_finds_the_nearest_over_gaps(spark, monkeypatch, few, width):
     assert sorted(exceptions.collect()) == [(i, v) for i, v, m in data if m]
 
 
-@pytest.mark.parametrize("name", ["dec_patch"])
+@pytest.mark.parametrize("name", ["enc_patch", "dec_patch"])
 def test_patching_sends_no_regular_row(spark, name):
     """Few exceptions go to the rows: neither these nor their values are sorted, joined by sorting or put in windows."""
     p = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
