@@ -12,6 +12,10 @@ from . import store
 from .recipe import Recipe, decoder
 
 
+#: Row ids of which the least and greatest value are compared with the next ones' before any order is made.
+SPAN = 1024
+
+
 @dataclass(frozen=True)
 class Fact:
     scope: str  # AllRows, NonNullRows, Mapping, Physical
@@ -58,7 +62,23 @@ def monotone(df: DataFrame, width: int = BLOCK) -> DataFrame:
     return each.agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.min("f.row_id").alias("lo"), F.max("l.row_id").alias("hi"), (~F.bool_or(F.col("fell") | F.col("_jump"))).alias("non_decreasing"))
 
 
+def descending(df: DataFrame, width: int = SPAN) -> DataFrame:
+    """One row as :func:`monotone`'s without the order inside spans of ``width`` row ids: values fall if a span's
+    greatest one is above the least of the next span that has any.  No row is sorted or sent on."""
+    value, at = F.col("value"), F.when(F.col("value").isNotNull(), F.col("row_id"))
+    each = df.withColumn("_b", block(width)).groupBy("_b").agg(
+        F.count(F.lit(1)).alias("n"), F.count(value).alias("nn"), F.min(at).alias("lo"), F.max(at).alias("hi"), F.min(value).alias("least"), F.max(value).alias("most")
+    )
+    each = folded(each.withColumn("l", F.when(F.col("nn") > 0, F.struct("_b", "most"))), "l", F.max, "_prior")
+    fell = F.coalesce(F.col("least") < F.col("_prior")["most"], F.lit(False))
+    return each.agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or(fell).alias("fell"))
+
+
 def check_column(df: DataFrame) -> Checked:
+    """Rows are put in order only where spans of them do not fall already."""
+    r = descending(df).first()
+    if r.fell or not r.nn:
+        return Checked(r.n or 0, null_placement(r.n or 0, r.nn or 0, r.lo, r.hi), False, store.identity(df))
     r = monotone(df).first()
     return Checked(r.n or 0, null_placement(r.n or 0, r.nn or 0, r.lo, r.hi), bool(r.non_decreasing) and bool(r.nn), store.identity(df))
 

@@ -232,6 +232,21 @@ def test_patching_sends_no_regular_row(spark, name):
     assert "SortMergeJoin" not in p and "SortAggregate" not in p
 
 
+@pytest.mark.parametrize("values", [[3, None, 1], [None, 5, 5, 4, None], [1, 2, 3], [None, None], [7] * 3 + [None]])
+def test_order_is_made_only_where_spans_do_not_fall(spark, monkeypatch, values):
+    wide = [v for v in values for _ in range(facts.SPAN)]
+    got = facts.check_column(frame(spark, wide))
+    nn = [v for v in wide if v is not None]
+    fell = nn != sorted(nn)
+    assert got.non_decreasing == (bool(nn) and not fell) and got.rows == len(wide)
+    want = facts.monotone(frame(spark, wide)).first()
+    assert got.nulls == facts.null_placement(want.n, want.nn, want.lo, want.hi)
+    made, plain = [], facts.monotone
+    monkeypatch.setattr(facts, "monotone", lambda df: made.append(1) or plain(df))
+    assert not facts.check_column(frame(spark, wide[::-1] if nn and not fell and nn[0] < nn[-1] else wide)).non_decreasing or nn == sorted(nn)
+    assert bool(made) == (bool(nn) and not fell and nn[0] == nn[-1])
+
+
 def test_encode_errors_and_extremes(spark):
     big = [-(2**63), -1, 0, 2**63 - 1]
     child, base = codecs.frame_of_reference(frame(spark, big))
