@@ -31,6 +31,8 @@ from .recipe import Recipe, decoder, validate
 
 #: Entries of an ordered field that the driver keeps at most, and the least distance between them.
 TOP, STRIDE = 1 << 16, 1024
+#: Rows of a stored file, about.
+FILE = 1 << 20
 
 
 @dataclass
@@ -132,7 +134,7 @@ def stored(df: DataFrame, recipe: Recipe) -> Encoded:
         for name, f in out.fields.items():
             order = _ORDER[name.split()[1]]
             path = f"{uri}/{name.replace(' ', '-')}"
-            f.repartitionByRange(max(1, -(-out.checked.rows // (1 << 22))), order).sortWithinPartitions(order).write.option("compression", packed).option("parquet.page.row.count.limit", STRIDE).parquet(path)
+            f.repartitionByRange(max(1, -(-out.checked.rows // FILE)), order).sortWithinPartitions(order).write.option("compression", packed).option("parquet.page.row.count.limit", STRIDE).parquet(path)
             out.fields[name] = spark.read.schema(f.schema).parquet(path)
         store.dropped(spark, passing)
         _tops(out)
