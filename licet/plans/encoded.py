@@ -81,7 +81,8 @@ def _encode(df: DataFrame, r: Recipe, rows: int, at: int, out: Encoded, keep: Ca
     if r.kind in ("Delta", "UnsignedDelta"):
         codes, anchors = codecs.delta(plain, r.interval, r.kind == "UnsignedDelta")
         out.fields[f"{at} anchors"] = anchors
-        return _encode(codes.select("row_id", F.col("code").alias("value")), r.child, rows, at + 1, out, keep)
+        codes = codes.select("row_id", F.col("code").alias("value"))
+        return _encode(keep(codes, f"{at} main") if keep else codes, r.child, rows, at + 1, out, keep)
     if r.kind == "Dictionary":
         ids, table = codecs.dictionary(plain)
         out.fields[f"{at} table"] = table

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from licet.functions import scalar, statistics
 from licet.operators import census, certificates, codecs, rows, scans
-from licet.plans import compiler, encoded, facts, layout
+from licet.plans import bridge, compiler, encoded, facts, layout
 from licet.plans.plan import NotLicensed, Op, Plan, Query, check_authorization
 from licet.plans.recipe import Recipe, bitpack, validate
 from licet.queries import QUERIES
@@ -247,6 +247,15 @@ def test_order_is_made_only_where_spans_do_not_fall(spark, monkeypatch, values):
     assert bool(made) == (bool(nn) and not fell and nn[0] == nn[-1])
 
 
+@pytest.mark.parametrize("name", ["Delta@128(BitPack)"])
+def test_stored_windows_run_once(spark, monkeypatch, name):
+    seen, plain = [], codecs.bitpack
+    monkeypatch.setattr(codecs, "bitpack", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    values = [5, 9, 7, 8] if "Delta" in name else [5, None, 7, None]
+    c = encoded.stored(frame(spark, values), bridge.parse_recipe(name))
+    assert seen and not any("Window" in p for p in seen) and values_of(encoded.decode(c)) == values
+
+
 def test_encode_errors_and_extremes(spark):
     big = [-(2**63), -1, 0, 2**63 - 1]
     child, base = codecs.frame_of_reference(frame(spark, big))
