@@ -105,7 +105,7 @@ def _encode(df: DataFrame, r: Recipe, rows: int, at: int, out: Encoded, keep: Ca
         out.numbers[f"{at} exceptions"] = exceptions.count()
         main = _long(main)
         return _encode(keep(main, f"{at} main") if keep else main, r.child, rows, at + 1, out, keep)
-    validity, ranks, child = codecs.nullable(plain, r.interval)
+    validity, ranks, child = codecs.nullable(plain, r.interval, (lambda f: keep(f, f"{at} main")) if keep else None)
     n = child.count()
     if not n:
         raise EncodeError("a column of nulls only")

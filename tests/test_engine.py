@@ -247,7 +247,7 @@ def test_order_is_made_only_where_spans_do_not_fall(spark, monkeypatch, values):
     assert bool(made) == (bool(nn) and not fell and nn[0] == nn[-1])
 
 
-@pytest.mark.parametrize("name", ["Delta@128(BitPack)"])
+@pytest.mark.parametrize("name", ["Delta@128(BitPack)", "Nullable@8(FOR(BitPack))"])
 def test_stored_windows_run_once(spark, monkeypatch, name):
     seen, plain = [], codecs.bitpack
     monkeypatch.setattr(codecs, "bitpack", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
