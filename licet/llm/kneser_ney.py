@@ -135,6 +135,17 @@ def _grouped(shard: np.ndarray) -> np.ndarray:
     return np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
 
 
+def distinct(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and each one's number: ``np.unique`` sorts stably for this, which is slower."""
+    order = np.argsort(k)
+    k = k[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = k[1:] != k[:-1]
+    back = np.empty(len(k), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return k[new], order[new], back
+
+
 def summed(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct n-grams and their counts."""
     k = key(columns)
@@ -232,7 +243,7 @@ def hashed(k: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 
 
 def find(arrays: dict[str, np.ndarray], k: np.ndarray) -> np.ndarray:
-    """The place of each key, or -1: all keys' binary searches step together."""
+    """The place of each key, or -1: all keys' searches step together."""
     if not arrays or not len(arrays["low"]):
         return np.full(len(k), -1, dtype=np.int64)
     begins, low = arrays["begins"], arrays["low"]
@@ -240,12 +251,11 @@ def find(arrays: dict[str, np.ndarray], k: np.ndarray) -> np.ndarray:
     bucket = (k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), np.int64)
     want = (k >> np.uint64(32 - bits) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     lo, end = begins[bucket].astype(np.int64), begins[bucket + 1].astype(np.int64)
-    hi = end.copy()
-    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
-        mid = (lo + hi) >> 1
-        less = (lo < hi) & (low[np.minimum(mid, len(low) - 1)] < want)
-        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.maximum(lo, np.minimum(mid, hi)))
-    hit = (lo < end) & (low[np.minimum(lo, len(low) - 1)] == want)
+    last = len(low) - 1
+    for i in reversed(range(int((end - lo).max(initial=0)).bit_length())):  # how many of the bucket are less, by bits
+        at = lo + (1 << i)
+        lo += ((at <= end) & (low[np.minimum(at, last + 1) - 1] < want)).astype(np.int64) << i
+    hit = (lo < end) & (low[np.minimum(lo, last)] == want)
     return np.where(hit, lo, -1)
 
 
@@ -269,11 +279,10 @@ def save_table(path: str, columns: list[np.ndarray], rows: np.ndarray, usual: tu
 
 
 def look_up(arrays: dict[str, np.ndarray], k: np.ndarray, usual: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are there, and the rows of these."""
-    order = np.argsort(k)  # neighbours share cache lines
-    place = find(arrays, k[order])
+    """Which keys are there, and the rows of these; neighbours of sorted keys share cache lines."""
+    place = find(arrays, k)
     hit = np.flatnonzero(place >= 0)
-    place, hit = place[hit], order[hit]
+    place = place[hit]
     out = np.empty((len(hit), len(usual)))
     out[:] = usual
     if len(hit):
@@ -600,35 +609,30 @@ class Scorer:
         return out
 
     def level(self, gram: list[np.ndarray], some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The contexts' numbers (0: never met) and the n-grams' counts (0 where ``some`` is false: not looked up)."""
-        k, n, shards = len(gram), len(gram[0]), self.m.shards
-        stats, counts = np.zeros((n, 4)), np.zeros(n)
-        known = np.ones(n, dtype=bool)
-        for c in gram[:-1]:
-            known &= c != UNKNOWN
+        """The contexts' numbers (0: never met) and the n-grams' counts (0 where ``some``, which depends on the n-gram
+        only, is false: not looked up).  Each distinct context and n-gram is looked up once, in the order of its key."""
+        k, shards = len(gram), self.m.shards
         head = key(gram[:-1])
-        whole = longer(head, gram[-1])
-        shard, often = range_of(head, shards), self.words.frequent(gram[:-1])
-
-        def count(at: np.ndarray, s: int) -> None:
-            at = at[some[at] & (stats[at, 0] > 0)]
-            hit, got = look_up(self.files(f"grams{k}/{s}"), whole[at], ONCE)
-            counts[at[hit]] = got[:, 0]
-
-        usual = np.flatnonzero(known & ~often)
-        for s, at in _each(shard[usual]):
-            at = usual[at]
-            hit, got = look_up(self.files(f"contexts{k}/{s}"), head[at], LONE)
-            stats[at[hit]] = got
-            count(at, s)
-        rare = np.flatnonzero(known & often)
-        for s, at in _each(shard[rare]):
-            at = rare[at]
-            hit, got = look_up(self.files(f"frequent{k}/{s}"), head[at], LONE)
-            stats[at[hit]] = got
-        for s, at in _each(range_of(whole[rare], shards)):
-            count(rare[at], s)
-        return stats, counts
+        whole, at, back = distinct(longer(head, gram[-1]))
+        some = some[at]
+        head, one, of = distinct(head[at])
+        words = [c[at[one]] for c in gram[:-1]]
+        known, often = np.all([c != UNKNOWN for c in words], axis=0), self.words.frequent(words)
+        shard = range_of(head, shards)  # grows with the key
+        stats, counts = np.zeros((len(head), 4)), np.zeros(len(whole))
+        for kind, these in (("contexts", known & ~often), ("frequent", known & often)):
+            these = np.flatnonzero(these)
+            for s, x in _each(shard[these]):
+                x = these[x]
+                hit, got = look_up(self.files(f"{kind}{k}/{s}"), head[x], LONE)
+                stats[x[hit]] = got
+        shard = np.where(often[of], range_of(whole, shards), shard[of])
+        these = np.flatnonzero(some & (stats[of, 0] > 0))
+        for s, x in _each(shard[these]):
+            x = these[x]
+            hit, got = look_up(self.files(f"grams{k}/{s}"), whole[x], ONCE)
+            counts[x[hit]] = got[:, 0]
+        return stats[of[back]], counts[back]
 
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         m = self.m

@@ -670,3 +670,15 @@ def test_parts_that_sql_can_say(spark, name):
     assert sorted(rel.columns) == cols
     want = sorted((plain(r) for r in rel.select(*(duckdb.ColumnExpression(c) for c in cols)).fetchall()), key=repr)
     assert sorted((plain(r) for r in df.select(*cols).collect()), key=repr) == want and want
+
+
+def test_ngrams_are_looked_up_once(spark, monkeypatch):
+    """A phrase that is repeated asks the arrays of each order for its contexts and n-grams once, and scores as before."""
+    texts = ["a b c " * 40, "c b a", "a b c"]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"), 200)
+    asked, plain = [], kneser_ney.look_up
+    monkeypatch.setattr(kneser_ney, "look_up", lambda arrays, k, usual: asked.append(k) or plain(arrays, k, usual))
+    got = kneser_ney.Scorer(model).score(pa.array(texts))
+    assert all(len(np.unique(k)) == len(k) for k in asked)
+    alone = [kneser_ney.Scorer(model).score(pa.array([t]))["score"][0] for t in texts]
+    assert np.allclose(got["score"], alone, rtol=1e-12)
