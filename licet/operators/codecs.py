@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..functions.scalar import unzigzag, zigzag
 from .rows import BLOCK, before, block, ranked, segments
 
 MINIBLOCK = 128
-#: Row ids at most whose regular rows are the bits of a number above 0; patched rows at most that go to every task.
+#: Row ids at most whose regular rows are the bits of a number above 0; patched rows at most that the driver sends to every task.
 BITS, FEW = 62, 1 << 18
 
 
@@ -114,32 +116,72 @@ def _around(edge: DataFrame) -> DataFrame:
     return near.select("_b", "_bits", F.coalesce("_before", "_x").alias("_before"), F.coalesce("_after", "_y").alias("_after"))
 
 
+def _searched(rows: DataFrame, regular: Column, other: DataFrame, width: int, few: bool) -> DataFrame:
+    """(row_id, value) of the rows ``other``, each with the value of the nearest of the regular ``rows``, over any gap."""
+    sent = F.broadcast if few else lambda d: d
+
+    def grouped(d: DataFrame) -> DataFrame:
+        return d.withColumn("_b", block(width)).withColumn("_at", (F.col("row_id") - F.col("_b") * width).cast("int"))
+
+    bits = grouped(rows).groupBy("_b").agg(F.bit_or(F.when(regular, F.expr("shiftleft(1L, _at)")).otherwise(0)).alias("_bits"))
+    edge = bits.select("_b", "_bits", _highest("_bits", width).alias("_l"), _lowest("_bits", width).alias("_f"))
+    near = sent(grouped(other)).join(_around(edge), "_b")
+    near = near.withColumn("_less", F.expr("_bits & (shiftleft(1L, _at) - 1)")).withColumn("_more", F.expr("_bits & ~(shiftleft(1L, _at) - 1)"))
+    near = near.select("row_id", F.coalesce(_highest("_less", width), "_before").alias("_x"), F.coalesce(_lowest("_more", width), "_after").alias("_y"))
+    left = F.col("_y").isNull() | (F.col("row_id") - F.col("_x") <= F.col("_y") - F.col("row_id"))
+    near = near.select("row_id", F.when(left, F.col("_x")).otherwise(F.col("_y")).alias("_near"))
+    return _valued(rows.where(regular), sent(near))
+
+
+def _valued(plain: DataFrame, near: DataFrame) -> DataFrame:
+    return plain.select(F.col("row_id").alias("_near"), "value").join(near, "_near").select("row_id", "value")
+
+
+def _beside(ids: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The row id of ``lo`` to ``hi`` nearest to each of the rising ``ids`` that is not one of them (the left one of two as near)."""
+    last = np.append(np.diff(ids) != 1, True)
+    first = np.append(True, last[:-1])
+    run = np.cumsum(first) - 1
+    left, right = ids[first][run] - 1, ids[last][run] + 1
+    return np.where((left >= lo) & ((ids - left <= right - ids) | (right > hi)), left, right)
+
+
+def _found(df: DataFrame, regular: Column, lo: int, hi: int, width: int) -> DataFrame:
+    """:func:`_searched` for up to ``FEW`` patched rows, as rows of the driver: it asks for the row id just beside
+    their run, and searches only where the column, from ``lo`` to ``hi``, lacks that one."""
+    spark = df.sparkSession
+    ids = np.unique(df.where(~regular).select("row_id").toArrow()["row_id"].to_numpy())
+    near = spark.createDataFrame(pa.table({"row_id": ids, "_near": _beside(ids, lo, hi)}))
+    found = _valued(df.where(regular), F.broadcast(near)).toArrow()
+    rest = np.setdiff1d(ids, found["row_id"].to_numpy())
+    if len(rest):
+        more = _searched(df, regular, spark.createDataFrame(pa.table({"row_id": rest})), width, True).toArrow()
+        found = pa.concat_tables([found, more])
+    return spark.createDataFrame(found)
+
+
 def patch(df: DataFrame, width: int = BITS) -> tuple[DataFrame, DataFrame]:
     """From (row_id, value, is_patch): the main column, in which a patched row
     has the nearest regular value (the left one of two as near, 0 if there is
     none), and the exceptions (row_id, value).
 
-    Regular rows pass through as they are.  Which of ``width`` row ids are regular is told by the bits of a number;
-    the search sees no more of them, and only the values that it finds are joined.  Up to ``FEW`` patched rows
-    are sent to every task; for more of them both sides of a join are sorted.
+    Regular rows pass through as they are.  The values of up to ``FEW`` patched rows are found at once and sent to
+    every task, so the main column is one scan; for more of them both sides of a join are sorted.  Where a run of them
+    has no row beside it, which of ``width`` row ids are regular is told by the bits of a number; the search sees no more of them.
     """
     _need(0 < width <= BITS, f"a width is 1 to {BITS} row ids")
     regular = F.coalesce(~F.col("is_patch"), F.lit(False))
-    few = df.where(~regular).count() <= FEW
-    sent = F.broadcast if few else lambda d: d
-    rows = df.withColumn("_b", block(width)).withColumn("_at", (F.col("row_id") - F.col("_b") * width).cast("int"))
-    bits = rows.groupBy("_b").agg(F.bit_or(F.when(regular, F.expr("shiftleft(1L, _at)")).otherwise(0)).alias("_bits"))
-    edge = bits.select("_b", "_bits", _highest("_bits", width).alias("_l"), _lowest("_bits", width).alias("_f"))
-    other = rows.where(~regular).select("row_id", "_b", "_at")
-    near = sent(other).join(_around(edge), "_b")
-    near = near.withColumn("_less", F.expr("_bits & (shiftleft(1L, _at) - 1)")).withColumn("_more", F.expr("_bits & ~(shiftleft(1L, _at) - 1)"))
-    near = near.select("row_id", F.coalesce(_highest("_less", width), "_before").alias("_x"), F.coalesce(_lowest("_more", width), "_after").alias("_y"))
-    left = F.col("_y").isNull() | (F.col("row_id") - F.col("_x") <= F.col("_y") - F.col("row_id"))
-    near = near.select("row_id", F.when(left, F.col("_x")).otherwise(F.col("_y")).alias("_near"))
-    plain = rows.where(regular).select("row_id", "value")
-    found = plain.withColumnRenamed("row_id", "_near").join(sent(near), "_near").select("row_id", "value")
-    main = plain.unionByName(other.select("row_id").join(sent(found), "row_id", "left").select("row_id", F.coalesce("value", F.lit(0)).alias("value")))
-    return main, sent(df.where("is_patch").select("row_id", "value"))
+    other, exceptions = df.where(~regular), df.where("is_patch").select("row_id", "value")
+    r = df.agg(F.count_if(~regular).alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).first()
+    if r.n > FEW:
+        found = _searched(df, regular, other.select("row_id"), width, False)
+        main = other.select("row_id").join(found, "row_id", "left").select("row_id", F.coalesce("value", F.lit(0)).alias("value"))
+        return df.where(regular).select("row_id", "value").unionByName(main), exceptions
+    if not r.n:
+        return df.select("row_id", "value"), F.broadcast(exceptions)
+    found = F.broadcast(_found(df, regular, r.lo, r.hi, width).select(F.col("row_id").alias("_id"), F.col("value").alias("_v")))
+    main = df.join(found, F.when(~regular, F.col("row_id")) == F.col("_id"), "left")
+    return main.select("row_id", F.when(regular, F.col("value")).otherwise(F.coalesce("_v", F.lit(0))).alias("value")), F.broadcast(exceptions)
 
 
 def undo_patch(main: DataFrame, exceptions: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The engine's rules, planner, codecs and statistics."""
 
 import math
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -232,6 +233,25 @@ def test_patching_sends_no_regular_row(spark, name):
     assert "SortMergeJoin" not in p and "SortAggregate" not in p
 
 
+def test_a_patched_column_is_one_scan(spark):
+    """The rows are read once for the result, and neither dealt, sorted nor put in windows: only what was found goes to them."""
+    p = QUERIES["enc_patch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert p.count("FileScan") == 1 and not re.search("Window|Sort|Exchange (hash|range|Single)|Aggregate", p)
+
+
+@pytest.mark.parametrize("marked, searched", [({3, 4, 5, 9}, False), ({3, 4, 5, 6, 197}, False), ({0, 1, 7}, False), ({20, 198, 199}, False), (set(), False), ({7, 101}, True), (set(range(200)), True)])
+def test_patching_searches_only_where_no_row_is_beside(spark, monkeypatch, marked, searched):
+    """Runs of patched rows, with a tie in the middle of one; the first and last rows; none; beside row 100, which is absent; all."""
+    made, plain = [], codecs._around
+    monkeypatch.setattr(codecs, "_around", lambda edge: made.append(1) or plain(edge))
+    ids = [i for i in range(200) if i != 100]
+    main, exceptions = codecs.patch(spark.createDataFrame([(i, 5 * i, i in marked) for i in ids], "row_id long, value long, is_patch boolean"))
+    regular = [i for i in ids if i not in marked]
+    want = [5 * min(regular, key=lambda j: (abs(j - i), j)) if regular else 0 for i in ids]
+    assert values_of(main) == want and values_of(codecs.undo_patch(main, exceptions)) == [5 * i for i in ids]
+    assert bool(made) == searched
+
+
 @pytest.mark.parametrize("values", [[3, None, 1], [None, 5, 5, 4, None], [1, 2, 3], [None, None], [7] * 3 + [None]])
 def test_order_is_made_only_where_spans_do_not_fall(spark, monkeypatch, values):
     wide = [v for v in values for _ in range(facts.SPAN)]
