@@ -1,11 +1,12 @@
 """Interpolated modified Kneser-Ney model of any order, counted in Spark.
 
 Vocabulary: every task counts the hashes of its words; hash ranges of them are
-summed, sorted and written, and a word's number is its place in that order.
+summed, sorted and written.  The most frequent words have the first numbers, the
+others follow by their place in that order.
 
 Counting: every task turns its texts into numbers, sums the n-grams of a few
 million tokens at a time and sends them, packed in the order of their first
-word, to shards.  A shard task adds them up, writes sorted hash arrays, and
+words, to shards.  A shard task adds them up, writes sorted hash arrays, and
 sends each distinct n-gram's last n - 1 words on: their count at the order
 below is the number of distinct words before them (modified Kneser-Ney), and
 so on down to single words.  A shard holds whole contexts, so the numbers of a
@@ -58,6 +59,8 @@ TOKENS = 1_500_000
 SHARD = 1_500_000
 #: Shards that one task deals to at most.
 FAN = 1024
+#: Numbers below this one take two bytes where n-grams are packed.
+SHORT = 2**16 - 1
 _BUCKET = 16
 _GRAMS, _CONTEXTS, _NUMBERS = 0, 1, 2
 #: The usual numbers: an n-gram's count; a context's sum, followers counted once, twice, oftener.
@@ -82,7 +85,7 @@ class Deal:
 
     folder: str
     shards: int
-    width: int  # bytes of a word's number
+    width: int  # bytes of a word's number from SHORT on
     step: int  # shards of a range
 
 
@@ -175,15 +178,27 @@ def _unpack_counts(raw: memoryview, n: int) -> tuple[np.ndarray, int]:
     return c, n + 8 * len(big)
 
 
+def _planes(short: np.ndarray) -> list[bytes]:
+    """Low and high bytes of 16-bit values."""
+    return [(short & 255).astype(np.uint8).tobytes(), (short >> 8).astype(np.uint8).tobytes()]
+
+
 def pack(columns: list[np.ndarray], counts: list[np.ndarray], width: int) -> bytes:
-    """n-grams in the order of their first word, which is written once for its run."""
-    order = np.argsort(columns[0], kind="stable")
-    columns, counts = [c[order] for c in columns], [c[order] for c in counts]
-    firsts = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
-    runs = np.diff(np.append(firsts, len(columns[0]))).astype(np.uint64)
-    head = np.array([len(columns[0]), len(firsts)], dtype="<u8").tobytes()
-    ids = [text.uint_le(columns[0][firsts], width), *(text.uint_le(c, width) for c in columns[1:])]
-    return zstandard.compress(head + _pack_counts(runs) + b"".join(ids) + b"".join(map(_pack_counts, counts)), 1)
+    """n-grams in the order of their first two words, of which the first is written once for its run.  Numbers from
+    ``SHORT`` on follow in full.  Each kind of bytes is a block, which zstandard gives a code of its own."""
+    short = [np.minimum(c, SHORT).astype(np.uint16) for c in columns]
+    order = np.argsort(short[1], kind="stable") if len(short) > 1 else np.arange(len(short[0]))
+    order = order[np.argsort(short[0][order], kind="stable")]
+    short = [c[order] for c in short]
+    firsts = np.flatnonzero(np.concatenate([[True], short[0][1:] != short[0][:-1]]))
+    runs = np.diff(np.append(firsts, len(order))).astype(np.uint64)
+    parts = [np.array([len(order), len(firsts)], dtype="<u8").tobytes() + _pack_counts(runs), *_planes(np.diff(short[0][firsts], prepend=np.uint16(0)))]
+    for c in short[1:]:
+        parts += _planes(c)
+    parts.append(b"".join(text.uint_le(c[order[x == SHORT]], width) for c, x in zip(columns, short)))
+    parts += [_pack_counts(c[order]) for c in counts]
+    z = zstandard.ZstdCompressor(1).compressobj(sum(map(len, parts)))
+    return b"".join([x for p in parts for x in (z.compress(p), z.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK))] + [z.flush()])
 
 
 def unpack(raw: bytes, columns: int, counts: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -193,9 +208,14 @@ def unpack(raw: bytes, columns: int, counts: int, width: int) -> tuple[list[np.n
     at = 16 + used
     ids = []
     for size in (m, *[n] * (columns - 1)):
-        ids.append(text.from_uint_le(view[at : at + size * width], width))
-        at += size * width
-    ids[0] = np.repeat(ids[0], runs.astype(np.int64))
+        low, high = np.frombuffer(view, np.uint8, 2 * size, at).reshape(2, size).astype(np.uint64)
+        ids.append(low | high << np.uint64(8))
+        at += 2 * size
+    ids[0] = np.repeat(np.cumsum(ids[0]), runs.astype(np.int64))
+    for c in ids:
+        long = np.flatnonzero(c == SHORT)
+        c[long] = text.from_uint_le(view[at : at + len(long) * width], width)
+        at += len(long) * width
     out = []
     for _ in range(counts):
         c, used = _unpack_counts(view[at:], n)
@@ -298,12 +318,26 @@ def look_up(arrays: dict[str, np.ndarray], k: np.ndarray, usual: tuple[int, ...]
 
 
 class Words:
-    """Numbers of words by their hashes, and which are frequent."""
+    """Numbers of words by their hashes: 1, 2, ... by falling counts for some 65,000 words, then all by their place."""
 
     def __init__(self, folder: str):
         self.files = Shards(folder)
         layout = self.files("layout")
-        self.before, self.heavy = layout["before"], layout["heavy"]  # words before each hash range; sorted numbers
+        self.before, self.heavy = layout["before"], layout["heavy"][0]  # words before each hash range; the last frequent number
+        self.ranked, self.sorted, self.rank = layout["ranked"], layout["sorted"], layout["rank"]  # places of the first numbers; sorted; their numbers
+
+    def number(self, place: np.ndarray) -> np.ndarray:
+        out = place + len(self.ranked) + 1
+        if len(self.ranked):
+            at = np.minimum(np.searchsorted(self.sorted, place), len(self.sorted) - 1)
+            out = np.where(self.sorted[at] == place, self.rank[at], out)
+        return out.astype(np.uint64)
+
+    def place(self, number: np.ndarray) -> np.ndarray:
+        out = number.astype(np.int64) - len(self.ranked) - 1
+        first = np.flatnonzero(out < 0)
+        out[first] = self.ranked[number[first].astype(np.int64) - 1]
+        return out
 
     def look_up(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (from 1; ``UNKNOWN``: not in the corpus) and count of each word."""
@@ -319,21 +353,17 @@ class Words:
             if have:
                 at = np.minimum(np.searchsorted(have["keys"], k[a:b]), len(have["keys"]) - 1)
                 hit = np.flatnonzero(have["keys"][at] == k[a:b])
-                number[order[a + hit]] = 1 + self.before[s] + at[hit]
+                number[order[a + hit]] = self.number(self.before[s] + at[hit])
                 count[order[a + hit]] = have["counts"][at[hit]]
         return number, count
 
     def shard(self, number: np.ndarray) -> np.ndarray:
         """The hash ranges of words."""
-        return np.searchsorted(self.before, number.astype(np.int64) - 1, "right") - 1
+        return np.searchsorted(self.before, self.place(number), "right") - 1
 
     def frequent(self, columns: list[np.ndarray]) -> np.ndarray:
         """Contexts of frequent words (or begin marks) only; other contexts occur less often."""
-        out = np.ones(len(columns[0]), dtype=bool)
-        for c in columns:
-            at = np.minimum(np.searchsorted(self.heavy, c), max(0, len(self.heavy) - 1))
-            out &= (c == BEGIN) | (self.heavy[at] == c if len(self.heavy) else False)
-        return out
+        return np.all([c <= self.heavy for c in columns], axis=0)
 
 
 # -------------------------------------------------------------------- counting
@@ -375,7 +405,9 @@ def _unpack_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<u8", n, 8), _unpack_counts(memoryview(raw)[8 + 8 * n :], n)[0]
 
 
-def _add_words(folder: str, heavy: int):
+def _add_words(folder: str, heavy: int, ranked: int):
+    """``ranked``: the most frequent words of a shard that are told to the driver, and all with more than ``heavy`` tokens."""
+
     def done(shard: int, kind: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         k, c = (np.concatenate(x) for x in zip(*map(_unpack_words, held)))
         order = np.argsort(k, kind="stable")
@@ -383,8 +415,10 @@ def _add_words(folder: str, heavy: int):
         firsts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         k, c = k[firsts], np.add.reduceat(c, firsts)
         save(f"{folder}/words/{shard}", keys=k, counts=_narrow(c))
-        columns = [pa.array([shard], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([np.flatnonzero(c > heavy).tolist()], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["shard", "types", "tokens", "heavy"])
+        often = np.argsort(c, kind="stable")[max(0, len(c) - max(ranked, int((c > heavy).sum()))) :]
+        often = np.stack([often.astype("<i8"), c[often].astype("<i8")]).tobytes()
+        columns = [pa.array([shard], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([often], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["shard", "types", "tokens", "often"])
 
     return _runs(done)
 
@@ -509,7 +543,7 @@ def _add_grams(order: int, deal: Deal):
         if order == 1:  # a shard of words: their counts by number
             begin, end = words.before[shard : shard + 2]
             out = np.zeros(end - begin, dtype=np.uint64)
-            out[columns[0].astype(np.int64) - 1 - begin] = counts
+            out[words.place(columns[0]) - begin] = counts
             save(f"{deal.folder}/single/{shard}", counts=_narrow(out))
             return
         save_table(f"{deal.folder}/grams{order}/{shard}", columns, counts[:, None], ONCE)
@@ -554,14 +588,17 @@ def train(docs: DataFrame, tokens: int, order: int = ORDER, shard: int = SHARD,
     folder = text.mounted(text.shared_folder(spark, "kneser-ney"))
     os.makedirs(folder, exist_ok=True)
     docs = docs.select("text")
-    rows = _by_shard(docs.mapInArrow(_count_words(shards), _SCHEMA), shards).mapInArrow(_add_words(folder, shard), "shard int, types long, tokens long, heavy array<long>").collect()
-    # one row a shard, and as many frequent words at most
+    rows = _by_shard(docs.mapInArrow(_count_words(shards), _SCHEMA), shards).mapInArrow(_add_words(folder, shard, -(-SHORT // shards)), "shard int, types long, tokens long, often binary").collect()
+    # one row a shard; words: as many as shards and SHORT, or as are frequent
     types, n = {r.shard: r.types for r in rows}, sum(r.tokens for r in rows)
     before = np.cumsum([0, *(types.get(s, 0) for s in range(shards))])
-    heavy = sorted(1 + int(before[r.shard]) + i for r in rows for i in r.heavy)
-    save(f"{folder}/layout", before=before, heavy=np.array(heavy, dtype=np.uint64))
+    often = [np.frombuffer(r.often, "<i8").reshape(2, -1) + [[before[r.shard]], [0]] for r in rows]
+    place, count = np.concatenate([np.zeros((2, 0), np.int64), *often], axis=1)
+    ranked = place[np.lexsort((place, -count))]
+    o = np.argsort(ranked)
+    save(f"{folder}/layout", before=before, heavy=np.array([(count > shard).sum()], dtype=np.uint64), ranked=ranked, sorted=ranked[o], rank=o + 1)
     v = int(before[-1])
-    deal = Deal(folder, shards, max(1, -(-(v + 1).bit_length() // 8)), -(-shards // fan))
+    deal = Deal(folder, shards, max(1, -(-(v + len(ranked)).bit_length() // 8)), -(-shards // fan))
     out = docs.mapInArrow(_count_grams(order, deal), _SCHEMA)
     for k in range(order, 0, -1):
         if deal.step > 1:
@@ -605,7 +642,7 @@ class Scorer:
         for s, at in _each(self.words.shard(number[known])):
             have, at = self.files(f"single/{s}"), known[at]
             if have:
-                out[at] = have["counts"][number[at].astype(np.int64) - 1 - self.words.before[s]]
+                out[at] = have["counts"][self.words.place(number[at]) - self.words.before[s]]
         return out
 
     def level(self, gram: list[np.ndarray], some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
